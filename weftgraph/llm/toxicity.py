@@ -16,8 +16,8 @@ from .work import python_stage, only
 #: Features live in 2 ** BITS buckets; the model that is broadcast has at most as many float32 weights.
 BITS = 20
 #: Learning sample: at most so many labelled documents of each class, in hash order, and of those the ones with at most so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES, EPOCHS = 4_000, 64_000, 3
-ALPHA, BETA, L1, L2 = 0.08, 1.0, 1.2, 1.0
+SAMPLE_DOCS, SAMPLE_BYTES, EPOCHS = 4_000, 64_000, 4
+ALPHA, BETA, L1, L2 = 0.6, 1.0, 3.0, 1.0
 CACHE_WORDS = 300_000
 TOXIC = 0.7
 WORD = re.compile(r"[^\W_]+")
