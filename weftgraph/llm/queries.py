@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, exact_dedup, language_id, license_scan, mixing, quality_rules, sharding, toxicity
+from . import bin_packing, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +43,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kd_sharding, op2_exact_dedup, op3_license_scan, op4_host_quality_rules, op5_language_id, op7_best_fit_packing,
-    op8_source_mixing, op9_toxicity,
+    op8_source_mixing, op9_toxicity, op10_ngram_jaccard_join,
 )}
 
 ORACLE_SQL = {
