@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from .work import Workspace, skew_safe_join
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without reserving disk ahead, as there is a store for every shuffle partition.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Column of the content locator.
 LOCATOR = "__weft_locator"
 
@@ -38,9 +42,9 @@ def _located(docs: DataFrame, space: Workspace) -> DataFrame:
 def _keyed_state(slim: DataFrame, space: Workspace, spark: SparkSession) -> DataFrame:
     """Run the stream over the staged rows to its end and read what its state store holds."""
     stored = space.save(slim, "slim")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         stream = spark.readStream.schema(stored.schema).parquet(space.path("slim"))
         state = stream.groupBy("_digest", "_bytes").agg(
@@ -53,10 +57,11 @@ def _keyed_state(slim: DataFrame, space: Workspace, spark: SparkSession) -> Data
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     held = spark.read.format("statestore").load(space.path("stream"))
     keep, n = (F.col("value").getField(f) for f in held.schema["value"].dataType.fieldNames())
     return held.select(
