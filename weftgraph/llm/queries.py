@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, toxicity
+from . import bin_packing, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_table(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_table(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack(table(spark, sf_dir, "documents"), bin_packing.default_tokenizer())
 
@@ -48,7 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_kd_sharding, op2_exact_dedup, op3_license_scan, op4_host_quality_rules, op5_language_id, op7_best_fit_packing,
+    op1_kd_sharding, op2_exact_dedup, op3_license_scan, op4_host_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_best_fit_packing,
     op8_source_mixing, op9_toxicity, op10_ngram_jaccard_join,
 )}
 
