@@ -1,0 +1,105 @@
+"""Vectors and model-written summaries: cosine top-k, hash gates, grounding checks, enrichment drivers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalar import content_hash, dot, norm
+
+
+def top_k(vectors: DataFrame, query: list[float], limit: int = 5, id: str = "id", vector: str = "vector") -> DataFrame:
+    """id, score of the nearest vectors: score descending, then id; a zero vector scores zero.
+
+    Scores are computed in the scan and only each task's best ``limit`` rows leave it.
+    """
+    size = sum(x * x for x in query) ** 0.5 or 1.0
+    unit = F.array(*(F.lit(float(x) / size) for x in query))
+    score = dot(F.col(vector), unit) / norm(F.col(vector))
+    return vectors.select(F.col(id).alias("id"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(max(1, limit))
+
+
+def discover(vectors: DataFrame, objects: DataFrame, query: list[float], object_type: str, model: str, limit: int = 5) -> DataFrame:
+    """Hits of one type and model with their names; a vector whose object is gone keeps its row with nulls."""
+    rows = vectors.filter((F.col("object_type") == object_type) & (F.col("model") == model))
+    hits = top_k(rows, query, limit, "object_id")
+    return hits.join(objects.select("id", "name"), "id", "left").select("id", "name", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "id")
+
+
+def changed(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates (id, content_hash, ...) whose hash is not stored yet."""
+    return candidates.join(stored.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
+
+
+def grounded(proposals: DataFrame, texts: DataFrame) -> DataFrame:
+    """Proposals (slug, value) that stand quoted in some text (slug, text) of their repository.
+
+    Quoted strings are cut out of the texts once and matched by equality, so a proposal costs a join and not
+    a search through every text.
+    """
+    quoted = texts.select("slug", F.explode(F.regexp_extract_all("text", F.lit("[\"'`]([^\"'`\\n]{1,200})[\"'`]"), F.lit(1))).alias("value")).distinct()
+    return proposals.join(quoted, ["slug", "value"], "left_semi")
+
+
+def interface_grounding(interfaces: DataFrame) -> DataFrame:
+    """id, prompt text and content hash of each interface."""
+    text = F.concat_ws(" ", "method", "path", "handler", "framework")
+    return interfaces.select("id", text.alias("prompt"), content_hash(F.col("method"), F.col("path"), F.col("handler"), F.col("framework")).alias("content_hash"))
+
+
+def service_grounding(services: DataFrame, interfaces: DataFrame, dependents: DataFrame) -> DataFrame:
+    """Per service its endpoints (first 40 in order), dependents and declared text in one prompt."""
+    ends = interfaces.groupBy("slug").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(" ", "method", "path"))), 1, 40).alias("endpoints"))
+    joined = services.join(ends, "slug", "left").join(dependents, "id", "left")
+    prompt = F.concat_ws("\n", "name", "readme", F.array_join("endpoints", "; "), F.array_join("dependents", ", "))
+    return joined.select("id", prompt.alias("prompt"), content_hash(prompt).alias("content_hash"))
+
+
+def enrich(candidates: DataFrame, stored: DataFrame, complete: Callable[[str], str], embed: Callable[[list[str]], list[list[float]]], model: str, batch: int = 32) -> DataFrame:
+    """Summaries and vectors for changed candidates (id, object_type, prompt, content_hash).
+
+    ``complete`` and ``embed`` are injected and run on the executors; a batch that fails is left out and is
+    tried again at the next run, as its hash is not stored.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                try:
+                    text = [complete(p) for p in part["prompt"]]
+                    vector = embed(text)
+                except Exception:  # noqa: BLE001, S112  providers raise anything
+                    continue
+                yield pd.DataFrame({"object_id": part["id"], "object_type": part["object_type"], "model": model, "dim": [len(v) for v in vector], "summary": text, "content_hash": part["content_hash"], "vector": vector})
+
+    return changed(candidates, stored).select("id", "object_type", "prompt", "content_hash").mapInPandas(
+        run, "object_id string, object_type string, model string, dim int, summary string, content_hash string, vector array<float>")
+
+
+def fill_gaps(skipped: DataFrame, done: DataFrame, known: DataFrame, texts: DataFrame, answer: Callable[[str], str]) -> DataFrame:
+    """Routes a model proposes for skipped sites (slug, file, line, expr, context), kept only if they are shaped
+    like a route, stand quoted in the repository and repeat no known (slug, method, path)."""
+    sites = skipped.withColumn("gap", content_hash(F.col("file"), F.col("line"), F.col("expr"))).join(done.select("gap"), "gap", "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+        import re
+
+        for frame in frames:
+            rows = []
+            for gap, slug, context in zip(frame["gap"], frame["slug"], frame["context"], strict=True):
+                found = re.search(r"\{.*\}", answer(context) or "", re.DOTALL)
+                try:
+                    made = json.loads(found.group(0)) if found else {}
+                except ValueError:
+                    made = {}
+                rows.append((gap, slug, str(made.get("method", "")).upper(), str(made.get("path", ""))))
+            yield pd.DataFrame(rows, columns=["gap", "slug", "method", "value"])
+
+    asked = sites.select("gap", "slug", "context").mapInPandas(run, "gap string, slug string, method string, value string")
+    shaped = asked.filter(F.col("value").startswith("/") & F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"))
+    sure = grounded(shaped, texts).select("gap", "slug", "method", F.col("value").alias("path"))
+    return sure.join(known.select("slug", "method", "path"), ["slug", "method", "path"], "left_anti").withColumn("source", F.lit("llm"))
