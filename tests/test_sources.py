@@ -1,0 +1,126 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftgraph.operators import resolve
+from weftgraph.sources import deps, files, guidance, python_code, scip, script_code
+
+ORDERS = '''
+from fastapi import APIRouter, FastAPI
+import requests, boto3
+
+router = APIRouter(prefix="/orders")
+app = FastAPI()
+app.include_router(router, prefix="/v1")
+
+@router.get("/{id}")
+def read(id):
+    """One order.
+
+    More."""
+    return requests.get(f"http://billing/invoices/{id}")
+
+@router.api_route("/bulk", methods=["POST", "PUT"])
+async def bulk():
+    base = "/stock/all"
+    await client.post(base)
+    sns.publish(topic="orders-created")
+    await client.get(url)
+'''
+BILLING = '''
+from flask import Flask
+app = Flask(__name__)
+
+@app.route("/invoices/<id>")
+def invoice(id):
+    return id
+
+class Late:
+    def run(self): pass
+    def run(self): return 1
+'''
+
+
+def tree(spark, rows):
+    return spark.createDataFrame([(r, p, t.encode()) for r, p, t in rows], "repo string, path string, content binary")
+
+
+def test_python_to_edges(spark):
+    facts = python_code.read_python(tree(spark, [("orders", "app.py", ORDERS), ("billing", "web.py", BILLING), ("billing", "bad.py", "def x(:\n@a.get('/p')")])).cache()
+    found = {(r.slug, r.method, r.path, r.id) for r in python_code.interfaces(facts).collect()}
+    assert found == {
+        ("orders", "GET", "/v1/orders/{id}", "interface:orders:get-v1-orders-id"), ("orders", "POST", "/v1/orders/bulk", "interface:orders:post-v1-orders-bulk"),
+        ("orders", "PUT", "/v1/orders/bulk", "interface:orders:put-v1-orders-bulk"), ("orders", "PUBLISH", "orders-created", "interface:orders:publish-orders-created"),
+        ("billing", "GET", "/invoices/<id>", "interface:billing:get-invoices-id")}
+    calls = python_code.outbound_calls(facts)
+    assert {(r.slug, r.verb, r.path, r.host) for r in calls.collect()} == {("orders", "GET", "/invoices/{}", "billing"), ("orders", "POST", "/stock/all", None)}
+    assert {(r.file, r.reason) for r in python_code.skipped_sites(facts).collect()} == {("app.py", "non-literal-url"), ("bad.py", "unparseable")}
+    services = spark.createDataFrame([("orders",), ("billing",)], "slug string")
+    edges = resolve.call_edges(resolve.match_calls(calls, python_code.interfaces(facts), services)).collect()
+    assert [(e.from_slug, e.to_slug, e.confidence, e.via_paths) for e in edges] == [("orders", "billing", "corroborated", ["/invoices/{}"])]
+    spans = {r.id for r in python_code.symbol_spans(facts).filter("repo = 'billing'").collect()}
+    assert spans == {"code_symbol:billing:web.py::invoice", "code_symbol:billing:web.py::Late", "code_symbol:billing:web.py::Late.run", "code_symbol:billing:web.py::Late.run@11"}
+
+
+def test_scripts(spark):
+    express = "import express from 'express';\nconst app = express();\n// app.get('/no')\napp.get(['/a', '/b'], h);\napp.post('/c', h);\naxios.get(`http://pay/${x}/d`);\nfetch('/e');\naxios.put(url)\n"
+    rails = "Rails.application.routes.draw do\n  namespace :api do\n    resources :orders, only: [:index, :show] do\n      member do\n        post :pay\n      end\n    end\n    get 'ping', to: 'health#ping'\n  end\n  root to: 'home#index'\nend\n"
+    rows = script_code.read_scripts(tree(spark, [("web", "a.ts", express), ("shop", "config/routes.rb", rails), ("shop", "lib/x.rb", "RestClient.get(\"http://pay/p/#{id}\")"), ("shop", "app/controllers/api/orders_controller.rb", "class A\n  def show\n  end\nend")])).collect()
+    got = {(r.fact, r.method, r.path, r.host) for r in rows}
+    assert got == {
+        ("route", "GET", "/a", None), ("route", "GET", "/b", None), ("route", "POST", "/c", None), ("outbound", "GET", "/{}/d", "pay"), ("outbound", "GET", "/e", None), ("skipped", "PUT", None, None),
+        ("route", "GET", "/api/orders", None), ("route", "GET", "/api/orders/:id", None), ("route", "POST", "/api/orders/:id/pay", None), ("route", "GET", "/api/ping", None), ("route", "GET", "/", None),
+        ("outbound", "GET", "/p/{}", "pay"), ("action", None, None, None)}
+    assert {r.name for r in rows if r.fact == "action"} == {"api/orders#show"}
+
+
+def test_config(spark):
+    made = tree(spark, [("a", "config.json", '{"SERVICES": {"ORDERS": {"HOST": "http://u:p@orders-svc:8080/x"}}, "HOST": "0.0.0.0", "PORT": 9402, "queues": {"publish": {"topic_name": "stag-x-y"}}}'), ("a", ".env", "AUTH_URL=localhost:9500\n# X=1\n"), ("a", "config.yml", "a: [1, {b: c}]"), ("a", "bad.json", "{")])
+    values = files.config_values(made)
+    assert {("a[1].b", "c"), ("PORT", "9402")} <= {(r.key, r.value) for r in values.collect()}
+    assert {(r.key, r.value, r.host, r.port) for r in files.host_bindings(values).collect()} == {("SERVICES.ORDERS.HOST", "http://orders-svc:8080/x", "orders-svc", "8080"), ("AUTH_URL", "localhost:9500", "localhost", "9500")}
+    assert [(r.slug, r.port) for r in files.identities(values).collect()] == [("a", "9402")]
+    assert {(r.channel, r.direction) for r in files.config_channels(values).collect()} == {("stag-x-y", "PUBLISH")}
+
+
+def test_scan(spark, tmp_path):
+    for name in ("r/a.py", "r/node_modules/b.py", "r/x/id_rsa.py", "r/x/c.py", "r/skip/d.py", "r/e.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("1")
+    assert {r.path for r in files.scan(spark, str(tmp_path), (".py",), ignore=("skip/",)).collect()} == {"a.py", "x/c.py"}
+
+
+def test_dependencies(spark):
+    made = tree(spark, [
+        ("p", "pyproject.toml", '[project]\ndependencies = ["httpx>=0.2", "My_Lib"]\n[tool.poetry.group.dev.dependencies]\npytest = "*"\n[tool.ruff]\nline-length = 3\n'),
+        ("p", "requirements.txt", "Flask==1\ngit+ssh://git@h/o/torpedo.git@3.7\nhttps://x/y.zip#egg=egged\n# c\n"), ("p", "sub/package.json", '{"dependencies": {"no": "1"}}'),
+        ("p", "package.json", '{"dependencies": {"@s/pkg_a": "1"}, "devDependencies": {"jest": "1"}}'), ("p", "go.mod", "require (\n\tgithub.com/x/y v1.2\n)"), ("p", "Gemfile", "gem 'rails'\n")])
+    assert {r.dependency for r in deps.declared(made).collect()} == {"httpx", "my-lib", "pytest", "flask", "torpedo", "egged", "@s/pkg_a", "jest", "y", "rails"}
+    many = spark.createDataFrame([("p", f"{i}.py") for i in range(30)] + [("p", "a.rb"), ("p", "a.js"), ("p", "b.js")], "repo string, path string")
+    assert deps.languages(many).first()["languages"] == ["python", "javascript"]
+
+
+def test_rules_are_read_or_refused(spark):
+    good = "---\nid: r1\ntitle: 'T: x'\nkind: guidance\nstatus: mandatory\napplies_to:\n  dependencies: [flask, Httpx]\nreviewed: 2024-01-02\n---\nBody."
+    made = tree(spark, [("a", "r1.md", good), ("a", "r2.md", good.replace("mandatory", "maybe")), ("a", "r3.md", good.replace("2024-01-02", "soon")), ("a", "r4.md", "# plain")])
+    rows = {r.file: r for r in guidance.read_rules(made).collect()}
+    assert rows["r1.md"].dependencies == ["flask", "Httpx"] and rows["r1.md"].title == "T: x" and rows["r1.md"].error is None
+    assert set(rows) == {"r1.md", "r2.md", "r3.md"} and rows["r2.md"].error and rows["r3.md"].error
+
+
+def test_scip(spark):
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(k, body):
+        return number(k << 3 | 2) + number(len(body)) + body if isinstance(body, bytes) else number(k << 3) + number(body)
+
+    define = field(1, number(4) + number(0) + number(3)) + field(2, b"pkg f().") + field(3, 1)
+    use = field(1, number(9)) + field(2, b"pkg f().") + field(8, field(1, 300))
+    data = field(1, b"meta") + field(2, field(1, b"a.py") + field(2, define) + field(2, use) + field(2, field(2, b"no range")))
+    rows = scip.read_occurrences(spark.createDataFrame([("r", "index.scip", data)], "repo string, path string, content binary")).orderBy("pos").collect()
+    assert [(r.path, r.symbol, r.definition, r.line) for r in rows] == [("a.py", "pkg f().", True, 5), ("a.py", "pkg f().", False, 301)]
+    assert F is not None
