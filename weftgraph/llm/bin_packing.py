@@ -9,7 +9,10 @@ Pieces are numbered within their length and take their places in the pattern ins
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +23,8 @@ from .work import Workspace, python_stage, free_shuffles, only, with_rank
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 300_000
+#: Entries of a worker's caches of words and of pieces; each is emptied when full, so its memory is bounded.
+CACHE_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -31,40 +34,58 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed values of a tokenizer that lower-cases, drops white space and then splits like this; its words are encoded one by one.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: White space to ``str.split`` only.
+SEPARATORS = "\x1c-\x1f"
+
+
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, for a tokenizer that drops white space.
+    """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    Such a tokenizer splits at white space before anything else, so that a text's ids are its words' ids in
-    order; each word is encoded once by the tokenizer itself and kept. A text that holds the string of one
-    of the tokenizer's added tokens is encoded whole.
+    If the tokenizer splits at white space before anything else (see ``SPLIT``), a text's ids are its words'
+    ids in order: each word, ASCII words piece by piece, is encoded once by the tokenizer itself and kept.
+    Any other tokenizer, and a text with the string of an added token, encodes the whole text.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([f"[{SEPARATORS}]", *added]))
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        kinds = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+        first = steps[0] if steps else {}
+        self.by_word = first.get("pattern") == {"Regex": SPLIT} and bool(first.get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and not made.get("post_processor")
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.limit = cache_words
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return pa.array(ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if ids else b""
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > self.limit:
+            self.words.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        parts = {w: ASCII_SPLIT.findall(w.lower()) if w.isascii() else [w] for w in words if w not in self.words}
+        new = list({p for ps in parts.values() for p in ps if p not in self.pieces})
+        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            self.pieces[p] = array("I", e.ids).tobytes()
+        for w, ps in parts.items():
+            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not self.by_word or self.whole.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.split()
         try:
-            return b"".join(map(self.cache.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            pass
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        new = list({w for w in words if w not in self.cache})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[w] = self._bytes(e.ids)
-        return b"".join(map(self.cache.__getitem__, words))
+            self._learn(words)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
