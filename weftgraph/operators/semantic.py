@@ -103,3 +103,21 @@ def fill_gaps(skipped: DataFrame, done: DataFrame, known: DataFrame, texts: Data
     shaped = asked.filter(F.col("value").startswith("/") & F.col("method").isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"))
     sure = grounded(shaped, texts).select("gap", "slug", "method", F.col("value").alias("path"))
     return sure.join(known.select("slug", "method", "path"), ["slug", "method", "path"], "left_anti").withColumn("source", F.lit("llm"))
+
+
+def library_grounding(symbols: DataFrame, limit: int = 40) -> DataFrame:
+    """Per library its exported names, one per file and pass, and most frequent directories.
+
+    symbols(slug, path, name, line): private names come last.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("slug", "path").orderBy(F.col("name").startswith("_"), "line")
+    ranked = symbols.withColumn("_turn", F.row_number().over(order)).groupBy("slug", "name").agg(F.min(F.struct("_turn", "path")).alias("_at"))
+    place = Window.partitionBy("slug").orderBy("_at", "name")
+    names = ranked.withColumn("_k", F.row_number().over(place)).filter(F.col("_k") <= limit).groupBy("slug").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    folders = symbols.select("slug", "path").distinct().select("slug", F.explode(F.expr("slice(split(path, '/'), 1, size(split(path, '/')) - 1)")).alias("f")).groupBy("slug", "f").agg(F.count(F.lit(1)).alias("n"))
+    top = Window.partitionBy("slug").orderBy(F.desc("n"), "f")
+    modules = folders.withColumn("_k", F.row_number().over(top)).filter("_k <= 25").groupBy("slug").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "f"))), lambda x: x["f"]), ", ").alias("modules"))
+    prompt = F.concat_ws("\n", "names", "modules")
+    return names.join(modules, "slug", "left").select("slug", prompt.alias("prompt"), content_hash(prompt).alias("content_hash"))
