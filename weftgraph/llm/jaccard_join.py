@@ -28,6 +28,10 @@ from .work import Workspace, free_shuffles, only, python_stage, skew_safe_join
 LONG = 16
 #: Bits of the hash space that select the first column block: a quarter of all shingles.
 HEAD_BITS = 2
+#: The prefix is longer by a part of itself, so that one shared line does not make a candidate.
+EXTRA = 3
+#: Nodes whose ids are broadcast to find their texts; with more, texts are joined by id.
+MAX_BROADCAST = 500_000
 CACHE_WORDS = 300_000
 
 
@@ -69,6 +73,16 @@ def least_overlap(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
+def prefix_length(n: int, percent: int) -> tuple[int, int]:
+    """Length of a set's prefix, and how many shingles two linked sets share at least within their prefixes.
+
+    n - ceil(t n) + 1 shingles hold one common shingle at least; each further shingle holds one more.
+    """
+    base = n + percent * -n // 100 + 1
+    extra = max(1, base // EXTRA)
+    return min(n, base + extra - 1), extra
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
@@ -89,14 +103,16 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                _lists([s[: len(s) + percent * -len(s) // 100 + 1] if len(s) else s for s in sets]),
-            ], names=["doc_id", "n", "node", "prefix"])
+                _lists([s[: prefix_length(len(s), percent)[0]] if len(s) else s for s in sets]),
+                # of the smallest set it may link to
+                pa.array([prefix_length(-(percent * -len(s) // 100), percent)[1] if len(s) else 0 for s in sets], pa.int32()),
+            ], names=["doc_id", "n", "node", "prefix", "least"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node binary, prefix array<long>, least int")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: node, n, head and tail (the set in two column blocks)."""
+    """(node, hash, text) -> node, n, head and tail (the set in two column blocks); texts of another set are left out."""
     python_stage(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +120,16 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
         shingler = Shingler(size)
         for batch in batches:
-            sets = [shingler.of(x.as_py()) for x in batch.column(1)]
+            rows = [(node, s) for node, want, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+                    if xxhash.xxh3_128_digest((s := shingler.of(x.as_py())).tobytes()) == want]
+            sets = [s for _, s in rows]
             cuts = [int(np.searchsorted(s, np.uint64(1 << (64 - HEAD_BITS)))) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([n for n, _ in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                 _lists([s[:c] for s, c in zip(sets, cuts, strict=True)]), _lists([s[c:] for s, c in zip(sets, cuts, strict=True)]),
             ], names=["node", "n", "head", "tail"])
 
-    return docs.mapInArrow(run, "node binary, n int, head array<long>, tail array<long>")
+    return docs.mapInArrow(run, "node long, n int, head array<long>, tail array<long>")
 
 
 def _product(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,33 +155,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     space = Workspace(docs.sparkSession, "jaccard")
     slim = only(docs, id, text).toDF("doc_id", "text")
     rows = space.save(_signed(slim, size, percent), "rows")
-    links = _links(slim, rows, space, size, percent)
+    one = rows.filter("node is not null").groupBy(F.col("node").alias("hash")).agg(F.min(F.struct("n", "least", "prefix")).alias("s"), F.min("doc_id").alias("doc_id"))
+    nodes = space.save(one.select(F.monotonically_increasing_id().alias("node"), "hash", F.col("s.n").cast("int").alias("n"), F.col("s.least").alias("least"), F.col("s.prefix").alias("prefix"), "doc_id"), "nodes")
+    slim_rows = space.save(rows.select("doc_id", "n", F.col("node").alias("hash")), "slim")
+    space.drop("rows")
+    total = slim_rows.count()
+    unique = slim_rows.select("doc_id").distinct().count() == total
+    links = _links(slim, nodes, unique, space, size, percent)
     roots = components(links, space, "roots")
-    named = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    linked = skew_safe_join(named.filter("root is not null"), groups, "root", "_n", total)
-    alone = named.filter("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-
-
-def _links(slim: DataFrame, rows: DataFrame, space: Workspace, size: int, percent: int) -> DataFrame:
+    known = nodes.select("node", "hash").join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
+    sizes = slim_rows.filter("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_least"))
+    placed = sizes.join(known, "hash")
+    whole = placed.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_size"))
+    named = placed.select("hash", "root", "_n").join(whole.select("root", "component_id"), "root").select("hash", "_n", "component_id")
+    linked = skew_safe_join(slim_rows.filter("hash is not null"), space.save(named, "named"), "hash", "_n", total)
+    alone = slim_rows.filter("hash is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that connect whatever links; ``unique``: no two rows share an id."""
     spark = slim.sparkSession
-    nodes = rows.filter("node is not null")
-    one = nodes.groupBy("node").agg(F.min(F.struct("n", "prefix")).alias("s"), F.min("doc_id").alias("doc_id"))
-    nodes = space.save(one.select("node", F.col("s.n").cast("int").alias("n"), F.col("s.prefix").alias("prefix"), "doc_id"), "nodes")
-    columns = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    short = space.save(
-        nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).join(space.save(columns, "columns"), "token")
-        .select("token", "c", "node", "n", "at"), "entries")
+    columns = space.save(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "columns")
+    free_shuffles(spark)
+    entries = nodes.select("node", "n", "least", F.posexplode("prefix").alias("at", "token")).join(columns, "token")
+    every = space.save(entries.select("token", "c", "node", "n", "least", "at"), "entries")
     free_shuffles(spark)
-    involved = short.select("node").distinct().join(nodes, "node").select("doc_id", "node")
-    # Rows of the involved documents; an id that stands for several texts brings more sets than needed.
-    chosen = slim.join(involved.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    if not involved.filter("doc_id is null").isEmpty():
-        chosen = chosen.unionByName(slim.filter("doc_id is null"))
-    found = _sets(chosen, size).filter("n > 0")
-    sets = space.save(found.join(involved.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    # A node must meet others in as many columns as two linked sets share within their prefixes.
+    enough = every.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).filter("k >= least").select("node")
+    short = space.save(every.join(enough, "node", "left_semi").select("token", "c", "node", "n", "at"), "short")
+    involved = space.save(nodes.join(enough, "node", "left_semi").select("node", "hash", "doc_id"), "involved")
+    space.drop("entries")
+    if involved.count() <= MAX_BROADCAST:
+        involved = F.broadcast(involved)
+    chosen = slim.withColumnRenamed("doc_id", "_id").join(involved, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "hash", "text")
+    found = _sets(chosen, size)
+    sets = space.save(found if unique else found.dropDuplicates(["node"]), "sets")
     free_shuffles(spark)
 
     # Nodes of long columns among themselves: rarest shingle first, those that share too little leave.
