@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ADDRESS_KEY, LOCAL_HOSTS, LOOPBACK, THIRD_PARTY, distinct_sorted, path_pattern, pattern_matches, slug_tokens, slugish, strip_env_prefix
+from ..sources.staging import Staging
 
 
 def external_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
@@ -31,18 +32,21 @@ def classify_calls(outbound: DataFrame, services: DataFrame) -> DataFrame:
 def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
     """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
 
-    Shapes (verb, path) are matched once each and not once a call, so the residual test runs on distinct
-    shapes, joined to interface patterns by method and number of segments.
+    Shapes (verb, path) meet patterns, not calls interfaces: the residual test runs once per distinct pair of
+    both, joined by method and number of segments; providers and calls follow by equality.
     """
-    calls = classify_calls(outbound, services)
+    staging = Staging(outbound.sparkSession, "match")  # calls are read several times below, their source once
+    calls = staging.save(classify_calls(outbound, services), "calls")
     shapes = calls.filter("status = 'open'").select(F.upper(F.coalesce("verb", F.lit(""))).alias("verb_"), "path", "pattern").distinct().withColumn("n", F.size("pattern"))
     offered = (
         interfaces.filter(F.coalesce("type", F.lit("")) != "event")
         .select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), path_pattern("path").alias("offer")).distinct().withColumn("n", F.size("offer"))
     )
-    met = shapes.join(offered, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer"))).select("verb_", "path", F.col("slug").alias("provider")).distinct()
+    patterns = offered.select("verb_", "n", "offer").distinct()
+    fit = shapes.join(patterns, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer"))).select("verb_", "path", "offer")
+    met = fit.join(offered.select("verb_", "offer", F.col("slug").alias("provider")), ["verb_", "offer"]).select("verb_", "path", "provider").distinct()
     opened = calls.filter("status = 'open'").withColumn("verb_", F.upper(F.coalesce("verb", F.lit(""))))
-    found = opened.join(met, ["verb_", "path"]).filter("provider <> slug")
+    found = staging.save(opened.join(met, ["verb_", "path"]).filter("provider <> slug"), "found")
     per_call = found.groupBy("slug", "pos").agg(F.count(F.lit(1)).alias("n_providers"))
     hit = found.join(per_call, ["slug", "pos"]).withColumn("status", F.lit("resolved"))
     missed = opened.join(per_call, ["slug", "pos"], "left_anti").withColumn("status", F.lit("unresolved"))
