@@ -24,7 +24,7 @@ from .work import Workspace, python_stage, free_shuffles, only, with_rank
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's caches of words and of pieces; each is emptied when full, so its memory is bounded.
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 900_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,7 +38,7 @@ def default_tokenizer() -> str:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: White space to ``str.split`` only.
-SEPARATORS = "\x1c-\x1f"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
@@ -49,12 +49,11 @@ class WordEncoder:
     Any other tokenizer, and a text with the string of an added token, encodes the whole text.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([f"[{SEPARATORS}]", *added]))
+        self.whole = [*SEPARATORS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -63,12 +62,12 @@ class WordEncoder:
         self.by_word = first.get("pattern") == {"Regex": SPLIT} and bool(first.get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and not made.get("post_processor")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.limit = cache_words
+        self.limits = cache_words, cache_pieces
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limits[0]:
             self.words.clear()
-        if len(self.pieces) > self.limit:
+        if len(self.pieces) > self.limits[1]:
             self.pieces.clear()
         parts = {w: ASCII_SPLIT.findall(w.lower()) if w.isascii() else [w] for w in words if w not in self.words}
         new = list({p for ps in parts.values() for p in ps if p not in self.pieces})
@@ -78,7 +77,7 @@ class WordEncoder:
             self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or self.whole.search(text):
+        if not self.by_word or any(x in text for x in self.whole):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.split()
         try:
