@@ -90,6 +90,13 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def encoder_for(path: str) -> WordEncoder:
+    """The worker's encoder, kept from task to task; a function of this module, so that its globals are not pickled."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Null text is empty: a piece of the end id alone."""
     python_stage(docs.sparkSession)
@@ -98,9 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encode, end = _ENCODERS[tokenizer].encode, end_id.to_bytes(4, "little")
+        encode, end = encoder_for(tokenizer).encode, end_id.to_bytes(4, "little")
         for batch in batches:
             out = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
