@@ -21,6 +21,8 @@ SHARDS, SEED = 64, 17
 #: Documents of a block, and blocks of a source at most (beyond that blocks grow).
 BLOCK_DOCS, MAX_BLOCKS = 256, 65_536
 HASH_BITS = 40
+#: Sources whose dimension rows are broadcast; with more they are joined by key.
+MAX_BROADCAST = 20_000
 
 
 def targets(sizes: list[int], weights: list[float], max_repeat: float = MAX_REPEAT) -> list[float]:
@@ -89,6 +91,12 @@ def cut_block(docs: list[tuple[int, int]], room: int) -> tuple[int, list[int]]:
     return cut, extra
 
 
+def _dimension(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A row per source: broadcast up to MAX_BROADCAST of them, so that no document moves to meet its source."""
+    made = docs.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= MAX_BROADCAST else made
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED,
         text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target and ``draws`` added (prefixed ``_mix_``): one struct (epoch, shard, place) per copy taken.
@@ -113,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float
         epochs = int(t // r["words"]) if r["words"] else 0
         blocks = min(MAX_BLOCKS, max(1, -(-r["n"] // BLOCK_DOCS)))
         plan.append((r[0], r[1], r["words"], float(t), epochs, round(t - epochs * r["words"]), blocks))
-    dims = spark.createDataFrame(plan, "_mix_known boolean, _mix_source string, _mix_source_size long, _mix_target double, _mix_epochs int, _mix_rest long, _mix_blocks long")
+    dims = _dimension(docs, plan, "_mix_known boolean, _mix_source string, _mix_source_size long, _mix_target double, _mix_epochs int, _mix_rest long, _mix_blocks long")
     block = F.shiftright(F.col("_mix_order") * F.col("_mix_blocks"), HASH_BITS).alias("_mix_block")
 
     # The block of each source in which the partial pass ends, and the last place in it that is still taken.
@@ -135,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float
         quotas.append(epochs * blocks + last[-1][2])
     by_shard = split_quotas(quotas, shards, seed).cumsum(axis=0)
     full = [(*p, c, extra, [int(x) for x in by_shard[:, i]]) for i, (p, (c, extra, _)) in enumerate(zip(plan, last, strict=True))]
-    dims = spark.createDataFrame(full, "_mix_known boolean, _mix_source string, _mix_source_size long, _mix_target double, _mix_epochs int, _mix_rest long, _mix_blocks long, _mix_cut long, _mix_extra array<long>, _mix_ends array<long>")
+    dims = _dimension(docs, full, "_mix_known boolean, _mix_source string, _mix_source_size long, _mix_target double, _mix_epochs int, _mix_rest long, _mix_blocks long, _mix_cut long, _mix_extra array<long>, _mix_ends array<long>")
     joined = added.join(dims, key)
     partial = (F.col("_mix_order") <= F.col("_mix_cut")) | F.array_contains("_mix_extra", F.col("_mix_order"))
     draws = F.col("_mix_epochs") + partial.cast("int")
