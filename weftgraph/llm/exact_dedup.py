@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import Workspace, skew_safe_join
+from .work import Workspace, hot_keys, skew_safe_join
 
 #: State on disk; without reserving disk ahead, as there is a store for every shuffle partition.
 STATE_CONF = {
@@ -84,7 +84,10 @@ def decide(docs: DataFrame, text: str, id: str, digest: Callable[[Column], Colum
 
     # Full bytes on hits: a group is whole if its least and its greatest text are the same.
     group = ["_digest", "_bytes"]
-    hit_texts = full.join(state.filter("_n > 1").select(*group), group, "left_semi")
+    # Large groups (at most 1000) find their texts by broadcast and shrink to two texts before anything moves.
+    hits, large = state.filter("_n > 1"), hot_keys(state, "_n", n_rows)
+    hot = F.broadcast(hits.filter(large).select(*group))
+    hit_texts = full.join(hot, group, "left_semi").unionByName(full.join(hot, group, "left_anti").join(hits.filter(~large).select(*group), group, "left_semi"))
     clash = space.save(
         hit_texts.groupBy(*group).agg(F.min("_body").alias("_least"), F.max("_body").alias("_most"))
         .filter("_least <> _most").select(*group), "clash",
