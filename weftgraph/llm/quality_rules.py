@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import SPACE, Workspace, only
+from .work import SPACE, Workspace, only, skew_safe_join
 
 #: A document fails with fewer words, or with more than this share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: A host is rejected if its shrunk failure rate exceeds this: most of its documents are expected to fail.
 MAX_HOST_RATE = 0.5
+#: Rejected hosts that are broadcast.
+MAX_BROADCAST = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -84,11 +86,20 @@ def host_rates(rows: DataFrame) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("_host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))).alias("rate"))
 
 
-def _judged(rows: DataFrame, max_rate: float) -> DataFrame:
-    """Add ``kept``. Rejected hosts that hold a thousandth of all rows are broadcast (at most 1000); others join by host."""
-    bad = host_rates(rows).filter(F.col("rate") > max_rate).select(F.col("_host").alias("_bad"))
-    joined = rows.join(bad, F.col("_host") == F.col("_bad"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_bad")
+def _judged(rows: DataFrame, max_rate: float, space: Workspace) -> DataFrame:
+    """Add ``kept``. Rejected hosts are few as a rule: up to MAX_BROADCAST of them are broadcast and no row moves.
+
+    With more, rows of the at most 1000 hosts that hold a thousandth of all rows each are decided by a
+    broadcast of those hosts, all others by a join on the host.
+    """
+    hosts = space.save(host_rates(rows).select("_host", "n", (F.col("rate") > max_rate).alias("_bad")), "hosts")
+    bad = hosts.filter("_bad").select("_host", "_bad")
+    if bad.count() <= MAX_BROADCAST:
+        joined = rows.join(F.broadcast(bad), "_host", "left")
+    else:
+        known, unknown = rows.filter("_host is not null"), rows.filter("_host is null").withColumn("_bad", F.lit(False))
+        joined = skew_safe_join(known, hosts, "_host", "n", rows.count()).drop("n").unionByName(unknown)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -99,8 +110,8 @@ def quality_rules(docs: DataFrame, text: str = "text", id: str = "doc_id", host:
     as often as they stand there. An empty table gives an empty result. Other columns are not read.
     """
     slim = only(docs, id, text, host).toDF("doc_id", "_text", "_host")
-    rows = Workspace(docs.sparkSession, "quality").save(document_rules(slim).drop("_text"), "rows")
-    return _judged(rows, max_rate).drop("_host")
+    space = Workspace(docs.sparkSession, "quality")
+    return _judged(space.save(document_rules(slim).drop("_text"), "rows"), max_rate, space).drop("_host")
 
 
 def keep_quality(docs: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -108,8 +119,8 @@ def keep_quality(docs: DataFrame, text: str = "text", id: str = "doc_id", host:
     has_host = F.col(f"`{host}`") if host in docs.columns else F.lit(None).cast("string")
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("_text"), has_host.alias("_host"))
     rows = document_rules(inner).select("_doc", "_host", "base_failed")
-    stored = Workspace(docs.sparkSession, "quality").save(rows, "rows")
-    return _judged(stored, max_rate).filter("kept").select("_doc.*")
+    space = Workspace(docs.sparkSession, "quality")
+    return _judged(space.save(rows, "rows"), max_rate, space).filter("kept").select("_doc.*")
 
 
 #: DuckDB SQL of ``quality_rules`` over the table {docs}, up to the verdicts, for the query and the pipeline.
