@@ -1,6 +1,6 @@
 """Substring deduplication with suffix arrays: every byte of a window that also starts in a smaller document goes.
 
-Texts are packed into source shards, a row of a few MB each. Windows of ``LENGTH`` bytes are routed by their
+Texts are packed into source shards, a row of about 2 MB each. Windows of ``LENGTH`` bytes are routed by their
 minimizer, the least hash among the k-mers inside: equal windows have equal minimizers, so they meet in one
 content shard however far apart their documents lie, and neighbouring windows share a minimizer, so they
 travel together as one run. A first exchange of minimizers alone finds those that occur in two documents;
@@ -27,12 +27,35 @@ from .work import Workspace, free_shuffles, only, python_stage
 
 LENGTH, K = 50, 16
 #: Bytes of a source shard, of a content shard (by input), and of one suffix array.
-SHARD_BYTES, BUCKET_BYTES, ARRAY_BYTES = 4 << 20, 8 << 20, 2 << 20
+SHARD_BYTES, BUCKET_BYTES, ARRAY_BYTES = 2 << 20, 8 << 20, 2 << 20
+#: Bits of a minimizer's hash; two that share it cost a comparison, nothing else.
+HASH_BITS = 48
 #: Sorts behind all documents: rows without an id remove nothing elsewhere.
 NO_ID = np.iinfo(np.int64).max
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
 
 
+def squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte place by byte place, so that their high zero bytes take no room once squeezed."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes, n: int, at: int, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T.copy().view(kind).ravel()
+
+
 def words64(data: bytes) -> np.ndarray:
     """The little-endian 64-bit word at each byte; 64 zero bytes are appended, so every position has its words."""
     padded = data + bytes(72)
@@ -68,7 +91,7 @@ def runs(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     doc = np.searchsorted(ends, first, side="right")
     inside = first + LENGTH <= ends[doc]
     first, count, doc = first[inside], count[inside], doc[inside]
-    return least[first] * M4, doc, first, np.minimum(count, ends[doc] - LENGTH + 1 - first)
+    return (least[first] * M4) >> np.uint64(64 - HASH_BITS), doc, first, np.minimum(count, ends[doc] - LENGTH + 1 - first)
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -91,7 +114,7 @@ def suffix_array(data: bytes) -> np.ndarray:
             break
         at = order[open_]
         group, behind = rank[at], rank[np.minimum(at + have, n)]
-        by = np.lexsort((behind, group))
+        by = np.argsort(group * (n + 1) + behind + 1)
         at, group, behind = at[by], group[by], behind[by]
         order[open_] = at
         head[open_[1:]] = (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])
@@ -152,8 +175,8 @@ def _shards(docs: DataFrame) -> DataFrame:
         import xxhash
 
         def row(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-            i, ends, data = np.array(ids, dtype=np.int64).tobytes(), np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(), b"".join(texts)
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(i + ends + data)]), *(pa.array([x], pa.binary()) for x in (i, ends, data))], names=["shard", "ids", "ends", "data"])
+            i, ends, data = np.array(ids, dtype=np.int64).tobytes(), np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(), squeeze(b"".join(texts))
+            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(i + ends + data)]), *(pa.array([x], pa.binary()) for x in (squeeze(i), squeeze(ends), data)), pa.array([sum(map(len, texts))], pa.int64())], names=["shard", "ids", "ends", "data", "size"])
 
         ids: list[int] = []
         texts: list[bytes] = []
@@ -169,16 +192,16 @@ def _shards(docs: DataFrame) -> DataFrame:
         if ids:
             yield row(ids, texts)
 
-    return docs.mapInArrow(pack, "shard string, ids binary, ends binary, data binary")
+    return docs.mapInArrow(pack, "shard string, ids binary, ends binary, data binary, size long")
 
 
 def _shard(batch: pa.RecordBatch, i: int) -> tuple[str, np.ndarray, np.ndarray, bytes]:
-    return (batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_py(), np.int64), np.frombuffer(batch.column(2)[i].as_py(), np.int64), batch.column(3)[i].as_py())
+    return (batch.column(0)[i].as_py(), np.frombuffer(expand(batch.column(1)[i].as_py()), np.int64), np.frombuffer(expand(batch.column(2)[i].as_py()), np.int64), expand(batch.column(3)[i].as_py()))
 
 
 def _by_bucket(hashes: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     """Slices of ascending hashes by their top bits."""
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    bucket = (hashes >> np.uint64(HASH_BITS - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     cut = np.flatnonzero(np.diff(bucket)) + 1
     return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(np.append(0, cut), np.append(cut, len(bucket)), strict=True) if b > a]
 
@@ -198,12 +221,12 @@ def _minimizers(shards: DataFrame, bits: int) -> DataFrame:
                 h, doc, _, _ = runs(data, ends)
                 if not len(h):
                     continue
-                by = np.argsort(h, kind="stable")
+                by = np.argsort(h)
                 h, doc = h[by], ids[doc[by]]
                 start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
                 h = h[start]
-                yield _rows([(b, shard, h[s].tobytes() + least[s].tobytes() + (least[s] != most[s]).tobytes()) for b, s in _by_bucket(h, bits)], True)
+                yield _rows([(b, shard, squeeze(planes(h[s]) + planes(least[s]) + (least[s] != most[s]).tobytes())) for b, s in _by_bucket(h, bits)], True)
 
     return shards.mapInArrow(run, "bucket long, shard string, blob binary")
 
@@ -212,12 +235,12 @@ def _shared(table: pa.Table) -> pa.Table:
     """Of one content shard's minimizers those that occur in two documents, per source shard."""
     parts = []
     for blob in table.column("blob"):
-        raw = blob.as_py()
+        raw = expand(blob.as_py())
         n = len(raw) // 17
-        parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, bool, n, 16 * n)))
+        parts.append((from_planes(raw, n, 0, np.uint64), from_planes(raw, n, 8 * n, np.int64), np.frombuffer(raw, bool, n, 16 * n)))
     h, doc, more = (np.concatenate(x) for x in zip(*parts, strict=True))
     source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    by = np.argsort(h, kind="stable")
+    by = np.argsort(h)
     hs = h[by]
     start = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
     several = np.logical_or.reduceat(more[by], start) | (np.minimum.reduceat(doc[by], start) != np.maximum.reduceat(doc[by], start))
@@ -225,7 +248,7 @@ def _shared(table: pa.Table) -> pa.Table:
     keep[by] = np.repeat(several, np.diff(np.append(start, len(h))))
     cut = np.searchsorted(source, np.arange(len(parts) + 1))
     shard, bucket = table.column("shard").to_pylist(), table.column("bucket")[0].as_py()
-    rows = [(shard[i], bucket, h[a:b][keep[a:b]].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+    rows = [(shard[i], bucket, squeeze(planes(h[a:b][keep[a:b]])) if keep[a:b].any() else b"") for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
     return pa.Table.from_batches([_rows([r for r in rows if r[2]], False)])
 
 
@@ -258,8 +281,8 @@ class Forms:
 
 
 def _gathered(column: pa.ListScalar) -> np.ndarray:
-    blobs = column.as_py()
-    return np.frombuffer(b"".join(blobs), np.uint64) if blobs else np.zeros(0, np.uint64)
+    parts = [expand(b) for b in column.as_py() or []]
+    return np.concatenate([from_planes(p, len(p) // 8, 0, np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
 
 
 def _forms(joined: DataFrame, bits: int) -> DataFrame:
@@ -273,7 +296,7 @@ def _forms(joined: DataFrame, bits: int) -> DataFrame:
                     continue
                 h = np.array([x for x, _ in f.keys], dtype=np.uint64)
                 size = np.array([len(b) for _, b in f.keys], dtype=np.int64)
-                yield _rows([(b, shard, np.int64(s.stop - s.start).tobytes() + np.int64(s.start).tobytes() + h[s].tobytes() + f.least[s].tobytes() + size[s].tobytes() + b"".join(x for _, x in f.keys[s])) for b, s in _by_bucket(h, bits)], True)
+                yield _rows([(b, shard, squeeze(np.int64(s.stop - s.start).tobytes() + np.int64(s.start).tobytes() + h[s].tobytes() + f.least[s].tobytes() + size[s].tobytes() + b"".join(x for _, x in f.keys[s]))) for b, s in _by_bucket(h, bits)], True)
 
     return joined.mapInArrow(run, "bucket long, shard string, blob binary")
 
@@ -285,7 +308,7 @@ def _decided(table: pa.Table) -> pa.Table:
     """
     entries: list[tuple[int, bytes, int, int, int]] = []  # minimizer, bytes, least document, source, form
     for source, blob in enumerate(table.column("blob")):
-        raw = blob.as_py()
+        raw = expand(blob.as_py())
         n, base = np.frombuffer(raw, np.int64, 2).tolist()
         h = np.frombuffer(raw, np.uint64, n, 16).tolist()
         doc, size = np.frombuffer(raw, np.int64, n, 16 + 8 * n).tolist(), np.frombuffer(raw, np.int64, n, 16 + 16 * n).tolist()
@@ -343,7 +366,7 @@ def _decided(table: pa.Table) -> pa.Table:
     if waiting:
         contested()
     shard, bucket = table.column("shard").to_pylist(), table.column("bucket")[0].as_py()
-    return pa.Table.from_batches([_rows([(shard[k], bucket, np.array(sorted(v), dtype=np.int64).tobytes()) for k, v in sorted(out.items())], False)])
+    return pa.Table.from_batches([_rows([(shard[k], bucket, squeeze(np.array(sorted(v), dtype=np.int64).tobytes())) for k, v in sorted(out.items())], False)])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary, kept_sha256 string"
@@ -361,7 +384,7 @@ def _cut(joined: DataFrame, with_text: bool) -> DataFrame:
                 later = np.flatnonzero(f.doc > f.least[f.form]) if len(f.form) else np.zeros(0, np.int64)
                 np.add.at(mark, f.first[later], 1)
                 np.add.at(mark, f.first[later] + f.count[later] + LENGTH - 1, -1)
-                decided = b"".join(batch.column(5)[k].as_py() or [])
+                decided = b"".join(map(expand, batch.column(5)[k].as_py() or []))
                 d = np.frombuffer(decided, np.int64).reshape(-1, 3)
                 d = d[np.argsort(d[:, 0], kind="stable")]
                 own = np.flatnonzero(f.doc == f.least[f.form]) if len(f.form) else np.zeros(0, np.int64)
@@ -397,7 +420,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, text: str = "text",
     space = Workspace(spark, "suffix")
     shards = space.save(_shards(only(docs, id, text)), "shards")
     python_stage(spark, 2)
-    total = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total = shards.agg(F.sum("size")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
     shared = space.save(_minimizers(shards, bits).groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")
     free_shuffles(spark)
@@ -406,7 +429,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, text: str = "text",
     decided = space.save(_forms(joined.select("shard", "ids", "ends", "data", "shared"), bits).groupBy("bucket").applyInArrow(_decided, "shard string, bucket long, blob binary"), "decided")
     free_shuffles(spark)
     answers = decided.groupBy("shard").agg(F.collect_list("blob").alias("decided"))
-    last = shards.join(lists, "shard", "left").join(answers, "shard", "left").select("shard", "ids", "ends", "data", F.coalesce("shared", F.array().cast("array<binary>")).alias("shared"), "decided")
+    last = shards.drop("size").join(lists, "shard", "left").join(answers, "shard", "left").select("shard", "ids", "ends", "data", F.coalesce("shared", F.array().cast("array<binary>")).alias("shared"), "decided")
     return _cut(last, with_text)
 
 

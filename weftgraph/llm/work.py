@@ -72,9 +72,12 @@ class Workspace:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of plans that are no longer referenced."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the gateway lets go of Python's references a moment after they are gone
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 _SHIPPED: set[str] = set()
