@@ -112,6 +112,22 @@ def test_language(docs, empty, spark, rows):
     assert language_id.language_table(empty).count() == 0
 
 
+def test_learning_counts_copies_once(spark):
+    """A group of copies that is nearly all of a language leaves its other texts to be learnt; so do short texts and texts of few letters."""
+    other = spark.createDataFrame([(f"spam eggs {'abcdefghij'[i]} bacon ham toast beans sausage tea", "xx") for i in range(10)], "text string, lang string")
+    copies = spark.range(200_000).select(F.lit("copy of a copy " * 25).alias("text"), F.lit("xx").alias("lang"))
+    short = spark.createDataFrame([("kurz", "yy"), ("1 2 3", "yy"), ("", "zz"), (None, "zz"), ("12 34", "zz")], "text string, lang string")
+    made = language_id.learn(other.unionByName(copies).unionByName(short))
+    assert set(made) == {"xx", "yy"} and made["yy"] == b"kurz"
+    assert all(f"eggs {c} bacon".encode() in made["xx"] for c in "abcdefghij") and made["xx"].count(b"copy of a copy") <= 25
+
+
+def test_learning_draws_again(spark):
+    """Texts that shrink to a word leave a dictionary short, so that more of them are drawn."""
+    texts = spark.range(4000).select(F.concat(F.repeat(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" ")), 60)).alias("text"), F.lit("xx").alias("lang"))
+    assert len(language_id.learn(texts, per_language=2_000)["xx"]) >= 1_900
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for t in range(20):

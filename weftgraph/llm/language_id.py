@@ -35,26 +35,32 @@ def plain(text: str) -> bytes:
 def learn(labelled: DataFrame, per_language: int = DICTIONARY_BYTES, per_document: int = DOCUMENT_BYTES) -> dict[str, bytes]:
     """Dictionary per language from (text, lang) rows: documents in hash order, without likely mislabelled ones.
 
-    What is collected is bounded by the number of languages: a hash threshold, set from each language's
-    count, leaves a few times as many documents as a dictionary needs. Only these learning samples are cut, never a text to predict.
+    What is collected is bounded by the number of languages: a hash threshold, set from each language's count of
+    distinct texts and the bytes of letters in them, leaves a few times as many documents as a dictionary needs. Where
+    they still are too few, the threshold grows. Only these learning samples are cut, never a text to predict.
     """
-    usable = labelled.filter("lang is not null and length(text) > 20")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.least(F.octet_length("text"), F.lit(per_document))).alias("mean")).collect()
-    wanted = {r["lang"]: min(1.0, (12 * per_language / max(r["mean"], 1) + 100) / r["n"]) for r in counts}
-    if not wanted:
-        return {}
-    order = F.shiftrightunsigned(F.xxhash64("text"), 1)
-    share = F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col("lang"))
-    rows = (
-        usable.withColumn("order", order).filter(F.col("order") < share * float(1 << 63))
-        .groupBy("lang", "order").agg(F.min(F.substring("text", 1, per_document)).alias("text"))  # copies count once
-        .orderBy("lang", "order").collect()
-    )
+    piece, order = F.substring("text", 1, per_document), F.shiftrightunsigned(F.xxhash64("text"), 1)
+    usable = labelled.withColumn("piece", piece).filter(F.col("lang").isNotNull() & F.col("piece").rlike(r"\p{L}")).withColumn("order", order)
+    letters = F.octet_length(F.regexp_replace("piece", r"[^\p{L}]+", " "))
+    once = usable.groupBy("lang", "order").agg(F.max(letters).alias("size"))  # copies count once
+    counts = once.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).collect()
+    share = {r["lang"]: min(1.0, (12 * per_language / max(r["mean"], 1) + 100) / r["n"]) for r in counts}
+    done = dict.fromkeys(share, 0.0)
     texts: dict[str, list[bytes]] = {}
-    for r in rows:
-        have = texts.setdefault(r["lang"], [])
-        if sum(map(len, have)) < 3 * per_language:
-            have.append(plain(r["text"]))
+    while share:
+        low, high = (F.element_at(F.create_map(*(F.lit(x) for kv in at.items() for x in kv)), F.col("lang")) * float(1 << 63) for at in (done, share))
+        rows = (
+            usable.filter((F.col("order") >= low) & ((F.col("order") < high) | (high >= float(1 << 63))))
+            .groupBy("lang", "order").agg(F.min("piece").alias("text"))
+            .orderBy("lang", "order").collect()
+        )
+        for r in rows:
+            have = texts.setdefault(r["lang"], [])
+            if sum(map(len, have)) < 3 * per_language and (body := plain(r["text"])).strip():
+                have.append(body)
+        done = {k: v for k, v in share.items() if v < 1 and sum(map(len, texts.get(k, ()))) < 3 * per_language}
+        share = {k: min(1.0, 8 * v) for k, v in done.items()}
+    texts = {k: v for k, v in texts.items() if v}
     halves = [Classifier({k: b" ".join(v[h::2])[-per_language:] for k, v in texts.items()}) for h in (0, 1)]
     out = {}
     for k, v in sorted(texts.items()):  # a wrong label shows when the other half's dictionaries disagree with it
