@@ -118,6 +118,19 @@ def test_vectors_and_enrichment(spark):
     assert [(r.method, r.path, r.source) for r in got] == [("GET", "/real", "llm")]
 
 
+def test_grounded_in_any_quotes(spark, monkeypatch):
+    """Whatever stands before a literal on its line, however long it is and whatever other quotes it holds."""
+    long = "/" + "x" * 300
+    texts = spark.createDataFrame([("s", 'f("", "/a/b")'), ("s", "don't call \"/c\""), ("s", f"'{long}' \"/it's\" '/q\"q' `/tick` \"/mixed'"), ("t", '"""doc""" "/d" "/é"'), (None, '"/n"'), ("t", None)], "slug string, text string")
+    real = [("s", "/a/b"), ("s", "/c"), ("s", long), ("s", "/it's"), ("s", '/q"q'), ("t", "/d"), ("t", "/é")]
+    made = [("t", "/a/b"), ("s", "/a"), ("s", "/tick"), ("s", "/mixed"), ("s", "/d"), (None, "/n"), ("s", None), ("u", "/d")]
+    proposals = spark.createDataFrame(real + made + real[:1], "slug string, value string")
+    for size, values in ((1 << 20, 100_000), (8, 2)):
+        monkeypatch.setattr(semantic, "TEXT_BYTES", size)
+        monkeypatch.setattr(semantic, "VALUES", values)
+        assert sorted(map(tuple, semantic.grounded(proposals, texts).collect())) == sorted(real + real[:1])
+
+
 def test_scores(spark):
     questions = spark.createDataFrame([(1, "service"), (2, "symbol"), (3, "service")], "qid int, entity string")
     truth = spark.createDataFrame([(1, 0, "orders", ["orders-copy"]), (1, 1, "billing", []), (2, 0, "A.run", [])], "qid int, pos int, item string, aliases array<string>")

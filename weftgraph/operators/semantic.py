@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +35,44 @@ def changed(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return candidates.join(stored.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
 
 
+#: Bytes of a repository's texts, and values proposed for it, that are searched at once.
+TEXT_BYTES, VALUES = 1 << 20, 100_000
+
+
 def grounded(proposals: DataFrame, texts: DataFrame) -> DataFrame:
-    """Proposals (slug, value) that stand quoted in some text (slug, text) of their repository.
+    """Proposals (slug, value) that stand in single or double quotes in some text (slug, text) of their repository.
 
-    Quoted strings are cut out of the texts once and matched by equality, so a proposal costs a join and not
-    a search through every text.
+    Values may be of any length and hold any character. Each piece of a repository's texts goes once through an
+    automaton of the distinct values proposed for it.
     """
-    quoted = texts.select("slug", F.explode(F.regexp_extract_all("text", F.lit("[\"'`]([^\"'`\\n]{1,200})[\"'`]"), F.lit(1))).alias("value")).distinct()
+    def search(values: pa.Table, found_in: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for v in values.column("value").to_pylist():
+            for q in "\"'":
+                automaton.add_word(q + v + q, v)
+        found: set[str] = set()
+        if len(automaton):
+            automaton.make_automaton()
+            for text in found_in.column("text"):
+                found.update(v for _, v in automaton.iter(text.as_py()))
+        slug = values.column("slug")[0].as_py() if found else None
+        return pa.table({"slug": pa.array([slug] * len(found), pa.string()), "value": pa.array(sorted(found), pa.string())})
+
+    asked = proposals.select("slug", "value").filter("slug is not null and value is not null").distinct()
+    texts = texts.select("slug", "text").filter("slug is not null and text is not null")
+    parts = asked.groupBy("slug").agg(F.ceil(F.count(F.lit(1)) / VALUES).alias("_sets"))
+    sizes = texts.groupBy("slug").agg(F.ceil(F.greatest(F.sum(F.octet_length("text")), F.lit(1)) / TEXT_BYTES).alias("_pieces"))
+    plan = parts.join(sizes, "slug")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    needles = asked.join(plan, "slug").withColumn("_set", F.pmod(F.xxhash64("value"), "_sets").cast("int")).withColumn("_piece", spread("_pieces"))
+    hay = texts.join(plan, "slug").withColumn("_piece", F.pmod(F.xxhash64("text"), "_pieces").cast("int")).withColumn("_set", spread("_sets"))
+    key = ["slug", "_set", "_piece"]
+    # Copies of a text are searched once, so that they do not gather in one piece.
+    hay = hay.select(*key, "text").distinct().toDF(*key, "text")
+    needles = needles.select(*key, "value").toDF(*key, "value")
+    quoted = needles.groupBy(*key).cogroup(hay.groupBy(*key)).applyInArrow(search, "slug string, value string").distinct()
     return proposals.join(quoted, ["slug", "value"], "left_semi")
 
 

@@ -330,6 +330,18 @@ def grounding(spark, d):
     return semantic.grounded(proposals, texts)
 
 
+@query("""
+with t as (select lang as slug, concat('f("", "', replace(replace(text, chr(10), ' '), '. ', '.", "'), '")') as text from documents),
+p as (select distinct slug, rtrim(w, '.') || '.' as value from (select distinct slug from t where slug is not null), (select unnest(string_split(replace(text, chr(10), ' '), '. ')) as w from benchmark))
+select slug, value from p where exists (select 1 from t where t.slug = p.slug and (contains(t.text, '"' || value || '"') or contains(t.text, chr(39) || value || chr(39))))""")
+def grounding_passages(spark, d):
+    docs = load(spark, d, "documents")
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
+    texts = docs.select(F.col("lang").alias("slug"), F.concat(F.lit('f("", "'), F.replace(line, F.lit(". "), F.lit('.", "')), F.lit('")')).alias("text"))
+    sentences = load(spark, d, "benchmark").select(F.explode(F.split(line, r"\. ")).alias("w")).select(F.concat(F.rtrim("w", F.lit(".")), F.lit(".")).alias("value")).distinct()
+    return semantic.grounded(texts.select("slug").filter("slug is not null").distinct().crossJoin(sentences), texts)
+
+
 @query("""
 select doc_id, substr(sha1(concat_ws('|', lang, source, cast(n_chars as string))), 1, 16) as content_hash from documents where doc_id % 3 <> 0 or n_chars % 2 = 0""")
 def hash_gate(spark, d):
