@@ -131,6 +131,13 @@ def test_grounded_in_any_quotes(spark, monkeypatch):
         assert sorted(map(tuple, semantic.grounded(proposals, texts).collect())) == sorted(real + real[:1])
 
 
+def test_redaction_of_whole_texts(spark):
+    """Credentials and opaque tokens count wherever they stand, and blanks stay."""
+    rows = spark.createDataFrame([("see  postgres://me:pw@db/o\nand\t" + "A" * 30 + " \n",), (None,), ("",), ("plain words",)], "text string")
+    got = [r.v for r in rows.select(S.redact_tokens("text").alias("v")).collect()]
+    assert got == ["see  postgres://db/o\nand\t[redacted] \n", None, "", "plain words"]
+
+
 def test_scores(spark):
     questions = spark.createDataFrame([(1, "service"), (2, "symbol"), (3, "service")], "qid int, entity string")
     truth = spark.createDataFrame([(1, 0, "orders", ["orders-copy"]), (1, 1, "billing", []), (2, 0, "A.run", [])], "qid int, pos int, item string, aliases array<string>")

@@ -425,6 +425,13 @@ def redact(spark, d):
     return load(spark, d, "documents").select("doc_id", S.redact(F.element_at(F.split("text", " "), 1)).alias("value"))
 
 
+@query(r"""
+select doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '([A-Za-z][A-Za-z0-9+.\-]*://)[^/@\s]*@', '\1', 'g'), '[ \t\n\r\f"''`]+|[^ \t\n\r\f"''`]+'),
+  lambda w: case when regexp_matches(w, '^[A-Za-z0-9+/_-]{24,}={0,2}$') then '[redacted]' else w end), '') as value from documents""")
+def redact_texts(spark, d):
+    return load(spark, d, "documents").select("doc_id", S.redact_tokens("text").alias("value"))
+
+
 @query("""
 select distinct '/' || lower(p_type) || '/{}/' || cast(p_size as string) as path, concat(lower(p_type), '-size-', cast(p_size as string)) as slug from part""")
 def path_norm(spark, d):
