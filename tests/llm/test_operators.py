@@ -63,6 +63,22 @@ def test_license_expressions():
     assert license_scan.evaluate(license_scan.to_postfix("GPL-3.0-only AND MIT")) == ({"gpl", "mit"}, False)
 
 
+def test_long_license_expressions():
+    """Nothing behind a tag is cut: an operand far back counts, and a parenthesis may close far back."""
+    scan = lambda text: license_scan.scan(text, license_scan._automaton())
+    tag = "// SPDX-License-Identifier: "
+    *_, labels, score, expression, permissive = scan(tag + " AND ".join(["MIT"] * 40 + ["GPL-3.0-only"]) + " */ x")
+    assert labels == {"mit", "gpl"} and score == 1.0 and permissive is False and expression.endswith(" AND GPL-3.0-only")
+    *_, labels, score, expression, permissive = scan(tag + "(" + " OR ".join(["MIT"] * 50 + ["ISC"]) + ") AND (junk")
+    assert labels == {"mit", "isc"} and score == 1.0 and permissive is True and expression.endswith(" ISC )")
+    assert license_scan.tag_expression(": MIT*/ OR ISC\nOR BSD", 0) == "MIT" and license_scan.tag_expression(" :\nMIT", 0) == ""
+    for text in ("MIT OR (", "MIT AND (ISC OR BSD) WITH", "(MIT OR (ISC)", ") MIT", "MIT MIT", "MIT --> OR ISC"):
+        cut = re.split("-->", text)[0]
+        tokens = re.findall(r"[()]|[^\s()]+", cut)
+        best = next((" ".join(tokens[:n]) for n in range(len(tokens), 0, -1) if license_scan.to_postfix(" ".join(tokens[:n]))), "")
+        assert license_scan.tag_expression(text, 0) == best
+
+
 def test_license_scan(docs, empty, rows, spark):
     out = license_scan.scan_licenses(docs).collect()
     assert len(out) == len(rows)

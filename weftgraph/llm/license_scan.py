@@ -4,7 +4,7 @@ evaluates the and/or/with expressions behind the tags."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,44 +32,63 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: Bytes outside the words become a space, A-Z lower case; bytes from 0x80 on belong to words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, permissive boolean"
+TOKEN = re.compile(r"[()]|[^\s()]+")
+OPERAND = re.compile(r"[A-Za-z0-9][A-Za-z0-9.:+-]*")
+#: Blanks and colons behind a tag; tokens up to the end of the line.
+BEFORE, LINE_TOKEN = re.compile(r"[^\S\n]*:*"), re.compile(r"\n|[()]|[^\s()]+")
+COMMENT_END = re.compile(r"\*/|-->")
+
+
+def well_formed(tokens: Iterable[str]) -> list[str]:
+    """The longest well-formed prefix of the tokens, in one pass that ends at the first token that fits nowhere."""
+    seen: list[str] = []
+    operand, depth, last = False, 0, 0
+    for token in tokens:
+        low = token.lower()
+        if low == "(":
+            if operand:
+                break
+            depth += 1
+        elif low == ")":
+            if not operand or not depth:
+                break
+            depth -= 1
+        elif low in PRECEDENCE:
+            if not operand:
+                break
+            operand = False
+        elif operand or not OPERAND.fullmatch(token):
+            break
+        else:
+            operand = True
+        seen.append(token)
+        if operand and not depth:
+            last = len(seen)
+    return seen[:last]
 
 
 def to_postfix(expression: str) -> list[str] | None:
     """Shunting-yard: operands and operators in evaluation order; None if the expression is malformed."""
+    tokens = TOKEN.findall(expression)
+    if not tokens or len(well_formed(tokens)) < len(tokens):
+        return None
     out: list[str] = []
     stack: list[str] = []
-    operand = False
-    for token in re.findall(r"[()]|[^\s()]+", expression):
+    for token in tokens:
         low = token.lower()
         if low == "(":
-            if operand:
-                return None
             stack.append(low)
         elif low == ")":
-            if not operand:
-                return None
-            while stack and stack[-1] != "(":
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
         elif low in PRECEDENCE:
-            if not operand:
-                return None
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand = False
-        elif operand or not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.:+-]*", token):
-            return None
         else:
             out.append(token)
-            operand = True
-    while stack:
-        if stack[-1] == "(":
-            return None
-        out.append(stack.pop())
-    return out if operand else None
+    return out + stack[::-1]
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
@@ -78,7 +97,11 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     for token in postfix:
         if token in PRECEDENCE:
             (b, q), (a, p) = stack.pop(), stack.pop()
-            stack.append((a, p) if token == "with" else (a | b, p or q) if token == "or" else (a | b, p and q))
+            if token != "with":
+                a, b = (a, b) if len(a) > len(b) else (b, a)
+                a |= b
+                p = p or q if token == "or" else p and q
+            stack.append((a, p))
         else:
             low = token.lower()
             family = next(((label, free) for prefix, label, free in FAMILIES if low.startswith(prefix)), (f"id:{low.rstrip('+')}", False))
@@ -88,13 +111,18 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
 
 def tag_expression(text: str, at: int) -> str:
     """What stands behind a tag: to the end of the line, without comment ends; the longest well-formed prefix."""
-    line = text[at:].split("\n", 1)[0].strip().lstrip(":").strip()
-    line = re.split(r"\*/|-->", line)[0].strip()
-    tokens = re.findall(r"[()]|[^\s()]+", line)[:64]
-    for n in range(len(tokens), 0, -1):
-        if to_postfix(" ".join(tokens[:n])):
-            return " ".join(tokens[:n])
-    return ""
+
+    def tokens() -> Iterator[str]:
+        for m in LINE_TOKEN.finditer(text, BEFORE.match(text, at).end()):
+            if m[0] == "\n":
+                return
+            if end := COMMENT_END.search(m[0]):
+                if end.start():
+                    yield m[0][: end.start()]
+                return
+            yield m[0]
+
+    return " ".join(well_formed(tokens()))
 
 
 def _automaton():
