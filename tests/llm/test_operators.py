@@ -330,3 +330,13 @@ def test_jaccard(docs, empty, rows, spark, monkeypatch, long):
     assert by_rows(jaccard_join.jaccard_components(table, 4, 85), "doc_id", "n_shingles", "component_id") == sorted(groups_of(made, 4, 85), key=repr)
     kept = jaccard_join.keep_one_of_each(table, 4, 85)
     assert sorted(x.doc_id for x in kept.collect()) == sorted({g[2] for g in groups_of(made, 4, 85)})
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    """Rows and not ids are dropped: exactly one of each component stays, and every clean row."""
+    words = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    table = [(1, words("a")), (2, words("a") + " x"), (2, words("clean")), (3, words("b")), (3, words("b") + " x"), (None, words("c")), (None, words("c") + " x"), (None, words("d")), (7, words("d") + " x"), (None, None), (9, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    kept = Counter((r.doc_id, (r.text or "").split(" ")[0]) for r in jaccard_join.keep_one_of_each(docs).collect())
+    assert kept == Counter([(1, "a0"), (2, "clean0"), (3, "b0"), (None, "c0"), (7, "d0"), (None, ""), (9, "")])
+    assert jaccard_join.keep_one_of_each(docs.limit(0)).count() == 0

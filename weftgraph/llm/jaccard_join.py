@@ -231,7 +231,23 @@ def jaccard_table(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, size=4, percent=85)
 
 
+#: Column of the row number where ids do not tell rows apart.
+ROW = "__weft_row"
+
+
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The documents that name their component, and those without a name; all columns stay."""
-    found = jaccard_components(docs, size, percent, text, id).filter("doc_id <> component_id").select(F.col("doc_id").alias(id))
-    return docs.join(found, id, "left_anti").select(*docs.columns)
+    """One row per component, the one with the least id, and all rows that link with nothing; all columns stay.
+
+    Where ids repeat or are null, rows are numbered first, and of rows with the least id that with the least number stays;
+    a null id comes last.
+    """
+    ids = docs.select(id).agg(F.count(F.lit(1)).alias("n"), F.count(id).alias("known"), F.count_distinct(id).alias("ids")).first()
+    if ids["n"] == ids["ids"] == ids["known"]:
+        found = jaccard_components(docs, size, percent, text, id).filter("doc_id <> component_id").select(F.col("doc_id").alias(id))
+        return docs.join(found, id, "left_anti").select(*docs.columns)
+    space = Workspace(docs.sparkSession, "one-of-each")
+    numbered = space.save(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(numbered, size, percent, text, ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    named = numbered.select(ROW, F.col(id).isNull().alias("_null"), F.col(id).alias("_id")).join(found, ROW)
+    kept = named.groupBy("component_id").agg(F.min(F.struct("_null", "_id", ROW)).alias("k")).select(F.col(f"k.{ROW}").alias(ROW))
+    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
