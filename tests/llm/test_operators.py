@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -264,6 +265,23 @@ def test_mixing_reaches_targets(spark):
     assert all(abs(r.t - r.target) <= 37 and r.k <= 3 for r in out)
 
 
+def test_mixed_rows_stand_by_shard(spark):
+    """The written mix follows the draws: a shard stands in one partition, in the order of places."""
+    made = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    where = {}
+    for r in mixing.mix_table(made, shards=5).collect():
+        for d in r.draws:
+            where.setdefault(r.doc_id, []).append((d.shard, d.place, d.epoch))
+    parts = {}
+    for r in mixing.mixed_documents(made, shards=5).withColumn("p", F.spark_partition_id()).collect():
+        parts.setdefault(r.p, []).append(r.doc_id)
+    wanted = sorted((*at, i) for i, draws in where.items() for at in draws)
+    assert sum(map(len, parts.values())) == len(wanted) and len({s for s, *_ in wanted}) > 1
+    shard = {s: [i for t, *_, i in wanted if t == s] for s, *_ in wanted}
+    for ids in parts.values():
+        assert any(ids == sum(map(shard.get, some), []) for n in range(1, 6) for some in combinations(sorted(shard), n))
+
+
 def test_toxicity(docs, empty, spark, rows):
     rng = np.random.default_rng(4)
     made, labels = [], []

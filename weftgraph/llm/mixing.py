@@ -162,6 +162,10 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
                         (F.col("_mix_size") * F.size("_mix_draws")).cast("long").alias("taken"), F.col("_mix_draws").alias("draws"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is drawn, with its own columns only."""
-    return mix(docs, **options).select(*docs.columns, F.explode("_mix_draws").alias("_mix_draw")).drop("_mix_draw")
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
+    """The mix itself: each document as often as it is drawn, with its own columns only.
+
+    Rows come by output shard, each whole in one partition, and within a shard by place.
+    """
+    drawn = mix(docs, shards=shards, **options).select(*docs.columns, F.explode("_mix_draws").alias("_mix_draw"))
+    return drawn.repartition(shards, "_mix_draw.shard").sortWithinPartitions("_mix_draw.shard", "_mix_draw.place", "_mix_draw.epoch").drop("_mix_draw")
