@@ -236,8 +236,8 @@ def test_plan_holds_every_piece():
 
 
 def test_encoder_matches_tokenizer():
-    e = bin_packing.WordEncoder(bin_packing.default_tokenizer(), 5)
-    for x in ("It's DON'T we'll 3.5% a'b 's ''s", "Ünïcode ÉCOLE ß İ ΣΑΣ x　y", "a\x1cb <|endoftext|> c", "naïve1२3 ½", "", "  "):
+    e = bin_packing.WordEncoder(bin_packing.default_tokenizer(), 500)
+    for x in ("It's DON'T we'll 3.5% a'b 's ''s", "Ünïcode ÉCOLE ß İ ΣΑΣ x　y", "a\x1cb <|endoftext|> c", "naïve1२3 ½", "", "  ", "<|ENDOFTEXT|> x", "á ́b", "́ x", "w" * 70_000 + " x " * 9):
         assert e.encode(x) == np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

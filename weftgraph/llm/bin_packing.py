@@ -10,11 +10,10 @@ Pieces are numbered within their length and take their places in the pattern ins
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,8 @@ from .work import Workspace, python_stage, free_shuffles, only, with_rank
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of a worker's caches of words and of pieces; each is emptied when full, so its memory is bounded.
-CACHE_WORDS, CACHE_PIECES = 400_000, 900_000
+#: Bytes of words and ids that a worker keeps, and of texts that it encodes together.
+CACHE_BYTES, GATHER_BYTES = 96 << 20, 16 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,55 +35,103 @@ def default_tokenizer() -> str:
 
 #: Fixed values of a tokenizer that lower-cases, drops white space and then splits like this; its words are encoded one by one.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: White space to ``str.split`` only.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: A word of its own between the words of one call, and words of a call's text.
+MARK, CALL_WORDS = "\x01", 500
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit numbers, a batch at a time.
 
     If the tokenizer splits at white space before anything else (see ``SPLIT``), a text's ids are its words'
-    ids in order: each word, ASCII words piece by piece, is encoded once by the tokenizer itself and kept.
-    Any other tokenizer, and a text with the string of an added token, encodes the whole text.
+    ids in order: Arrow cuts a batch at ASCII white space and numbers its distinct words, the tokenizer sees
+    the words that are not known yet, many in one call with a mark between them, and the ids are gathered by
+    number. Any other tokenizer, and a text with the mark or the string of an added token, encodes the whole
+    text. Known words are kept as Arrow and numpy columns; beyond ``cache_bytes`` only those of the last batch stay.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = [*SEPARATORS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.alone = [MARK, *(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())]
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
         first = steps[0] if steps else {}
-        self.by_word = first.get("pattern") == {"Regex": SPLIT} and bool(first.get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and not made.get("post_processor")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.limits = cache_words, cache_pieces
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > self.limits[0]:
-            self.words.clear()
-        if len(self.pieces) > self.limits[1]:
-            self.pieces.clear()
-        parts = {w: ASCII_SPLIT.findall(w.lower()) if w.isascii() else [w] for w in words if w not in self.words}
-        new = list({p for ps in parts.values() for p in ps if p not in self.pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = array("I", e.ids).tobytes()
-        for w, ps in parts.items():
-            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join(map(self.pieces.__getitem__, ps))
+        mark = self.whole(MARK)
+        self.by_word = first.get("pattern") == {"Regex": SPLIT} and bool(first.get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and not made.get("post_processor") and len(mark) == 1
+        self.mark, self.limit = mark[:1], cache_bytes
+        self._keep(pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.known, self.ids, self.size = words, ids, size
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and how many each has."""
+        import pyarrow.compute as pc
+
+        ends = np.append(np.arange(0, len(words), CALL_WORDS), len(words)).astype(np.int32)
+        calls = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), words), f" {MARK} ").to_pylist()
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False)]
+        ids = np.concatenate([x for e in found for x in (e, self.mark)])
+        at = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of known words, and where those of each of the distinct ``words`` start and how many there are."""
+        import pyarrow.compute as pc
+
+        at = pc.index_in(words, self.known)
+        new = words.filter(at.is_null())
+        if len(new):
+            ids, size = self._encoded(new)
+            was, fresh = len(self.known), at.is_null().to_numpy(zero_copy_only=False)
+            self._keep(pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids]), np.concatenate([self.size, size]))
+            number = at.fill_null(0).to_numpy().copy()
+            number[fresh] = was + np.arange(len(new))
+        else:
+            number = at.to_numpy()
+        ids, size, first = self.ids, self.size[number], (np.cumsum(self.size) - self.size)[number]
+        if self.known.nbytes + ids.nbytes + self.size.nbytes > self.limit:
+            kept = np.sort(number)
+            n = self.size[kept]
+            self._keep(self.known.take(pa.array(kept)), ids[_ranges((np.cumsum(self.size) - self.size)[kept], n)], n)
+        return ids, first, size
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a batch; null is empty."""
+        import pyarrow.compute as pc
+
+        said = pc.fill_null(texts, "")
+        texts = pc.ascii_lower(said)
+        alone = np.full(len(texts), not self.by_word)
+        for token in self.alone:
+            alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if alone.any():
+            texts = pc.if_else(pa.array(alone), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        ids, first, size = self._look_up(numbered.dictionary)
+        number = numbered.indices.to_numpy()
+        count = size[number]
+        out = ids[_ranges(first[number], count)]
+        ends = np.append(0, np.cumsum(count))[np.cumsum(pc.list_value_length(split).to_numpy())]
+        for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            yield self.whole(said[k].as_py()) if alone[k] else out[a:b]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or any(x in text for x in self.whole):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-        return b"".join(map(self.words.__getitem__, words))
+        return next(self.batch(pa.array([text], pa.string()))).tobytes()
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] numbers), first[1], ..."""
+    past = np.cumsum(count)
+    kind = np.int32 if len(past) and max(int(past[-1]), int(first.max())) < 1 << 31 else np.int64
+    return np.repeat((first - past + count).astype(kind), count) + np.arange(past[-1] if len(past) else 0, dtype=kind)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -97,28 +144,36 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Null text is empty: a piece of the end id alone."""
     python_stage(docs.sparkSession)
+    names, kinds = [f.split()[0] for f in PIECES.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = encoder_for(tokenizer).encode, end_id.to_bytes(4, "little")
-        for batch in batches:
+        encoder, end = encoder_for(tokenizer), end_id.to_bytes(4, "little")
+        for batch in gathered(batches, GATHER_BYTES):
             out = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(value.as_py() or "") + end
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    out.append((doc, k, at, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
+                ids = found.tobytes() + end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     return only(docs, id, text).mapInArrow(cut, PIECES)
 
@@ -162,36 +217,57 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
     return out
 
 
+class Seats:
+    """Where a piece goes, from its length and its number among the pieces of that length.
+
+    A row per pattern and length, sorted: at most as many patterns as there are lengths, for each exhausts one,
+    of a few dozen lengths each. A piece finds its row by binary search.
+    """
+
+    def __init__(self, patterns: list[tuple[dict[int, int], int]]):
+        used: dict[int, int] = {}
+        rows, sequence = [], 0
+        for pattern, times in patterns:
+            offset = 0
+            for x, n in sorted(pattern.items(), reverse=True):
+                rows.append((x, used.get(x, 0), sequence, n, offset))
+                used[x] = used.get(x, 0) + n * times
+                offset += n * x
+            sequence += times
+        made = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5).T
+        self.key, (self.first, self.sequence, self.many, self.at) = self._key(made[0], made[1]), made[1:]
+
+    @staticmethod
+    def _key(length: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (length << 44) + number
+
+    def of(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and place in it of each piece."""
+        row = np.searchsorted(self.key, self._key(length, number), side="right") - 1
+        inside = number - self.first[row]
+        return self.sequence[row] + inside // self.many[row], self.at[row] + inside % self.many[row] * length
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents longer than ``capacity`` are cut. Null and empty texts hold the end id alone. Repeated
     rows are packed as often as they stand there; pieces that tie are interchangeable, so equal lengths may
-    swap places between runs on other partitions. An empty table gives an empty result. Other columns are
-    not read.
+    swap places between runs on other partitions. A very long text is cut into as many pieces as it needs; the
+    worker holds its ids once. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "packing")
     cut = space.save(pieces(docs, tokenizer, capacity, end_id, text, id), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    used: dict[int, int] = {}
-    rows, sequence = [], 0
-    for pattern, times in plan(histogram, capacity):
-        offset = 0
-        for x, n in sorted(pattern.items(), reverse=True):
-            first = used.get(x, 0)
-            used[x] = first + n * times
-            rows.append((x, first, used[x], sequence, n, offset))
-            offset += n * x
-        sequence += times
-    #: A row per pattern and length: at most `capacity` patterns exhaust a length each, of a few dozen lengths.
-    places = spark.createDataFrame(rows, "length long, first long, past long, sequence long, many int, at int")
-    total = sum(histogram.values())
-    ranked = with_rank(cut, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], [F.col("doc_id"), F.col("piece")], total, "_rank")
+    seats = Seats(plan(histogram, capacity))
+    ranked = with_rank(cut, "length", [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], [F.col("doc_id"), F.col("piece")], sum(histogram.values()), "_rank")
     free_shuffles(spark)
-    inside = (F.col("_rank") - F.col("first"))
-    return ranked.join(F.broadcast(places), "length").filter("_rank >= first and _rank < past").select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("sequence") + F.floor(inside / F.col("many"))).cast("long").alias("sequence_id"),
-        (F.col("at") + inside % F.col("many") * F.col("length")).cast("long").alias("offset"),
-    )
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, rank = batch.columns
+            found = seats.of(kept[3].to_numpy(), rank.to_numpy())
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(seat, f"{PIECES}, sequence_id long, offset long")

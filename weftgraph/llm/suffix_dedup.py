@@ -419,7 +419,6 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, text: str = "text",
     python_stage(spark)
     space = Workspace(spark, "suffix")
     shards = space.save(_shards(only(docs, id, text)), "shards")
-    python_stage(spark, 2)
     total = shards.agg(F.sum("size")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
     shared = space.save(_minimizers(shards, bits).groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")

@@ -97,11 +97,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
-def python_stage(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Before a stage in Python: ship the code, keep Arrow batches small (a batch of very long texts must fit)."""
+#: Most bytes of an Arrow batch. One bound for all stages, as a plan reads it when it runs, not when it is made.
+BATCH_BYTES = 8 << 20
+
+
+def python_stage(spark: SparkSession) -> None:
+    """Before a stage in Python: ship the code, bound Arrow batches in bytes (a batch of very long texts must fit).
+
+    The bound stays with the session; it is the same for every stage, and a smaller one of the session's own is left alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def only(docs: DataFrame, *names: str) -> DataFrame:
