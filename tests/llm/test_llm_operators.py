@@ -148,7 +148,7 @@ def test_learning_draws_again(spark):
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for t in range(20):
-        data = bytes(rng.integers(97, 99, int(rng.integers(1, 300)), dtype=np.uint8)) if t % 2 else b"abcab" * int(rng.integers(1, 60))
+        data = bytes(rng.integers(97, 99, int(rng.integers(1, 300)), dtype=np.uint8)) if t % 2 else b"abcab" * int(rng.integers(1, 60)) + bytes(t)
         order = suffix_dedup.suffix_array(data)
         suffixes = [data[i:] for i in order]
         assert suffixes == sorted(data[i:] for i in range(len(data)))
@@ -187,6 +187,52 @@ def test_substring_dedup(docs, empty, rows, monkeypatch):
     assert suffix_dedup.substring_table(empty).count() == 0
 
 
+def suffix_chain(rows, per_shard, bits):
+    """The stages of the substring deduplication on lists, without Spark: removed flags per row."""
+    import pyarrow as pa
+
+    s = suffix_dedup
+    texts = [(s.NO_ID if i is None else i, (t or "").encode()) for i, t, *_ in rows]
+    shards = [texts[k : k + per_shard] for k in range(0, len(texts), per_shard)]
+    packed = [pa.RecordBatch.from_pydict({"shard": [str(k)], "ids": [s.squeeze(np.array([i for i, _ in part]).tobytes())], "ends": [s.squeeze(np.cumsum([len(b) for _, b in part]).tobytes())], "data": [s.squeeze(b"".join(b for _, b in part))]}) for k, part in enumerate(shards)]
+
+    class Frame:  # what mapInArrow and applyInArrow need
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, _):
+            return [x for b in self.batches for x in run(iter([b]))]
+
+    def by(batches, column, run=None):
+        table = pa.Table.from_batches(batches)
+        found = {k: table.filter(pa.compute.equal(table.column(column), k)) for k in sorted(set(table.column(column).to_pylist()))}
+        return found if run is None else [b for t in found.values() for b in run(t).to_batches()]
+
+    def lists(batches):
+        return {k: sorted(t.column("blob").to_pylist()) for k, t in by(batches, "shard").items()} if batches else {}
+
+    shared = lists(by(s._minimizers(Frame(packed), bits), "bucket", s._shared))
+    joined = [b.append_column("shared", pa.array([shared[k]], pa.list_(pa.binary()))) for b in packed if (k := b.column(0)[0].as_py()) in shared]
+    answers = lists(by(s._forms(Frame(joined), bits), "bucket", s._decided))
+    last = [b.append_column("shared", pa.array([shared.get(k, [])], pa.list_(pa.binary()))).append_column("decided", pa.array([answers.get(k, [])], pa.list_(pa.binary()))) for b in packed for k in [b.column(0)[0].as_py()]]
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for b in s._cut(Frame(last), False) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("change", [{}, {"ARRAY_BYTES": 300}, {"HOT_RUNS": 2}, {"HOT_RUNS": 2, "ARRAY_BYTES": 200}, {"CHUNK": 97}, {"RUN": 3, "ARRAY_BYTES": 500}, {"HASH_BITS": 3, "ARRAY_BYTES": 250}])
+def test_substring_stages(rows, monkeypatch, change):
+    """All branches: pieces of a minimizer merged by binary search, hot minimizers taken apart, texts looked at in chunks, colliding hashes."""
+    for name, value in change.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    if "CHUNK" in change:
+        monkeypatch.setattr(suffix_dedup.Runs.__init__, "__defaults__", (None, None, change["CHUNK"]))
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abc"), 80)) for _ in range(6)]
+    crossing = [(50 + k, "".join(texts[x] for x in rng.integers(0, 6, 4)), None, None) for k in range(40)]  # every passage in many contexts
+    odd = [(200, " " * 900, None, None), (201, "ab" * 300 + " " * 400, None, None), (202, "\0" * 120, None, None), (203, "x" + "\0" * 110, None, None), (204, None, None, None), (50, crossing[3][1], None, None)]
+    for table, per_shard, bits in (([*rows, *crossing, *odd], 7, 1), (crossing, 100, 0), (odd, 1, 2)):
+        assert sorted(suffix_chain(table, per_shard, bits), key=repr) == sorted(cut_of(table), key=repr)
+
+
 def first_fit(lengths, capacity):
     rooms = []
     for x in sorted(lengths, reverse=True):
