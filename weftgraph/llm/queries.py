@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.kd_shards(table(spark, sf_dir, "documents"))
+    return sharding.kd_shards(table(spark, sf_dir, "documents"), sharding.SHARDS)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,32 @@
 """Sharding by K-d tree: recursive splits at distributed weighted medians along the widest dimension.
 
-The dimensions are metadata: id, size, language, source. Each row has one integer key per dimension, whose
-high bits are the coordinate and whose low bits a hash of text and id: ties of any size can be split, and
-equal texts with equal metadata stay together as far as the sizes allow. A level of the tree costs one
-aggregation for the extents and a few for the medians, which are found by refining histograms until the bin
-that holds the median weighs next to nothing. The driver sees nodes and bins only, a bounded number at once.
+Rows with equal texts are a group and share the metadata of its least row: id, size, language, source. Each
+row has one integer key per dimension, whose high bits are that coordinate, the bits below a hash of the text,
+the lowest a hash of the row: a group stays together, yet one of any size can be split. A level of the
+tree costs one aggregation for the extents and a few for the medians, which are found by refining histograms
+until the bin that holds the median weighs next to nothing or is a small group. Extents, histograms and their
+running sums are DataFrame aggregations over rows that carry their node; the driver sees a row per node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import Workspace, only, python_stage, with_rank
+from .work import Workspace, only, skew_safe_join, with_rank
 
-COORD_BITS, TIE_BITS, DOC_BITS = 24, 39, 19
+#: Bits of a key: coordinate, text, row.
+COORD_BITS, TEXT_BITS, ROW_BITS = 24, 22, 17
+TIE_BITS = TEXT_BITS + ROW_BITS
 BIN_BITS = 10
-#: Nodes whose histograms are collected at once: nodes times 2 ** BIN_BITS rows at most.
-FRONTIER = 512
-#: A split may miss its share by this part of a shard.
-TOLERANCE = 0.001
+#: A split may miss its share by this part of a shard; a group up to that part of a shard is not split.
+TOLERANCE, WHOLE_GROUP = 0.001, 0.05
 DIMENSIONS = ("doc_id", "size", "lang", "source")
+KEYS = [f"k{i}" for i in range(len(DIMENSIONS))]
 SHARDS = 24
+#: Nodes whose split rows are broadcast; with more they are joined by node.
+MAX_BROADCAST = 20_000
 
 
 def _scaled(value: Column, low: float, high: float) -> Column:
@@ -33,143 +34,105 @@ def _scaled(value: Column, low: float, high: float) -> Column:
     return F.coalesce(F.least(F.lit(top), F.floor((value - low) / max(high - low, 1e-9) * top)), F.lit(0)).cast("long")
 
 
-class Tree:
-    """Splits by node number: children of ``n`` are ``2n + 1`` (below the key) and ``2n + 2``; leaves hold a shard."""
+def _by_code(value: str) -> Column:
+    """The first three bytes of a text as a number, so that names which sort together lie together; null is the least."""
+    return F.when(F.col(value).isNotNull(), F.conv(F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, COORD_BITS // 8)), COORD_BITS // 4, "0"), 16, 10).cast("long")).otherwise(0)
 
-    def __init__(self, leaves: int):
-        self.leaves, self.splits, self.count, self.first = leaves, {}, {0: leaves}, {0: 0}
 
-    def split(self, node: int, dimension: int, key: int) -> None:
-        n = self.count[node]
-        self.splits[node] = (dimension, key)
-        self.count |= {2 * node + 1: n // 2, 2 * node + 2: n - n // 2}
-        self.first |= {2 * node + 1: self.first[node], 2 * node + 2: self.first[node] + n // 2}
+def _per_node(rows: DataFrame, made: list[tuple], schema: str) -> DataFrame:
+    """Rows joined with what is known of their nodes."""
+    nodes = rows.sparkSession.createDataFrame(made, schema)
+    return rows.join(F.broadcast(nodes) if len(made) <= MAX_BROADCAST else nodes, "node")
 
-    def route(self, keys: np.ndarray) -> np.ndarray:
-        """Node of each row; ``keys`` has a row per dimension."""
-        at = np.zeros(keys.shape[1], dtype=np.int64)
-        todo = [(0, np.arange(keys.shape[1]))]
-        while todo:
-            node, rows = todo.pop()
-            if node not in self.splits or not len(rows):
-                at[rows] = node
-                continue
-            dimension, key = self.splits[node]
-            low = keys[dimension, rows] < key
-            todo += [(2 * node + 1, rows[low]), (2 * node + 2, rows[~low])]
-        return at
-
-
-def _routed(rows: DataFrame, tree: Tree, bins: dict[int, tuple[int, int, int]] | None = None) -> DataFrame:
-    """Add ``node`` and, for nodes in ``bins`` (dimension, low, shift), the histogram bin ``bin`` (else -1)."""
-    names = [f"k{i}" for i in range(len(DIMENSIONS))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = b[names].to_numpy(dtype=np.int64).T.reshape(len(names), len(b))
-            node = tree.route(keys)
-            out = np.full(len(b), -1, dtype=np.int64)
-            for n, (dimension, low, shift) in (bins or {}).items():
-                at = np.flatnonzero(node == n)
-                x = (keys[dimension, at] - low) >> shift
-                out[at] = np.where(keys[dimension, at] < low, -1, np.minimum(x, 1 << BIN_BITS))
-            yield b[["weight", *names]].assign(node=node, bin=out)
-
-    return rows.mapInPandas(run, f"weight long, {', '.join(f'{n} long' for n in names)}, node long, bin long")
-
-
-def _median(rows: DataFrame, tree: Tree, nodes: dict[int, tuple[int, float, float]]) -> dict[int, int]:
-    """Per node (dimension, weight wanted below, tolerance): the key that splits it there."""
-    top = COORD_BITS + TIE_BITS
-    state = {n: (d, 0, top, want) for n, (d, want, _) in nodes.items()}
+
+def _step(bits: int) -> int:
+    """Bits below the bins of the next histogram of a range of 2 ** bits keys; one histogram ends where the rows of a text begin."""
+    return max(ROW_BITS if bits > ROW_BITS else 0, bits - BIN_BITS)
+
+
+def _medians(rows: DataFrame, wanted: dict[int, tuple[int, float]], share: float) -> dict[int, int]:
+    """Per node (dimension, weight wanted below): the key that splits it there; ``share`` is the weight of a shard."""
+    state = {n: (d, 0, COORD_BITS + TIE_BITS, want) for n, (d, want) in wanted.items()}
     done: dict[int, int] = {}
     while state:
-        bins = {n: (d, low, max(0, bits - BIN_BITS)) for n, (d, low, bits, _) in state.items()}
-        width = {n: min(bits, BIN_BITS) for n, (_, _, bits, _) in state.items()}
-        counted = _routed(rows, tree, bins).filter("bin >= 0").groupBy("node", "bin").agg(F.sum("weight").alias("w")).collect()
-        found: dict[int, dict[int, int]] = {}
-        for r in counted:
-            if r["bin"] < 1 << width.get(r["node"], 0):
-                found.setdefault(r["node"], {})[r["bin"]] = r["w"]
+        made = [(n, d, low, bits, _step(bits), float(want)) for n, (d, low, bits, want) in state.items()]
+        at = _per_node(rows, made, "node long, dimension int, low long, bits int, step int, want double").withColumn("_x", F.element_at(F.array(*KEYS), F.col("dimension") + 1) - F.col("low"))
+        inside = at.filter((F.col("_x") >= 0) & F.expr("shiftright(_x, bits) = 0"))
+        counted = inside.groupBy("node", "want", F.expr("shiftright(_x, step)").alias("bin")).agg(F.sum("weight").alias("w"))
+        sums = counted.withColumn("past", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))  # at most 2 ** BIN_BITS rows a node
+        found = {r["node"]: r["b"] for r in sums.filter("past > want").groupBy("node").agg(F.min(F.struct("bin", "w", "past")).alias("b")).collect()}
         for n, (d, low, bits, want) in list(state.items()):
-            shift, total = bins[n][2], 0.0
-            hist = sorted(found.get(n, {}).items())
-            cut = 1 << width[n]
-            for b, w in hist:
-                if total + w > want:
-                    cut = b
-                    break
-                total += w
-            weight = dict(hist).get(cut, 0)
-            if shift == 0 or weight <= nodes[n][2]:
-                closer = weight and want - total > total + weight - want
-                done[n] = low + (cut + bool(closer) << shift)
+            step = _step(bits)
+            if n not in found:  # all of it is wanted below
+                done[n] = low + (1 << bits)
+                del state[n]
+                continue
+            cut, weight, before = found[n]["bin"], found[n]["w"], found[n]["past"] - found[n]["w"]
+            if step == 0 or weight <= (WHOLE_GROUP if step == ROW_BITS else TOLERANCE) * share:
+                closer = want - before > before + weight - want
+                done[n] = low + (cut + bool(closer) << step)
                 del state[n]
             else:
-                state[n] = (d, low + (cut << shift), shift, want - total)
+                state[n] = (d, low + (cut << step), step, want - before)
     return done
 
 
-def grow(rows: DataFrame, leaves: int, total: float) -> Tree:
-    tree, level = Tree(leaves), [0]
-    while level := [n for n in level if tree.count[n] > 1]:
-        following = []
-        for start in range(0, len(level), FRONTIER):
-            part = level[start : start + FRONTIER]
-            extent = _routed(rows, tree).filter(F.col("node").isin(part)) if len(tree.splits) else _routed(rows, tree)
-            wide = extent.groupBy("node").agg(
-                F.sum("weight").alias("w"),
-                *(F.max(F.shiftright(f"k{i}", TIE_BITS)).alias(f"h{i}") for i in range(len(DIMENSIONS))),
-                *(F.min(F.shiftright(f"k{i}", TIE_BITS)).alias(f"l{i}") for i in range(len(DIMENSIONS))),
-            ).collect()
-            nodes = {r["node"]: (max(range(len(DIMENSIONS)), key=lambda i, r=r: (r[f"h{i}"] - r[f"l{i}"], -i)),
-                                 r["w"] * (tree.count[r["node"]] // 2) / tree.count[r["node"]], TOLERANCE * total / leaves) for r in wide}
-            for n in part:  # a node without rows splits anywhere
-                nodes.setdefault(n, (0, 0.0, 0.0))
-            keys = _median(rows, tree, {n: v for n, v in nodes.items() if n in {r["node"] for r in wide}})
-            for n in part:
-                tree.split(n, nodes[n][0], keys.get(n, 0))
-                following += [2 * n + 1, 2 * n + 2]
-        level = following
-    return tree
-
-
-def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
+def grow(rows: DataFrame, leaves: int, total: float, space: Workspace) -> DataFrame:
+    """``rows`` (weight, keys and more) with ``shard``: the number of the leaf that each falls into."""
+    at, first, count = rows.withColumn("node", F.lit(0).cast("long")), {0: 0}, {0: leaves}
+    level = 0
+    while any(n > 1 for n in count.values()):
+        at = space.save(at, f"level-{level}")
+        open_ = [(n, c // 2 / c) for n, c in count.items() if c > 1]
+        wide = _per_node(at, open_, "node long, part double").groupBy("node", "part").agg(
+            F.sum("weight").alias("w"),
+            *(F.max(F.shiftright(k, TIE_BITS)).alias(f"h{k}") for k in KEYS), *(F.min(F.shiftright(k, TIE_BITS)).alias(f"l{k}") for k in KEYS),
+        ).collect()
+        wanted = {r["node"]: (max(range(len(KEYS)), key=lambda i, r=r: (r[f"h{KEYS[i]}"] - r[f"l{KEYS[i]}"], -i)), r["w"] * r["part"]) for r in wide}
+        keys = _medians(at, wanted, total / leaves)
+        made = [(n, wanted[n][0], keys[n]) if n in keys else (n, 0, 0) for n, _ in open_]  # a node without rows splits anywhere
+        split = F.broadcast if len(made) <= MAX_BROADCAST else lambda x: x
+        low = F.element_at(F.array(*KEYS), F.col("_dimension") + 1) < F.col("_key")
+        at = at.join(split(at.sparkSession.createDataFrame(made, "node long, _dimension int, _key long")), "node", "left").withColumn(
+            "node", F.when(F.col("_key").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(low, 1).otherwise(2))).drop("_dimension", "_key")
+        for n, _ in open_:
+            c, f = count.pop(n), first.pop(n)
+            count |= {2 * n + 1: c // 2, 2 * n + 2: c - c // 2}
+            first |= {2 * n + 1: f, 2 * n + 2: f + c // 2}
+        level += 1
+    return _per_node(at, list(first.items()), "node long, shard int")
+
+
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard; leaves of near equal bytes.
 
-    ``shards`` leaves, or as many as bring a leaf to ``target_bytes``. Size is the UTF-8 bytes of the text
-    (null: none) plus 8. Null metadata counts as the least coordinate. Rows that tie in every key and have
-    one doc_id share a shard; an empty table gives an empty result. One document larger than a shard makes
-    its shard that large. Other columns are not read.
+    ``target_bytes``: as many leaves as bring the mean of a leaf to it; or ``shards`` leaves. Size is the
+    UTF-8 bytes of the text (null: none) plus 8. Null metadata counts as the least coordinate. Rows of one
+    text share a shard unless they weigh more than ``WHOLE_GROUP`` of it; a larger group is split between
+    rows, and rows that tie in text and id share a shard. One document larger than a shard makes its shard
+    that large. An empty table gives an empty result. Other columns are not read; a text of any length is
+    read once, for its hashes and its length.
     """
+    if (shards is None) == (target_bytes is None):
+        raise ValueError("give either shards or target_bytes")
     body = F.coalesce(F.col("text"), F.lit(""))
     base = only(docs, "doc_id", "text", "lang", "source").select(
         "doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(body).alias("_text"), *(F.when(F.col(c).isNotNull(), F.xxhash64(c).bitwiseAND((1 << COORD_BITS) - 1)).otherwise(0).alias(f"_{c}") for c in ("lang", "source")),
+        F.xxhash64(body).alias("_text"), *(_by_code(c).alias(f"_{c}") for c in ("lang", "source")),
     )
-    python_stage(docs.sparkSession)
     space = Workspace(docs.sparkSession, "sharding")
     slim = space.save(base, "slim")
     seen = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("size").alias("most")).first()
-    tie = F.shiftleft(F.col("_text").bitwiseAND((1 << (TIE_BITS - DOC_BITS)) - 1), DOC_BITS) + F.xxhash64("doc_id", "text_crc32").bitwiseAND((1 << DOC_BITS) - 1)
+    total = float(seen["w"] or 0)
+    leaves = shards or max(1, int(-(-total // target_bytes)))
+    groups = space.save(slim.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "_lang", "_source")).alias("_of")), "groups")
+    tie = F.shiftleft(F.col("_text").bitwiseAND((1 << TEXT_BITS) - 1), ROW_BITS) + F.xxhash64("doc_id", "text_crc32").bitwiseAND((1 << ROW_BITS) - 1)
     coordinates = (
-        _scaled(F.col("doc_id"), float(seen["lo"] or 0), float(seen["hi"] or 0)),
-        _scaled(F.log("size"), 2.0, float(np.log(max(seen["most"] or 9, 9)))), F.col("_lang"), F.col("_source"),
+        _scaled(F.col("_of.doc_id"), float(seen["lo"] or 0), float(seen["hi"] or 0)),
+        _scaled(F.log("size"), 2.0, float(np.log(max(seen["most"] or 9, 9)))), F.col("_of._lang"), F.col("_of._source"),
     )
-    keys = space.save(slim.select("doc_id", "size", "text_crc32", F.col("size").alias("weight"), *(
-        (F.shiftleft(c, TIE_BITS) + tie).alias(f"k{i}") for i, c in enumerate(coordinates))), "keys")
-    if seen["n"] == 0:
-        tree = Tree(1)
-    else:
-        tree = grow(keys.select("weight", *(f"k{i}" for i in range(len(DIMENSIONS)))), max(1, shards or -(-seen["w"] // target_bytes)), float(seen["w"]))
-    first = tree.first
-    leaf = {n: first[n] for n in tree.count if n not in tree.splits}
-
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            node = tree.route(b[[f"k{i}" for i in range(len(DIMENSIONS))]].to_numpy(dtype=np.int64).T.reshape(len(DIMENSIONS), len(b)))
-            yield b[["doc_id", "size", "text_crc32"]].assign(shard=[leaf[x] for x in node])
-
-    placed = space.save(keys.select("doc_id", "size", "text_crc32", *(f"k{i}" for i in range(len(DIMENSIONS)))).mapInPandas(shard, "doc_id long, size long, text_crc32 long, shard int"), "placed")
+    keys = skew_safe_join(slim, groups, "_text", "_n", seen["n"]).select("doc_id", "size", "text_crc32", F.col("size").alias("weight"), *(
+        (F.shiftleft(c, TIE_BITS) + tie).alias(k) for k, c in zip(KEYS, coordinates, strict=True)))
+    placed = space.save(grow(keys, leaves, total, space).select("doc_id", "size", "text_crc32", "shard"), "placed")
     ranked = with_rank(placed, "shard", [F.col("doc_id"), F.col("text_crc32")], [F.col("doc_id"), F.col("text_crc32")], seen["n"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
