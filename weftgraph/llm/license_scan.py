@@ -140,9 +140,13 @@ def scan(text: str, automaton) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(TABLE).split()
     line = " " + b" ".join(words).decode("latin-1") + " "
     starts, base, labels, tags = [], set(), set(), 0
+    counted, blanks = 0, 0  # hits come by their ends and no phrase is long, so the count of blanks hardly ever goes back
     for end, phrase in automaton.iter(line):
         if phrase in BASE_PHRASES:
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            at = end - len(phrase)
+            blanks += line.count(" ", counted, at) if at >= counted else -line.count(" ", at, counted)
+            counted = at
+            starts.append(blanks - 1)
             base.add(BASE_PHRASES[phrase])
         elif phrase in MORE_PHRASES:
             labels.add(MORE_PHRASES[phrase])
@@ -165,8 +169,8 @@ def scan(text: str, automaton) -> tuple:
 def scan_licenses(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per document: the columns of ``SCHEMA``.
 
-    Null and empty texts have no words, labels are then empty and the score 0. Where phrases overlap each
-    place counts. A malformed expression is cut to its longest well-formed prefix. Every row gives one row;
+    Null and empty texts have no words, labels are then empty and the score 0. Where phrases overlap or
+    tie in a place each counts. A text of any length is read in one pass. A malformed expression is cut to its longest well-formed prefix. Every row gives one row;
     an empty table an empty result. Other columns are not read.
     """
     python_stage(docs.sparkSession)
