@@ -8,8 +8,11 @@
 3. Every column links its nodes to one leader first. Components of the found links then rule out most of
    the rest: only pairs across components are still multiplied, so a group of copies costs its size, not
    the square, and no link between different components is lost.
-4. The product accumulates overlaps in column blocks of the hash space; after the first block a pair goes
-   if even a full match of what is left cannot reach the size-derived minimum.
+4. The product accumulates overlaps block of columns by block of columns. The first block is the columns of
+   the prefixes: a pair's overlap there is summed over the columns in which both have an entry, and a pair
+   goes if it is below what its sizes ask of prefixes. The others are the two parts of the hash space, row by
+   row of the pairs still open; after the first of them a pair goes if even a full match of what is left
+   cannot reach the size-derived minimum.
 """
 
 from __future__ import annotations
@@ -149,8 +152,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
 
     Sets of ``size``-word shingles link if their Jaccard similarity is at least ``percent`` %. Texts of fewer
     words are one shingle; texts without words, and null, link with nothing. Ids need not be unique; rows
-    with a null id link others but name no component. An empty table gives an empty result. Other columns
-    are not read.
+    with a null id link others but name no component. Repeated rows and copies are one node, and of pairs
+    that tie none is left out. A text of any length is one set, held by one worker at a time. An empty table
+    gives an empty result. Other columns are not read.
     """
     space = Workspace(docs.sparkSession, "jaccard")
     slim = only(docs, id, text).toDF("doc_id", "text")
@@ -183,7 +187,7 @@ def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, si
     free_shuffles(spark)
     # A node must meet others in as many columns as two linked sets share within their prefixes.
     enough = every.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).filter("k >= least").select("node")
-    short = space.save(every.join(enough, "node", "left_semi").select("token", "c", "node", "n", "at"), "short")
+    short = space.save(every.join(enough, "node", "left_semi").select("token", "c", "node", "n", "least", "at"), "short")
     involved = space.save(nodes.join(enough, "node", "left_semi").select("node", "hash", "doc_id"), "involved")
     space.drop("entries")
     if involved.count() <= MAX_BROADCAST:
@@ -201,8 +205,9 @@ def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, si
     alive = shared.withColumn("m", F.size("t")).filter(F.col("m") >= least_overlap(F.col("n"), percent))
     kept = F.slice("t", 1, F.greatest(F.col("m") - least_overlap(F.col("n"), percent) + 1, F.lit(0)))
     long = space.save(alive.select("node", "n", "m", F.posexplode(kept).alias("at", "x")).select(F.col("x.token").alias("token"), "node", "n", "m", "at"), "long")
-    entries = short.filter(F.col("c") < LONG).select(F.lit(0).alias("part"), "token", "node", "n", F.col("n").alias("m"), "at").unionByName(
-        long.select(F.lit(1).alias("part"), "token", "node", "n", "m", "at"))
+    # Two linked sets that share no long column share ``least`` short ones; of those that share a long one, one column of the new order.
+    entries = short.filter(F.col("c") < LONG).select(F.lit(0).alias("part"), "token", "node", "n", F.col("n").alias("m"), "least", "at").unionByName(
+        long.select(F.lit(1).alias("part"), "token", "node", "n", "m", F.lit(1).alias("least"), "at"))
 
     # One leader a column: the node with the fewest shingles of its own.
     leaders = entries.groupBy("part", "token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), F.col("node"))).alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("part", "token", F.col("l.node").alias("leader"))
@@ -216,12 +221,15 @@ def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, si
     placed = space.save(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("part", "token").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("part", "token")
     open_ = space.save(placed.join(mixed, ["part", "token"]), "open")
-    a, b = (open_.select("part", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "m", "at", "root"))) for s in "ab")
+    a, b = (open_.select("part", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "m", "least", "at", "root"))) for s in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     pairs = a.join(b, ["part", "token"]).filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.least("m_a", "m_b") >= need) & (1 + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b")) - 1 >= need)
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        & (F.least("m_a", "m_b") >= need)
+        # at the k-th of the shared columns k - 1 are behind, the rest must still fit; the first ``least`` of them are counted
+        & (F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b")) + F.least("least_a", "least_b") - 1 >= need)
+    ).groupBy("part", F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("o"), F.min(F.least("least_a", "least_b")).alias("least")).filter(
+        F.col("o") >= F.col("least")).select("a", "b").distinct()
     left = space.save(pairs.join(star, ["a", "b"], "left_anti"), "left")
     second = space.save(_product(left, sets, percent), "links-2")
     return first.unionByName(second)
@@ -231,23 +239,21 @@ def jaccard_table(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, size=4, percent=85)
 
 
-#: Column of the row number where ids do not tell rows apart.
-ROW = "__weft_row"
-
-
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row per component, the one with the least id, and all rows that link with nothing; all columns stay.
+    """One row per component, the one with the least id, and all rows that link with nothing; all columns stay, whatever their names.
 
-    Where ids repeat or are null, rows are numbered first, and of rows with the least id that with the least number stays;
-    a null id comes last.
+    Null, empty and wordless texts link with nothing and stay. Where ids repeat or are null, rows are numbered
+    first, and of rows with the least id that with the least number stays; a null id comes last. An empty
+    table gives an empty result.
     """
-    ids = docs.select(id).agg(F.count(F.lit(1)).alias("n"), F.count(id).alias("known"), F.count_distinct(id).alias("ids")).first()
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    ids = docs.select(F.col(f"`{id}`").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("known"), F.count_distinct("id").alias("ids")).first()
     if ids["n"] == ids["ids"] == ids["known"]:
         found = jaccard_components(docs, size, percent, text, id).filter("doc_id <> component_id").select(F.col("doc_id").alias(id))
-        return docs.join(found, id, "left_anti").select(*docs.columns)
+        return docs.join(found, id, "left_anti").select(*every)
     space = Workspace(docs.sparkSession, "one-of-each")
-    numbered = space.save(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    found = jaccard_components(numbered, size, percent, text, ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    named = numbered.select(ROW, F.col(id).isNull().alias("_null"), F.col(id).alias("_id")).join(found, ROW)
-    kept = named.groupBy("component_id").agg(F.min(F.struct("_null", "_id", ROW)).alias("k")).select(F.col(f"k.{ROW}").alias(ROW))
-    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
+    numbered = space.save(docs.select(F.struct(*every).alias("_doc"), F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = jaccard_components(numbered, size, percent, "_text", "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    named = numbered.select("_row", F.col("_id").isNull().alias("_null"), "_id").join(found, "_row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("_null", "_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select("_doc.*")
