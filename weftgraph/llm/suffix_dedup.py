@@ -34,6 +34,8 @@ from .work import Workspace, free_shuffles, only, python_stage
 LENGTH, K = 50, 16
 #: Bytes of a source shard, of a content shard (by input), and of one suffix array.
 SHARD_BYTES, BUCKET_BYTES, ARRAY_BYTES = 2 << 20, 8 << 20, 1 << 20
+#: Bytes of input per task of an exchange.
+PART_BYTES = 32 << 20
 #: Windows of a run at most, windows looked at together, and different runs from which on a minimizer is taken apart.
 RUN, CHUNK, HOT_RUNS = 64, 4 << 20, 20_000
 #: Bits of a minimizer's hash; two that share it cost a comparison, nothing else.
@@ -517,13 +519,15 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, text: str = "text",
     shards = space.save(_shards(only(docs, id, text)), "shards")
     total = shards.agg(F.sum("size")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
-    shared = space.save(_minimizers(shards, bits).groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")
+    parts = max(1, -(-total // PART_BYTES))  # tasks grow in number with the input and not in size
+    shared = space.save(_minimizers(shards, bits).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")
     free_shuffles(spark)
-    lists = shared.groupBy("shard").agg(F.sort_array(F.collect_list("blob")).alias("shared"))
+    shards = shards.repartition(parts, "shard")
+    lists = shared.repartition(parts, "shard").groupBy("shard").agg(F.sort_array(F.collect_list("blob")).alias("shared"))
     joined = shards.join(lists, "shard")
-    decided = space.save(_forms(joined.select("shard", "ids", "ends", "data", "shared"), bits).groupBy("bucket").applyInArrow(_decided, "shard string, bucket long, blob binary"), "decided")
+    decided = space.save(_forms(joined.select("shard", "ids", "ends", "data", "shared"), bits).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_decided, "shard string, bucket long, blob binary"), "decided")
     free_shuffles(spark)
-    answers = decided.groupBy("shard").agg(F.collect_list("blob").alias("decided"))
+    answers = decided.repartition(parts, "shard").groupBy("shard").agg(F.collect_list("blob").alias("decided"))
     last = shards.drop("size").join(lists, "shard", "left").join(answers, "shard", "left").select("shard", "ids", "ends", "data", F.coalesce("shared", F.array().cast("array<binary>")).alias("shared"), "decided")
     return _cut(last, with_text)
 
