@@ -31,12 +31,20 @@ def sha256(text: Column) -> Column:
 
 
 def _located(docs: DataFrame, space: Workspace) -> DataFrame:
-    """Documents with the locator (file, row) of their content; a table that is no file scan is written first."""
+    """Documents as one struct ``_doc``, with the locator (file, row) of their content; a table that is no file scan, or has a ``_metadata`` of its own, is written first."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(LOCATOR)
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    return docs.select(doc, place) if _is_scan(docs) else space.save(docs.select(doc), "docs").select("_doc", place)
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    if "_metadata" in docs.columns:
+        return False
     try:
-        return docs.select("*", place)
+        docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
-        return space.save(docs, "docs").select("*", place)
+        return False
+    return True
 
 
 def _keyed_state(slim: DataFrame, space: Workspace, spark: SparkSession) -> DataFrame:
@@ -75,7 +83,7 @@ def decide(docs: DataFrame, text: str, id: str, digest: Callable[[Column], Colum
     spark = docs.sparkSession
     space = Workspace(spark, "exact-dedup")
     located = _located(docs, space)
-    full = located.select(F.col(f"`{id}`").alias("_id"), LOCATOR, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_body"))
+    full = located.select(F.col(f"_doc.`{id}`").alias("_id"), LOCATOR, F.coalesce(F.col(f"_doc.`{text}`"), F.lit("")).alias("_body"))
     full = full.withColumn("_digest", digest(F.col("_body"))).withColumn("_bytes", F.octet_length("_body"))
     state = space.save(_keyed_state(full.drop("_body"), space, spark), "state")
     space.drop("stream")
@@ -110,8 +118,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", digest:
 
     Texts are compared unchanged; null text counts as empty. Of equal texts the row with the largest ``id``
     stays (a null id is the smallest); of rows that also share that id, the one with the greatest locator. An
-    empty table gives an empty result. Other columns are not read, so their names cannot clash. ``digest``
-    may be any function of the text: its collisions are resolved on the full bytes.
+    empty table gives an empty result. Texts of any length are compared whole, on the executors. Other columns
+    are not read, so their names cannot clash. The state of the stream serves one call and is deleted behind
+    it; a later batch goes through with the documents before it. ``digest`` may be any function of the text: its collisions are resolved on the full bytes.
     """
     _, rows = decide(docs, text, id, digest)
     return rows.select(
@@ -121,6 +130,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", digest:
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The documents that stay, with all their columns (one named ``__weft_locator`` excepted)."""
+    """The documents that stay, with all their columns, whatever their names.
+
+    One row of each text stays, null and empty ones as one text; which, and what holds for repeated rows and
+    an empty table, is as in ``exact_dedup``.
+    """
     located, rows = decide(docs, text, id, digest)
-    return located.join(rows.filter(~F.col("_kept")).select(LOCATOR), LOCATOR, "left_anti").select(*docs.columns)
+    return located.join(rows.filter(~F.col("_kept")).select(LOCATOR), LOCATOR, "left_anti").select("_doc.*")

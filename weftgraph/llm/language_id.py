@@ -96,7 +96,8 @@ class Classifier:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per document: doc_id, lang_pred, score, rejected; ties go to the first language by name.
 
-    A null, empty or letterless text is ``und`` and rejected. Each row gives one row; an empty table an empty
+    A null, empty or letterless text is ``und`` and rejected. A text of any length is compressed whole, piece
+    by piece. Each row gives one row; an empty table an empty
     result. Other columns are not read.
     """
     python_stage(docs.sparkSession)

@@ -99,19 +99,22 @@ def _dimension(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED,
         text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and ``draws`` added (prefixed ``_mix_``): one struct (epoch, shard, place) per copy taken.
+    """Each document as struct ``_doc``, with size, source_size, target and ``draws`` (prefixed ``_mix_``): one struct (epoch, shard, place) per copy taken.
 
     Size is the number of words (null text: 0). Sources are weighed in code point order, null last, by
     ``weights`` repeating. The order of documents is a hash of id and text, so reruns agree; rows that repeat
-    another in both are taken together with it. An empty table gives an empty result. The tables collected
-    have a row per source and a row per document of one block per source.
+    another in both are taken together with it. Null and empty texts have no words: they cost their source
+    nothing and come as often as its whole passes and the place of their hash have it. Texts of any length are
+    drawn whole. An empty table gives an empty result. The tables collected have a row per source and a row
+    per document of one block per source.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "mixing")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.crc32(body.cast("binary"))), 64 - HASH_BITS)
     name = F.col(f"`{source}`") if source in docs.columns else F.lit(None).cast("string")
-    added = docs.withColumns({"_mix_size": F.size(words_of(body)).cast("long"), "_mix_order": order, "_mix_known": name.isNotNull(), "_mix_source": F.coalesce(name, F.lit(""))})
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    added = docs.select(doc.alias("_doc"), F.size(words_of(body)).cast("long").alias("_mix_size"), order.alias("_mix_order"), name.isNotNull().alias("_mix_known"), F.coalesce(name, F.lit("")).alias("_mix_source"))
     slim = space.save(added.select("_mix_known", "_mix_source", "_mix_size", "_mix_order"), "slim")
     key = ["_mix_known", "_mix_source"]
     sources = sorted(slim.groupBy(*key).agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (not r[0], r[1]))
@@ -152,20 +155,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float
         F.size(F.filter("_mix_ends", lambda x: x <= e * F.col("_mix_blocks") + F.col("_mix_at"))).alias("shard"),
         F.xxhash64(e, F.lit(seed), "_mix_order").alias("place"))))
     return joined.withColumn("_mix_at", block).withColumn("_mix_draws", F.coalesce(struct, F.array().cast("array<struct<epoch:int,shard:int,place:bigint>>"))).select(
-        *docs.columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_draws")
+        "_doc", "_mix_size", "_mix_source_size", "_mix_target", "_mix_draws")
 
 
 def mix_table(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted), draws."""
     mixed = mix(only(docs, "doc_id", "text", "source"), **options)
-    return mixed.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
+    return mixed.select("_doc.doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
                         (F.col("_mix_size") * F.size("_mix_draws")).cast("long").alias("taken"), F.col("_mix_draws").alias("draws"))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
     """The mix itself: each document as often as it is drawn, with its own columns only.
 
-    Rows come by output shard, each whole in one partition, and within a shard by place.
+    Rows come by output shard, each whole in one partition, and within a shard by place. All columns stay,
+    whatever their names. What holds for nulls, empty texts, repeated rows and an empty table is as in ``mix``.
     """
-    drawn = mix(docs, shards=shards, **options).select(*docs.columns, F.explode("_mix_draws").alias("_mix_draw"))
-    return drawn.repartition(shards, "_mix_draw.shard").sortWithinPartitions("_mix_draw.shard", "_mix_draw.place", "_mix_draw.epoch").drop("_mix_draw")
+    drawn = mix(docs, shards=shards, **options).select("_doc", F.explode("_mix_draws").alias("_mix_draw"))
+    return drawn.repartition(shards, "_mix_draw.shard").sortWithinPartitions("_mix_draw.shard", "_mix_draw.place", "_mix_draw.epoch").select("_doc.*")

@@ -107,7 +107,8 @@ def quality_rules(docs: DataFrame, text: str = "text", id: str = "doc_id", host:
 
     A document is kept if it passes the rules itself and its host is not rejected. Null text has no words and
     fails; a null host is no host, its documents are judged alone. Ties cannot arise; repeated rows count
-    as often as they stand there. An empty table gives an empty result. Other columns are not read.
+    as often as they stand there. A text of any length is judged whole, in the JVM. An empty table gives an
+    empty result. Other columns are not read.
     """
     slim = only(docs, id, text, host).toDF("doc_id", "_text", "_host")
     space = Workspace(docs.sparkSession, "quality")
@@ -115,7 +116,10 @@ def quality_rules(docs: DataFrame, text: str = "text", id: str = "doc_id", host:
 
 
 def keep_quality(docs: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that are kept, with their columns only; texts are read once for the rules."""
+    """The documents that are kept, with their columns only, whatever their names; texts are read once for the rules.
+
+    What holds for nulls, empty and very long texts, repeated rows and an empty table is as in ``quality_rules``.
+    """
     has_host = F.col(f"`{host}`") if host in docs.columns else F.lit(None).cast("string")
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("_text"), has_host.alias("_host"))
     rows = document_rules(inner).select("_doc", "_host", "base_failed")

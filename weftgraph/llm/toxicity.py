@@ -116,7 +116,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """Learn on labels outside fold ``held``, score all documents. Without labels of both classes nothing is toxic."""
+    """Learn on labels outside fold ``held``, score all documents. Without labels of both classes nothing is toxic.
+
+    Null and empty texts are learnt and scored by the bias alone. Labels and documents without an id teach
+    nothing; of repeated labels the highest counts, of repeated documents the greatest text. Documents of more
+    than ``SAMPLE_BYTES`` bytes are scored whole but teach nothing. An empty table gives an empty result, an
+    empty table of labels a model of which nothing is toxic. Other columns are not read.
+    """
     rows = sample(only(docs, "doc_id", "text"), only(labels, "doc_id", "toxic").filter(fold(F.col("doc_id"), folds) != held))
     model = fit(rows) if len({y for _, y in rows}) == 2 else (np.array([1 << BITS]), np.array([-3.0], dtype=np.float32))
     scored = score(docs, model)
