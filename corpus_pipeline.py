@@ -13,22 +13,27 @@ from weftgraph.llm.work import Workspace
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host is not rejected; null and empty texts fail. All columns stay; repeated rows share their verdict."""
     return quality_rules.keep_quality(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that with the largest id (null is the smallest); null and empty are one text. All columns stay."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that with the least id (null is the largest); texts without words stay. All columns stay."""
     return jaccard_join.keep_one_of_each(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target has them (0 to 3 times), by output shard. A null source is one, the last; wordless texts cost nothing. All columns stay."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens; null and empty texts are the end id alone, a document drawn twice is packed twice."""
     return bin_packing.pack(docs, bin_packing.default_tokenizer())
 
 
