@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.operators import resolve
-from weftgraph.sources import deps, files, guidance, python_code, scip, script_code
+from weftgraph.sources import deps, files, guidance, python_code, registry, scip, script_code
 
 ORDERS = '''
 from fastapi import APIRouter, FastAPI
@@ -47,7 +47,7 @@ def tree(spark, rows):
 
 def test_python_to_edges(spark):
     facts = python_code.read_python(tree(spark, [("orders", "app.py", ORDERS), ("billing", "web.py", BILLING), ("billing", "bad.py", "def x(:\n@a.get('/p')")])).cache()
-    found = {(r.slug, r.method, r.path, r.id) for r in python_code.interfaces(facts).collect()}
+    found = {(r.slug, r.method, r.path, r.id) for r in registry.interfaces(facts).collect()}
     assert found == {
         ("orders", "GET", "/v1/orders/{id}", "interface:orders:get-v1-orders-id"), ("orders", "POST", "/v1/orders/bulk", "interface:orders:post-v1-orders-bulk"),
         ("orders", "PUT", "/v1/orders/bulk", "interface:orders:put-v1-orders-bulk"), ("orders", "PUBLISH", "orders-created", "interface:orders:publish-orders-created"),
@@ -56,7 +56,7 @@ def test_python_to_edges(spark):
     assert {(r.slug, r.verb, r.path, r.host) for r in calls.collect()} == {("orders", "GET", "/invoices/{}", "billing"), ("orders", "POST", "/stock/all", None)}
     assert {(r.file, r.reason) for r in python_code.skipped_sites(facts).collect()} == {("app.py", "non-literal-url"), ("bad.py", "unparseable")}
     services = spark.createDataFrame([("orders",), ("billing",)], "slug string")
-    edges = resolve.call_edges(resolve.match_calls(calls, python_code.interfaces(facts), services)).collect()
+    edges = resolve.call_edges(resolve.match_calls(calls, registry.interfaces(facts), services)).collect()
     assert [(e.from_slug, e.to_slug, e.confidence, e.via_paths) for e in edges] == [("orders", "billing", "corroborated", ["/invoices/{}"])]
     spans = {r.id for r in python_code.symbol_spans(facts).filter("repo = 'billing'").collect()}
     assert spans == {"code_symbol:billing:web.py::invoice", "code_symbol:billing:web.py::Late", "code_symbol:billing:web.py::Late.run", "code_symbol:billing:web.py::Late.run@11"}
@@ -71,7 +71,7 @@ def test_scripts(spark):
         ("route", "GET", "/a", None), ("route", "GET", "/b", None), ("route", "POST", "/c", None), ("outbound", "GET", "/{}/d", "pay"), ("outbound", "GET", "/e", None), ("skipped", "PUT", None, None),
         ("route", "GET", "/api/orders", None), ("route", "GET", "/api/orders/:id", None), ("route", "POST", "/api/orders/:id/pay", None), ("route", "GET", "/api/ping", None), ("route", "GET", "/", None),
         ("outbound", "GET", "/p/{}", "pay"), ("action", None, None, None)}
-    assert {r.name for r in rows if r.fact == "action"} == {"api/orders#show"}
+    assert {(r.name, r.extra) for r in rows if r.fact == "action"} == {("api/orders#show", "full"), ("orders#show", "bare")}
 
 
 def test_config(spark):
@@ -84,7 +84,7 @@ def test_config(spark):
 
 
 def test_scan(spark, tmp_path):
-    for name in ("r/a.py", "r/node_modules/b.py", "r/x/id_rsa.py", "r/x/c.py", "r/skip/d.py", "r/e.txt"):
+    for name in ("r/a.py", "r/node_modules/b.py", "r/x/my_secret.py", "r/x/c.py", "r/skip/d.py", "r/e.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("1")
     assert {r.path for r in files.scan(spark, str(tmp_path), (".py",), ignore=("skip/",)).collect()} == {"a.py", "x/c.py"}

@@ -1,49 +1,190 @@
-"""Source trees as DataFrames: one row per file (repo, path, content), excluded paths dropped before content is read."""
+"""Source trees as DataFrames: one row per file (repo, path, content).
+
+A repository is walked by one task, which never enters an excluded directory; what is left is dealt out by
+path, and only then are contents read. Names that start with a dot or an underscore are files like others,
+symbolic links are not followed.
+"""
 
 from __future__ import annotations
 
 import fnmatch
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Directories never entered, names that hold secrets.
-SKIPPED_DIRS = (".git", ".venv", "venv", "env", "node_modules", "__pycache__", "dist", "build", "vendor", ".context", "tests", "test")
-SECRET_NAMES = ("*.pem", "*.key", "id_rsa*", "*.p12", "*.pfx", "secrets.*", "credentials*")
+from ..functions.scalar import ADDRESS_WORDS, LOOPBACK, bare_host, bare_port, redact
+from ..shipping import ship
+
+#: Directories no reader enters.
+SKIPPED_DIRS = (
+    ".git", ".hg", ".svn", ".venv", "venv", "env", ".env", "node_modules", "bower_components", "vendor", ".bundle", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox",
+    "dist", "build", ".next", ".nuxt", "target", "coverage", ".context", ".idea", ".vscode", ".claude", ".dual-graph",
+)
+#: Directories the readers of configuration do not enter.
+CONFIG_SKIPPED = (".git", ".venv", "venv", "env", "node_modules", "__pycache__", "dist", "build", "vendor", ".context", "tests", "test")
+#: Files never read, whatever a repository says; configuration alone may read ``.env``, redacted.
+SECRET_NAMES = (
+    ".env", ".env.*", "*.env", "*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "*.keystore", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "*secret*", "*credential*", "*password*", "*.crt.key",
+    ".npmrc", ".pypirc", ".netrc", ".htpasswd", "*.sqlite", "*.sqlite3", "*.db",
+)
+#: Names of configuration files, and of Python modules that may name channels.
 CONFIG_NAMES = ("config*.json", "config*.yaml", "config*.yml", "settings*.json", "settings*.yaml", "settings*.yml", ".env*", "*.env")
+CONFIG_MODULES = ("settings*.py", "config*.py")
+#: What marks a directory as a repository.
+MARKERS = (".git", "pyproject.toml", "setup.py", "requirements.txt", "package.json", "Gemfile", "Gemfile.lock", "config/routes.rb")
+MARKER_SUFFIXES = (".py", ".ts", ".rb")
+MANIFESTS = ("weftgraph.yaml", "weftgraph.yml", "weftgraph.json")
+IGNORE_FILE = ".weftignore"
+#: Keys of a channel, words of its direction, keys under which a service names its own port and itself.
+CHANNEL_KEY = r"(?i)(^|_)(QUEUE(_NAME|_URL|_ARN)?|TOPIC(_NAME|_ARN)?|STREAM(_NAME)?|EXCHANGE|ROUTING_KEY)$"
+CONSUME_WORDS = ("SUBSCRIBE", "SUBSCRIPTION", "CONSUME", "CONSUMER", "LISTEN", "RECEIVE", "INCOMING", "INBOUND", "WORKER")
+PUBLISH_WORDS = ("PUBLISH", "PRODUCE", "PRODUCER", "DISPATCH", "TRIGGER", "SEND", "EMIT", "OUTGOING", "OUTBOUND", "NOTIFY")
+PORT_KEYS = ("PORT", "SERVER_PORT", "HTTP_PORT", "APP_PORT", "LISTEN_PORT")
+NAME_KEYS = ("NAME", "APP_NAME", "SERVICE_NAME", "PROJECT_NAME")
+
+
+def excluded_by(patterns: list[str]) -> Callable[[str], bool]:
+    """A test of relative paths: a glob hits the bare name, the whole path, or a directory the path lies in."""
+    globs = [p for p in (line.strip() for line in patterns) if p and not p.startswith("#")]
+    whole = "|".join(fnmatch.translate(form) for p in (g.rstrip("/") for g in globs) for form in (p, f"{p}/*"))
+    if not whole:
+        return lambda path: False
+    test = re.compile(whole).match
+    return lambda path: bool(test(path) or test(path.rpartition("/")[2]))
+
+
+class Tree:
+    """Listing and reading of one folder, local or in any store that Arrow opens."""
+
+    def __init__(self, root: str):
+        scheme, _, rest = root.partition("://")
+        self.local = not rest or scheme == "file"
+        if self.local:
+            self.root = (rest if rest else root.removeprefix("file:")).rstrip("/") or "/"
+        else:
+            from pyarrow import fs
 
+            self.fs, self.root = fs.FileSystem.from_uri(root)
 
-def patterns_regex(patterns: list[str]) -> str:
-    """One regular expression for globs that hit a name, a relative path or anything below it."""
-    every = [p.strip().rstrip("/") for p in patterns if p.strip() and not p.lstrip().startswith("#")]
-    return "|".join(f"(^|/){fnmatch.translate(p).removeprefix('(?s:').rsplit(')', 1)[0]}(/|$)" for p in every) or "(?!)"
+    def entries(self, folder: str) -> list[tuple[str, bool]]:
+        """Names and whether they are directories, in order; a folder that cannot be read has none."""
+        at = f"{self.root}/{folder}" if folder else self.root
+        try:
+            if self.local:
+                with os.scandir(at) as found:
+                    return sorted((e.name, e.is_dir(follow_symlinks=False)) for e in found if not e.is_symlink())
+            from pyarrow import fs
 
+            return sorted((e.base_name, e.type == fs.FileType.Directory) for e in self.fs.get_file_info(fs.FileSelector(at)))
+        except OSError:
+            return []
 
-def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), names: tuple[str, ...] = (), ignore: tuple[str, ...] = (), max_parts: int = 0, skip: tuple[str, ...] = SKIPPED_DIRS) -> DataFrame:
-    """Files below ``root``/<repo>/: repo, path (relative), content (binary).
+    def read(self, path: str) -> bytes | None:
+        try:
+            if self.local:
+                with open(f"{self.root}/{path}", "rb") as f:
+                    return f.read()
+            with self.fs.open_input_stream(f"{self.root}/{path}") as f:
+                return f.read()
+        except OSError:
+            return None
 
-    Paths are filtered first and contents of what is left are read by the executors; ``max_parts`` bounds
-    the depth. Order is by (repo, path) where a consumer needs one.
+    def walk(self, skip: tuple[str, ...] = (), excluded: Callable[[str], bool] = lambda path: False, max_parts: int = 0) -> Iterator[str]:
+        """Paths of files in order, excluded directories not entered; with ``max_parts`` no deeper than so many segments."""
+        todo = [""]
+        while todo:
+            folder = todo.pop()
+            inner = []
+            for name, is_dir in self.entries(folder):
+                path = f"{folder}/{name}" if folder else name
+                if excluded(path):
+                    continue
+                if not is_dir:
+                    yield path
+                elif name not in skip and not (max_parts and path.count("/") + 2 > max_parts):
+                    inner.append(path)
+            todo += reversed(inner)
+
+
+def ignore_lines(tree: Tree) -> list[str]:
+    """What a repository itself asks to leave out; it can add to the exclusions, never take from them."""
+    return (tree.read(IGNORE_FILE) or b"").decode("utf-8", "replace").splitlines()
+
+
+def repositories(spark: SparkSession, base: str, every: bool = False) -> DataFrame:
+    """(repo, root) of the directories below ``base`` that are repositories: a manifest, else a marker, else any source in them.
+
+    ``every``: all directories that are not excluded. The driver lists ``base`` itself only.
     """
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_extract("path", f"{root.rstrip('/').split(':')[-1].lstrip('/')}/(.*)$", 1)
-    at = every.withColumn("_rel", below).withColumn("repo", F.substring_index("_rel", "/", 1)).withColumn("path", F.expr("substr(_rel, length(repo) + 2)"))
-    inside = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip))) if skip else F.lit(False)
-    wanted = ~inside & ~F.col("path").rlike(patterns_regex([*ignore, *SECRET_NAMES]))
-    if suffixes:
-        wanted = wanted & F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
-    if names:
-        wanted = wanted & F.element_at(F.split("path", "/"), -1).rlike("^(" + "|".join(fnmatch.translate(n) for n in names) + ")")
-    if max_parts:
-        wanted = wanted & (F.size(F.split("path", "/")) <= max_parts)
-    return at.filter(wanted).select("repo", "path", "content")
-
-
-def flatten(value, prefix: str = "") -> Iterator[tuple[str, str]]:
+    tree = Tree(base)
+    names = [(n, f"{base.rstrip('/')}/{n}") for n, is_dir in tree.entries("") if is_dir and not n.startswith(".") and n not in CONFIG_SKIPPED]
+    made = spark.createDataFrame(names, "repo string, root string")
+    if every:
+        return made
+    ship(spark)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[is_repository(Tree(root)) for root in frame["root"]]]
+
+    return made.repartition("repo").mapInPandas(run, "repo string, root string")
+
+
+def is_repository(tree: Tree) -> bool:
+    there = {name for name, _ in tree.entries("")}
+    nested = {f"config/{name}" for name, _ in tree.entries("config")} if "config" in there else set()
+    if there & set(MANIFESTS) or (there | nested) & set(MARKERS):
+        return True
+    return any(path.endswith(MARKER_SUFFIXES) for path in tree.walk())
+
+
+def listing(repos: DataFrame, suffixes: tuple[str, ...] = (), names: tuple[str, ...] = (), ignore: tuple[str, ...] = (), max_parts: int = 0, skip: tuple[str, ...] = SKIPPED_DIRS, secrets: bool = False) -> DataFrame:
+    """repos(repo, root) -> (repo, root, path) of the files wanted; ``secrets`` lets the always excluded names pass."""
+    ship(repos.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named = re.compile("|".join(map(fnmatch.translate, names))).match if names else None
+        for frame in frames:
+            for repo, root in frame.itertuples(index=False):
+                tree = Tree(root)
+                excluded = excluded_by([*ignore, *ignore_lines(tree), *(() if secrets else SECRET_NAMES)])
+                found = [p for p in tree.walk(skip, excluded, max_parts) if (not suffixes or p.lower().endswith(suffixes)) and (named is None or named(p.rpartition("/")[2]))]
+                yield pd.DataFrame({"repo": repo, "root": root, "path": pd.Series(found, dtype=object)})
+
+    return repos.select("repo", "root").repartition("repo").mapInPandas(run, "repo string, root string, path string")
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """(repo, path, content) of listed files; one that cannot be read is left out. Files are dealt out by path, not by repository."""
+    ship(listed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repo, root, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (content := Tree(root).read(path)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([repo]), pa.array([path]), pa.array([content], pa.binary())], names=["repo", "path", "content"])
+
+    return listed.select("repo", "root", "path").repartition("repo", "path").mapInArrow(run, "repo string, path string, content binary")
+
+
+def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), names: tuple[str, ...] = (), ignore: tuple[str, ...] = (), max_parts: int = 0, skip: tuple[str, ...] = SKIPPED_DIRS, secrets: bool = False) -> DataFrame:
+    """Files below ``root``/<repo>/ as (repo, path, content); see ``listing``. Order is by (repo, path) where a consumer needs one."""
+    return contents(listing(repositories(spark, root, every=True), suffixes, names, ignore, max_parts, skip, secrets))
+
+
+def scan_config(spark: SparkSession, root: str, max_parts: int = 3) -> DataFrame:
+    """Configuration files near the roots; the one place where files like ``.env`` are read, their values redacted further on."""
+    rows = scan(spark, root, names=(*CONFIG_NAMES, *CONFIG_MODULES), max_parts=max_parts, skip=CONFIG_SKIPPED, secrets=True)
+    return rows.filter(~F.col("path").endswith(".py") | (F.size(F.split("path", "/")) <= 2))
+
+
+def flatten(value, prefix: str = "") -> Iterator[tuple[str, object]]:
     """Dotted key and scalar of nested configuration; list places as ``[i]``."""
     if isinstance(value, dict):
         for k, v in value.items():
@@ -52,11 +193,29 @@ def flatten(value, prefix: str = "") -> Iterator[tuple[str, str]]:
         for i, v in enumerate(value):
             yield from flatten(v, f"{prefix}[{i}]")
     elif value is not None:
-        yield prefix, str(value)
+        yield prefix, value
+
+
+def assignments(text: str) -> dict[str, str]:
+    """``KEY=value`` and ``KEY: value`` lines, ``export`` allowed; a value ends at its quote, or at a comment."""
+    out = {}
+    for line in text.splitlines():
+        head = line.strip().removeprefix("export ").lstrip()
+        cut = min((at for at in (head.find("="), head.find(":")) if at > 0), default=0)
+        key, value = head[:cut].rstrip(), head[cut + 1 :].strip()
+        if not cut or not (key.isidentifier() and key.isascii()):
+            continue
+        if value[:1] in ("'", '"'):
+            value = value[1:].split(value[0])[0]
+        else:
+            value = value.split("#")[0].rstrip()
+        if value:
+            out[key] = value
+    return out
 
 
 def parse_config(path: str, text: str):
-    """JSON, YAML or dotenv as nested values; None if it does not parse."""
+    """JSON, YAML or assignments as nested values; None if it does not parse."""
     name = os.path.basename(path).lower()
     try:
         if name.endswith(".json"):
@@ -67,47 +226,79 @@ def parse_config(path: str, text: str):
             return yaml.safe_load(text)
     except Exception:  # noqa: BLE001  parsers raise many kinds
         return None
-    out = {}
-    for line in text.splitlines():
-        key, sep, value = line.strip().removeprefix("export ").partition("=")
-        if sep and key and not key.startswith("#"):
-            out[key.strip()] = value.strip().strip("\"'")
-    return out
+    return assignments(text)
 
 
 def config_values(files: DataFrame) -> DataFrame:
-    """repo, path, key, value of every scalar in configuration files."""
+    """repo, path, pos, key, value of every scalar in configuration files; ``text`` if it is a string there."""
+    ship(files.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(r, p, k, v) for r, p, c in frame.itertuples(index=False) for k, v in flatten(parse_config(p, bytes(c).decode("utf-8", "replace")))]
-            yield pd.DataFrame(rows, columns=["repo", "path", "key", "value"])
+            rows = [(r, p, i, k, str(v), isinstance(v, str)) for r, p, c in frame.itertuples(index=False) for i, (k, v) in enumerate(flatten(parse_config(p, bytes(c).decode("utf-8", "replace"))))]
+            yield pd.DataFrame(rows, columns=["repo", "path", "pos", "key", "value", "text"])
+
+    return files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, pos int, key string, value string, text boolean")
 
-    return files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, key string, value string")
+
+def _leaf(key: str = "key"):
+    return F.element_at(F.split(key, r"\."), -1)
 
 
 def host_bindings(values: DataFrame) -> DataFrame:
     """slug, key, value (redacted), host, port, file for keys that name an address; a top-level loopback without port is the service itself."""
-    from ..functions.scalar import LOOPBACK, bare_host, bare_port, redact
-
-    leaf = F.element_at(F.split("key", r"\."), -1)
-    named = values.filter(leaf.rlike(r"(?i)(^|_)(HOST|HOSTNAME|URL|URI|ENDPOINT|BASE_URL|BASE_URI|ADDR|ADDRESS|SERVER)$"))
-    rows = named.select(F.col("repo").alias("slug"), "key", redact("value").alias("value"), bare_host("value").alias("host"), bare_port("value").alias("port"), F.col("path").alias("file"))
+    named = values.filter(F.col("text") & _leaf().rlike(rf"(?i)(^|_)({'|'.join(ADDRESS_WORDS)})$"))
+    rows = named.select(F.col("repo").alias("slug"), "key", redact("value").alias("value"), bare_host("value").alias("host"), bare_port("value").alias("port"), F.col("path").alias("file"), "pos")
     own = ~F.col("key").contains(".") & F.col("host").isin(*LOOPBACK) & (F.col("port") == "")
-    return rows.filter(~own & (F.col("host") != "")).groupBy("slug", "key", "host").agg(F.min(F.struct("file", "value", "port")).alias("m")).select("slug", "key", "m.value", "host", "m.port", "m.file")
+    return rows.filter(~own & (F.col("host") != "")).groupBy("slug", "key", "host").agg(F.min_by(F.struct("file", "value", "port"), F.struct("file", "pos")).alias("m")).select("slug", "key", "m.value", "host", "m.port", "m.file")
 
 
 def identities(values: DataFrame) -> DataFrame:
-    """slug, port, name that a service's own shallow configuration states; the first file wins per field."""
-    shallow = values.filter(F.size(F.split("key", r"\.")) <= 2).withColumn("_leaf", F.upper(F.element_at(F.split("key", r"\."), -1)))
-    port = F.when(F.col("_leaf").isin("PORT", "APP_PORT", "SERVER_PORT") & F.col("value").rlike(r"^\d{2,5}$"), F.col("value"))
-    name = F.when(F.col("_leaf").isin("SERVICE_NAME", "APP_NAME", "NAME"), F.col("value"))
-    return shallow.groupBy(F.col("repo").alias("slug")).agg(F.min_by(port, F.when(port.isNotNull(), F.struct("path", "key"))).alias("port"), F.min_by(name, F.when(name.isNotNull(), F.struct("path", "key"))).alias("name"))
+    """slug, port, name that a service's own configuration states in top-level keys near the root; the first file and key wins per field."""
+    shallow = values.filter(~F.col("key").rlike(r"[.\[]") & (F.size(F.split("path", "/")) <= 2)).withColumn("_key", F.upper("key")).withColumn("_at", F.struct("path", "pos"))
+    said = lambda keys: F.when(F.col("_key").isin(*keys) & (F.trim("value") != ""), F.trim("value"))
+    port, name = said(PORT_KEYS), said(NAME_KEYS)
+    return shallow.groupBy(F.col("repo").alias("slug")).agg(F.min_by(port, F.when(port.isNotNull(), F.col("_at"))).alias("port"), F.min_by(name, F.when(name.isNotNull(), F.col("_at"))).alias("name"))
 
 
 def config_channels(values: DataFrame) -> DataFrame:
-    """slug, channel, direction from keys that name a queue, topic or channel; the innermost direction word wins."""
-    leaf = F.lower(F.element_at(F.split("key", r"\."), -1))
-    words = F.split(F.lower("key"), r"[._\-\[\]]+")
-    said = F.filter(F.transform(words, lambda w: F.when(w.rlike("^(publish|publisher|producer|produce|out|outbound|output)"), "PUBLISH").when(w.rlike("^(consume|consumer|subscriber|subscribe|in|inbound|input|listener)$"), "CONSUME")), lambda x: x.isNotNull())
-    rows = values.filter(leaf.rlike("(queue|topic|channel|stream)(_?(name|url|arn))?$") & F.col("value").rlike("^[A-Za-z0-9_.:/-]{3,200}$"))
-    return rows.select(F.col("repo").alias("slug"), F.element_at(F.split("value", "[/:]"), -1).alias("channel"), F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("USES")).alias("direction"), "path").distinct()
+    """slug, channel, direction, path, key from keys that name a queue, topic, stream or exchange.
+
+    The direction is that of the word which stands last in the path of keys above; without one it is USES. An
+    address is a channel only under a key that says queue.
+    """
+    above = F.upper(F.when(F.col("key").contains("."), F.regexp_replace("key", r"\.[^.]*$", "")).otherwise(""))
+    last = F.regexp_extract(above, f"^.*({'|'.join((*CONSUME_WORDS, *PUBLISH_WORDS))})", 1)  # greedy: the word that starts last
+    direction = F.when(last == "", "USES").when(last.isin(*CONSUME_WORDS), "CONSUME").otherwise("PUBLISH")
+    value = F.trim("value")
+    rows = values.filter(F.col("text") & (value != "") & _leaf().rlike(CHANNEL_KEY) & ~(value.rlike("^https?://") & ~F.lower(_leaf()).contains("queue")))
+    return rows.select(F.col("repo").alias("slug"), value.alias("channel"), direction.alias("direction"), "path", "key").distinct()
+
+
+def messaging_dependencies(files: DataFrame) -> DataFrame:
+    """Repositories (slug) a manifest of which names a messaging client."""
+    wanted = files.filter(F.col("path").isin(*MESSAGING_MANIFESTS))
+    return wanted.filter(F.lower(F.decode("content", "UTF-8")).rlike("|".join(re.escape(x) for x in MESSAGING_PACKAGES))).select(F.col("repo").alias("slug")).distinct()
+
+
+#: Manifests, and names of messaging clients in them.
+MESSAGING_MANIFESTS = ("Gemfile", "Gemfile.lock", "package.json", "requirements.txt", "Pipfile", "pyproject.toml", "go.mod", "pom.xml", "build.gradle")
+MESSAGING_PACKAGES = (
+    "karafka", "shoryuken", "sidekiq", "bunny", "racecar", "sneakers", "aws-sdk-sqs", "aws-sdk-sns", "boto3", "aiobotocore", "kafka", "confluent", "pika", "celery", "kombu", "nats",
+    "@aws-sdk/client-sqs", "@aws-sdk/client-sns", "kafkajs", "amqplib", "bullmq", "sqs-consumer",
+)
+
+
+def messaging_interfaces(facts: DataFrame, channels: DataFrame, declared: DataFrame) -> DataFrame:
+    """Facts of kind ``event`` in the code, and those of configuration where messaging is known to happen.
+
+    A configured channel counts only in a repository with a messaging site, resolved or not, or a declared
+    client (slug); one that the code names in the same direction is not repeated.
+    """
+    sites = facts.filter("fact = 'event' or (fact = 'skipped' and reason = 'non-literal-channel')").select(F.col("repo").alias("slug"))
+    trusted = channels.join(sites.unionByName(declared.select("slug")).distinct(), "slug", "left_semi")
+    first = trusted.groupBy("slug", "direction", "channel").agg(F.min(F.struct("path", "key")).alias("at"))
+    said = facts.filter("fact = 'event'").select(F.col("repo").alias("slug"), F.col("method").alias("direction"), F.col("path").alias("channel")).distinct()
+    rows = first.join(said, ["slug", "direction", "channel"], "left_anti").select(
+        F.col("slug").alias("repo"), F.col("at.path").alias("file"), F.lit("event").alias("fact"), F.col("direction").alias("method"), F.col("channel").alias("path"), F.lit("config").alias("framework"), F.col("at.key").alias("extra"))
+    return facts.filter("fact = 'event'").unionByName(rows, allowMissingColumns=True)

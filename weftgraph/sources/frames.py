@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
 
 
 def read_files(files: DataFrame, schema: str, read: Callable[[str, str, bytes], list[dict]]) -> DataFrame:
     """``read(repo, path, content)`` for every file; a key that a row lacks is null."""
+    ship(files.sparkSession)
     typed = pa.schema([(name, KINDS[kind]) for name, kind in (f.split(" ") for f in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

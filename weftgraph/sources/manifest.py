@@ -56,6 +56,78 @@ def read_specs(files: DataFrame) -> DataFrame:
     return found.unionByName(plain)
 
 
+def guidance_roots(files: DataFrame) -> DataFrame:
+    """(repo, root): folders of written rules that a manifest declares; the repository itself is the empty root."""
+    def read(repo: str, path: str, content: bytes) -> list[dict]:
+        try:
+            import yaml
+
+            made = yaml.safe_load(content.decode("utf-8", "replace"))
+        except Exception:  # noqa: BLE001
+            return []
+        said = made.get("guidance") if isinstance(made, dict) else None
+        said = said.get("paths") if isinstance(said, dict) else said
+        return [{"repo": repo, "root": "" if p in (".", "") else p.strip("/")} for p in ([said] if isinstance(said, str) else said or []) if isinstance(p, str)]
+
+    return read_files(files.filter(F.col("path").rlike(NAMES)), "repo string, root string", read).distinct()
+
+
+#: Manifests that may describe their repository, the first that does counts.
+DESCRIBED = ("package.json", "composer.json", "pyproject.toml", "setup.py", "setup.cfg", "Cargo.toml", "pom.xml", "build.gradle")
+
+
+def description_of(name: str, text: str) -> str:
+    """The one-line description a manifest gives; empty if none or if it does not parse."""
+    import ast
+    import configparser
+    import tomllib
+    from xml.etree import ElementTree
+
+    found: object = ""
+    try:
+        if name.endswith(".json"):
+            made = json.loads(text)
+            found = made.get("description") if isinstance(made, dict) else ""
+        elif name.endswith(".toml"):
+            made = tomllib.loads(text)
+            found = next((t["description"] for t in (made.get("project"), (made.get("tool") or {}).get("poetry"), made.get("package")) if isinstance(t, dict) and t.get("description")), "")
+        elif name == "setup.py":
+            found = next((k.value.value for n in ast.walk(ast.parse(text)) if isinstance(n, ast.Call) for k in n.keywords if k.arg == "description" and isinstance(k.value, ast.Constant)), "")
+        elif name == "setup.cfg":
+            parser = configparser.ConfigParser()
+            parser.read_string(text)
+            found = parser.get("metadata", "description", fallback="")
+        elif name == "pom.xml":
+            found = next((x.text for x in ElementTree.fromstring(text) if x.tag.rpartition("}")[2] == "description"), "")
+        else:  # Gradle and gem specifications: a quoted value behind the word
+            found = next((m[2] for m in (re.search(rf"\b{word}\b\s*=?\s*(['\"])(.+?)\1", text) for word in ("summary", "description")) if m), "")
+    except (ValueError, SyntaxError, configparser.Error, ElementTree.ParseError):
+        return ""
+    return " ".join(str(found or "").split())[:400]
+
+
+def descriptions(files: DataFrame) -> DataFrame:
+    """(repo, path, description) of the first manifest at a repository's root that has one; a gem's specification comes last."""
+    rank = F.array_position(F.array(*map(F.lit, DESCRIBED)), F.col("path"))
+    wanted = files.filter((rank > 0) | F.col("path").rlike(r"^[^/]+\.gemspec$"))
+    rows = read_files(wanted, "repo string, path string, description string", lambda repo, path, content: [{"repo": repo, "path": path, "description": description_of(path, content.decode("utf-8", "replace"))}])
+    place = F.struct(F.when(rank > 0, rank).otherwise(len(DESCRIBED) + 1), "path")
+    return rows.filter("description <> ''").groupBy("repo").agg(F.min_by(F.struct("path", "description"), place).alias("d")).select("repo", "d.path", "d.description")
+
+
+def declared_purpose(files: DataFrame) -> DataFrame:
+    """(repo, lines, hash_input): what a repository claims about itself, with where it says so; the claim may be out of date.
+
+    The hash input changes with the claim and with nothing else.
+    """
+    said = descriptions(files).select("repo", F.col("path").alias("_from"), "description")
+    prose = read_openings(files).groupBy("repo").agg(F.min_by(F.struct("path", "opening"), "path").alias("o")).select("repo", F.col("o.path").alias("_readme"), "o.opening").filter("opening <> ''")
+    both = said.join(prose, "repo", "full_outer")
+    head = F.concat(F.lit("Declared purpose, written by hand in "), F.concat_ws(", ", "_from", "_readme"), F.lit(". It may be out of date: what is observed below goes before it."))
+    body = F.filter(F.array("description", "opening"), lambda x: F.coalesce(x, F.lit("")) != "")
+    return both.select("repo", F.concat(F.array(head), F.transform(body, lambda x: F.concat(F.lit("  "), x))).alias("lines"), F.concat(F.coalesce("description", F.lit("")), F.lit("\n"), F.coalesce("opening", F.lit(""))).alias("hash_input"))
+
+
 def declared_hosts(files: DataFrame) -> DataFrame:
     """slug, pos, pattern, target of a manifest's ``hosts`` in the order they stand there."""
     def read(repo: str, path: str, content: bytes) -> list[dict]:
