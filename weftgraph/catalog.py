@@ -1,7 +1,9 @@
 """A versioned catalog of objects, edges, enrichments and build metadata on Parquet.
 
-Every change writes a new version directory and then moves the pointer file, so readers always see a whole
-version. Spark has neither MERGE on Parquet nor foreign keys: upserts are a union with the newest row per key,
+A change writes the tables it touches below a new version directory and then adds one numbered entry to the
+log, by a rename that fails if the number is taken: readers take the highest entry and see a whole version,
+of two concurrent changes the second is refused. An entry says where each table of its version stands, so
+tables that did not change are not written again. Spark has neither MERGE on Parquet nor foreign keys: upserts are a union with the newest row per key,
 deletes and cascades are anti joins.
 """
 
@@ -12,7 +14,7 @@ import time
 import uuid
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schema import EDGES, ENRICHMENTS, META, OBJECTS
@@ -22,9 +24,19 @@ EDGE_KEY = ["from_id", "relationship", "to_id", "source"]
 SCHEMA_VERSION = "1"
 
 
+class ConcurrentCommit(RuntimeError):
+    """Another change was committed since this one read the catalog."""
+
+
+class NoSuchVersion(LookupError):
+    """The version or pin a reader asks for does not exist."""
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces ``old`` by key; of repeated new rows one stays."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new.dropDuplicates(keys).select(*old.columns))
+    """``new`` replaces ``old`` by key; of repeated new rows that with the least content stays."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in old.columns))
+    one = new.groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*").select(*old.columns)
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(one)
 
 
 def delete_scope(objects: DataFrame, edges: DataFrame, enrichments: DataFrame, exact: list[str], prefixes: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,40 +93,74 @@ class Catalog:
         finally:
             stream.close()
 
-    def _write_text(self, path: str, text: str) -> None:
+    def _write_text(self, path: str, text: str, overwrite: bool = True) -> None:
+        """Write beside ``path`` and rename over it, or to it if nothing may stand there; readers see the old text or the new."""
         fs, p = self._fs(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
         out = fs.create(p, True)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._fs(path)[1]
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(p, target)
+        jvm, target = self.spark._jvm, self._fs(path)[1]
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE if overwrite else rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(p, target, how)
+        except Exception:
+            fs.delete(p, False)
+            raise
+
+    def _log(self) -> list[int]:
+        """Numbers of the log's entries, ascending."""
+        fs, p = self._fs(f"{self.root}/log")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def _entry(self, number: int) -> dict:
+        return json.loads(self._read_text(f"{self.root}/log/{number:010d}.json"))
 
     def version(self) -> str | None:
-        """The pinned version, the one a pin's record names, or what the pointer says now."""
+        """The pinned version, the one a pin's record names, or the newest; None for a catalog without any."""
         if self.pinned:
             record = self._read_text(f"{self.root}/pins/{self.pinned}.json")
             return json.loads(record)["version"] if record else self.pinned
-        return self._read_text(f"{self.root}/CURRENT")
+        log = self._log()
+        return self._entry(log[-1])["version"] if log else None
+
+    def _tables(self) -> dict[str, str]:
+        """Where the tables of this reader's version stand."""
+        log = self._log()
+        if not self.pinned:
+            return self._entry(log[-1])["tables"] if log else {}
+        version = self.version()
+        for number in reversed(log):
+            entry = self._entry(number)
+            if entry["version"] == version:
+                return entry["tables"]
+        raise NoSuchVersion(self.pinned)
 
     def table(self, name: str) -> DataFrame:
+        """A table of the version, empty where that never had one; a version that does not exist is an error."""
         schema, _ = TABLES[name]
-        at = self.version()
-        path = f"{self.root}/versions/{at}/{name}"
-        fs, p = self._fs(path)
-        if at is None or not fs.exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        at = self._tables().get(name)
+        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.root}/{at}")
 
     def commit(self, **tables: DataFrame) -> str:
-        """Write a version: the given tables, the others as they are; then move the pointer."""
+        """Write the given tables as a new version; the others stay where they are."""
+        if self.pinned:
+            raise NoSuchVersion("a pinned reader does not write")
+        log = self._log()
+        number, held = (log[-1] + 1, self._entry(log[-1])["tables"]) if log else (0, {})
         at = f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}"
-        for name, (_, partition) in TABLES.items():
-            df = tables.get(name)
-            writer = (self.table(name) if df is None else df).write
-            (writer.partitionBy(partition) if partition else writer).parquet(f"{self.root}/versions/{at}/{name}")
-        self._write_text(f"{self.root}/CURRENT", at)
+        for name, df in tables.items():
+            partition = TABLES[name][1]
+            (df.write.partitionBy(partition) if partition else df.write).parquet(f"{self.root}/versions/{at}/{name}")
+        entry = {"version": at, "tables": held | {name: f"versions/{at}/{name}" for name in tables}}
+        try:
+            self._write_text(f"{self.root}/log/{number:010d}.json", json.dumps(entry, sort_keys=True), overwrite=False)
+        except Exception as e:
+            if number in self._log():
+                raise ConcurrentCommit(f"version {number} was committed meanwhile") from e
+            raise
         return at
 
     def upsert_objects(self, new: DataFrame) -> str:
@@ -186,18 +232,24 @@ class Catalog:
         return bool(fs.delete(p, False))
 
     def sweep(self, keep_hours: float = 1.0) -> list[str]:
-        """Drop expired pins, then versions that are neither current, pinned nor younger than ``keep_hours``."""
+        """Drop expired pins, then versions that are neither newest, pinned nor younger than ``keep_hours``, and tables none of the rest uses."""
         for record in self.pins():
             if datetime.fromisoformat(record["expires_at"]) < datetime.now(UTC):
                 self.unpin(record["alias"])
-        used = {r["version"] for r in self.pins()} | {self._read_text(f"{self.root}/CURRENT")}
+        log = self._log()
+        entries = {n: self._entry(n) for n in log}
+        pinned = {r["version"] for r in self.pins()}
+        old = time.time() - keep_hours * 3600
         fs, p = self._fs(f"{self.root}/versions")
-        gone = []
-        for status in fs.listStatus(p) if fs.exists(p) else []:
-            name = status.getPath().getName()
-            if name not in used and status.getModificationTime() / 1000 < time.time() - keep_hours * 3600:
-                fs.delete(status.getPath(), True)
-                gone.append(name)
+        ages = {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}
+        live = {n for n, e in entries.items() if n == log[-1] or e["version"] in pinned or ages.get(e["version"], 0) >= old}
+        used = {place.split("/")[1] for n in live for place in entries[n]["tables"].values()}
+        for n in log:
+            if n not in live:
+                fs.delete(self._fs(f"{self.root}/log/{n:010d}.json")[1], False)
+        gone = sorted(name for name, age in ages.items() if name not in used and age < old)
+        for name in gone:
+            fs.delete(self._fs(f"{self.root}/versions/{name}")[1], True)
         return gone
 
     def plan_forget(self, repos: list[str]) -> DataFrame:
@@ -208,15 +260,31 @@ class Catalog:
         tagged = rows.select("id", "slug", F.split(root, "/").alias("_segments"))
         return tagged.join(F.broadcast(names), (F.col("slug") == F.col("repo")) | F.array_contains("_segments", F.col("repo")), "left_semi").select("id", "slug")
 
-    def forget(self, repos: list[str]) -> str:
-        """Remove the repositories as if they had never been indexed."""
+    def forget(self, repos: list[str], relink=None) -> dict:
+        """Remove the repositories as if they had never been indexed, and say what went.
+
+        Services whose repository is not named survive, also below one whose name begins alike. ``relink``
+        (catalog) resolves the edges of the rest anew; if it fails the removal stands. Commits of the
+        repositories leave the stamp.
+        """
         plan = self.plan_forget(repos).collect()  # services of the named repositories only
+        if not plan:
+            return {"removed": [], "relinked": False}
         exact = [r["id"] for r in plan]
         prefixes = [f"{kind}:{r['slug']}:" for r in plan for kind in ("interface", "code_symbol")]
-        return self.delete(exact, prefixes)
+        self.delete(exact, prefixes)
+        done = False
+        if relink is not None:
+            try:
+                relink(self)
+                done = True
+            except Exception:  # noqa: BLE001  best effort: the index without the repositories is whole
+                done = False
+        self.stamp(dict.fromkeys([*repos, *(r["slug"] for r in plan)]))
+        return {"removed": sorted(exact), "relinked": done}
 
 
 def latest(rows: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    """The newest row of each key."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(stamp))
-    return rows.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    """The newest row of each key; of rows with one stamp that with the least content."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.struct((-F.unix_micros(stamp)).alias("t"), F.to_json(whole))).alias("_row")).select("_row.*")

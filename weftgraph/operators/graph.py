@@ -11,6 +11,10 @@ from ..functions.scalar import CONFIDENCE, join_path, ranked, reversion
 from ..sources.staging import Staging
 
 
+#: Visited ids that are broadcast to find their edges.
+MAX_BROADCAST = 20_000
+
+
 def frontier_edges(edges: DataFrame, frontier: DataFrame, direction: str = "out", relationship: str | None = None) -> DataFrame:
     """Edges that touch the frontier (``id``), in one scan for the whole level."""
     if relationship is not None:
@@ -30,32 +34,42 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth:
 
     Each level is one join of the frontier with the edges. Every edge at a visited node is returned, back
     edges included. Nodes are admitted in (from, to) order of their first edge up to ``max_nodes`` visited,
-    seeds counted. Levels are written tables: the driver holds counts only.
+    seeds counted. Levels are written tables, earlier ones are not written again; the driver holds counts only.
     """
     staging = Staging(edges.sparkSession, "walk")
     near, far = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")
     usable = edges.filter(F.col("relationship") == relationship).select("from_id", "to_id").distinct()
-    visited = staging.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "visited-0")
-    n, truncated, seen = visited.count(), False, []
+    reached = [staging.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reached-0")]
+    n, truncated, seen = reached[0].count(), False, []
     for depth in range(1, max_depth + 1):
-        frontier = visited.filter(F.col("depth") == depth - 1)
-        level = staging.save(usable.join(frontier.select(F.col("id").alias(near)), near, "left_semi").select("from_id", "to_id"), f"level-{depth}")
-        seen.append(level)
-        fresh = level.groupBy(F.col(far).alias("id")).agg(F.min(F.struct("from_id", "to_id")).alias("_by")).join(visited.select("id"), "id", "left_anti")
-        fresh = staging.save(fresh, f"fresh-{depth}")
+        visited = reached[0]
+        for more in reached[1:]:
+            visited = visited.unionByName(more)
+        # Two writes a level, the frontier's edges with whether their far end is known, and the nodes that are new.
+        frontier, held = reached[-1].select(F.col("id").alias(near)), visited.select(F.col("id").alias(far), F.lit(True).alias("_held"))
+        level = staging.save(_met(_met(usable, frontier, near, "left_semi", n), held, far, "left", n), f"level-{depth}")
+        seen.append(level.select("from_id", "to_id"))
+        fresh = level.filter("_held is null").groupBy(F.col(far).alias("id")).agg(F.min(F.struct("from_id", "to_id")).alias("_by")).withColumn("depth", F.lit(depth))
+        fresh = staging.save(fresh, f"reached-{depth}")
         count, room = fresh.count(), max_nodes - n
         if count > room:  # the cap is the feature: the first nodes by the edge that led to them
             truncated, count = True, room
-            fresh = fresh.orderBy("_by", "id").limit(room)
-        kept = fresh.select("id").withColumn("depth", F.lit(depth))
-        visited = staging.save(visited.unionByName(kept), f"visited-{depth}")
-        n += count
+            fresh = staging.save(fresh.orderBy("_by", "id").limit(room), f"kept-{depth}")
         if not count:
             break
-    found = seen[0]
+        reached.append(fresh.select("id", "depth"))
+        n += count
+    found, nodes = seen[0], edges.sparkSession.createDataFrame([], "id string, depth int")
     for level in seen[1:]:
         found = found.unionByName(level)
-    return found.distinct(), visited.filter("depth > 0"), truncated
+    for more in reached[1:]:
+        nodes = nodes.unionByName(more)
+    return found.distinct(), nodes, truncated
+
+
+def _met(edges: DataFrame, ids: DataFrame, on: str, how: str, n: int) -> DataFrame:
+    """Edges joined with visited ids, which are broadcast as far as their number is known to be small."""
+    return edges.join(F.broadcast(ids) if n <= MAX_BROADCAST else ids, on, how)
 
 
 def hydrate(ids: DataFrame, nodes: DataFrame, id: str = "id") -> DataFrame:
@@ -95,9 +109,8 @@ def mesh_edges(edges: DataFrame, min_confidence: str = "", evidence: tuple[str,
     """Service-to-service edges, one per (from, verb, to): the first by source; evidence lists cut to six."""
     inside = F.col("from_id").startswith("service:") & F.col("to_id").startswith("service:") & (F.col("from_id") != F.col("to_id"))
     kept = edges.filter(inside & confidence_floor(F.col("confidence"), min_confidence))
-    order = Window.partitionBy("from_id", "relationship", "to_id").orderBy("source", "confidence")
-    first = kept.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1")
-    return first.select("from_id", "relationship", "to_id", "confidence", *(F.slice(c, 1, 6).alias(c) for c in evidence))
+    first = kept.groupBy("from_id", "relationship", "to_id").agg(F.min_by(F.struct("confidence", *evidence), F.struct("source", "confidence")).alias("_e"))
+    return first.select("from_id", "relationship", "to_id", "_e.confidence", *(F.slice(f"_e.{c}", 1, 6).alias(c) for c in evidence))
 
 
 def mesh_services(services: DataFrame, mesh: DataFrame) -> DataFrame:

@@ -11,6 +11,15 @@ from ..functions.scalar import parse_evidence
 BUCKET = 64
 
 
+#: Kinds of symbols that call, are called and handle requests.
+CALLABLE = ("function", "method")
+
+
+def callable_spans(spans: DataFrame) -> DataFrame:
+    """Spans of functions and methods; spans without a kind are taken as they are."""
+    return spans.filter(F.col("kind").isin(*CALLABLE)) if "kind" in spans.columns else spans
+
+
 def tightest_span(points: DataFrame, spans: DataFrame, tie: str = "latest") -> DataFrame:
     """points(path, line, ...) with ``id`` of the smallest span(path, start, end, id) around them (null: none).
 
@@ -28,8 +37,10 @@ def tightest_span(points: DataFrame, spans: DataFrame, tie: str = "latest") -> D
 def call_graph(references: DataFrame, definitions: DataFrame, spans: DataFrame) -> DataFrame:
     """caller, callee, weight from references(symbol, path, line) and definitions(symbol, pos, path, line).
 
-    A symbol's first definition counts; local symbols, recursion and sites outside every span are dropped.
+    A symbol's first definition counts; local symbols, recursion and sites outside every span are dropped, and
+    so are symbols that are neither function nor method where spans say their kind.
     """
+    spans = callable_spans(spans)
     named = ~F.col("symbol").startswith("local ")
     first = definitions.filter(named).groupBy("symbol").agg(F.min_by(F.struct("path", "line"), "pos").alias("d")).select("symbol", "d.path", "d.line")
     callee = tightest_span(first, spans).filter("id is not null").select("symbol", F.col("id").alias("callee"))
@@ -38,15 +49,24 @@ def call_graph(references: DataFrame, definitions: DataFrame, spans: DataFrame)
 
 
 def handler_edges(interfaces: DataFrame, spans: DataFrame) -> DataFrame:
-    """interface(id, evidence[]) -> distinct (from_id, to_id); evidence of whole files names no handler."""
+    """interface(id, evidence[]) -> distinct (from_id, to_id); evidence of whole files names no handler, nor does a span of another kind than function or method."""
+    spans = callable_spans(spans)
     at = interfaces.select(F.col("id").alias("from_id"), F.explode("evidence").alias("e")).withColumn("p", parse_evidence("e")).filter("p.lo is not null")
     return tightest_span(at.select("from_id", F.col("p.path").alias("path"), F.col("p.lo").alias("line")), spans, "latest").filter("id is not null").select("from_id", F.col("id").alias("to_id")).distinct()
 
 
 def evidence_symbols(evidence: DataFrame, spans: DataFrame) -> DataFrame:
-    """evidence(ref, e) -> (ref, id) of every symbol it overlaps; a bare path overlaps all of its file."""
-    at = evidence.withColumn("p", parse_evidence("e")).filter("p is not null").select("ref", F.col("p.path").alias("path"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
-    return at.join(spans, "path").filter("lo is null or not (hi < start or lo > end)").select("ref", "id").distinct()
+    """evidence(ref, e) -> (ref, id) of every symbol it overlaps; a bare path overlaps all of its file.
+
+    Evidence with lines meets the spans by path and line bucket, so a file of many symbols is not tried pair by pair.
+    """
+    at = evidence.withColumn("p", parse_evidence("e")).filter("p is not null").select("ref", F.col("p.path").alias("path"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi")).distinct()
+    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.least(lo, hi) / BUCKET), F.floor(F.greatest(lo, hi) / BUCKET))).alias("_b")
+    lines = at.filter("lo is not null").select("ref", "path", "lo", "hi", buckets(F.col("lo"), F.col("hi")))
+    entered = spans.select("path", "start", "end", "id", buckets(F.col("start"), F.col("end")))
+    met = lines.join(entered, ["path", "_b"]).filter("not (hi < start or lo > end)").select("ref", "id")
+    whole = at.filter("lo is null").join(spans, "path").select("ref", "id")
+    return met.unionByName(whole).distinct()
 
 
 def stale(refs: DataFrame, touched: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,6 +98,14 @@ def rails_handlers(interfaces: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def unique_tail(wanted: DataFrame, keys: DataFrame) -> DataFrame:
-    """Import tails that exactly one known key ends in: (tail, key)."""
-    met = wanted.select("tail").distinct().join(keys.select("key").distinct(), F.expr("key = tail or endswith(key, concat('.', tail))"))
+    """Import tails that exactly one known key is or ends in: (tail, key). Keys are cut to their dotted tails and met by equality."""
+    steps = F.split("key", r"\.")
+    tails = keys.select("key").distinct().withColumn("_s", steps).select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.array_join(F.slice("_s", i, F.size("_s")), "."))).alias("tail"))
+    met = wanted.select("tail").distinct().join(tails, "tail")
     return met.groupBy("tail").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("key")).filter("_n = 1").drop("_n")
+
+
+def symbols_only(spans: DataFrame) -> DataFrame:
+    """Nodes of a call graph for languages without a code index: every symbol, no edge (id, path, qualname, kind, lang, line_start, line_end)."""
+    lang = F.col("lang") if "lang" in spans.columns else F.lit("")
+    return spans.select("id", "path", F.substring_index("id", "::", -1).alias("qualname"), F.coalesce("kind", F.lit("function")).alias("kind"), lang.alias("lang"), F.col("start").alias("line_start"), F.col("end").alias("line_end"))

@@ -42,24 +42,40 @@ def summarise(runs: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(F.when(F.col("scored"), F.col(m)).otherwise(0.0)), 4).alias(m) for m in measures))
 
 
+#: Ranges of values per group in which ranks are counted before values are looked at.
+SLICES = 256
+
+
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """p50 is the median; p95 and p99 the element at rank int(n p), clamped; exact, from per-value counts.
+    """p50 is the median; p95 and p99 the element at rank int(n p), clamped; exact.
 
-    Values are counted first and cumulated over distinct values, so no group is gathered in one row.
+    Values are cut into ranges at approximate quantiles of their group; ranks are first placed by the counts of
+    the ranges, then only the ranges that hold a wanted rank are counted value by value, so no group is gathered.
     """
     from pyspark.sql import Window
 
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ladder = counts.withColumn("_hi", F.sum("_c").over(up)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_hi") > rank, F.col(value)))
-
-    last = F.col("_n") - 1
-    rank = lambda p: F.least(F.floor(F.col("_n") * p), last)
-    median = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
-    return ladder.groupBy(by).agg(F.max("_n").alias("n"), median.alias("p50"), at(rank(0.95)).alias("p95"), at(rank(0.99)).alias("p99"), F.max(value).alias("max"))
+    known = rows.filter(F.col(value).isNotNull()).select(by, value)
+    cuts = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max"), F.array_distinct(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 10_000)).alias("_cuts"))
+    last = F.col("n") - 1
+    ranks = {"lo": F.floor(last / 2), "hi": F.ceil(last / 2), "p95": F.least(F.floor(F.col("n") * 0.95), last), "p99": F.least(F.floor(F.col("n") * 0.99), last)}
+    same = F.col(by).eqNullSafe(F.col(f"_{by}"))
+    known = known.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    at = known.join(F.broadcast(cuts.select(F.col(by).alias(f"_{by}"), "_cuts")), same) if cuts.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS else known.join(cuts.select(F.col(by).alias(f"_{by}"), "_cuts"), same)
+    sliced = at.select(by, value, "_c", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_s"))
+    counts = sliced.groupBy(by, "_s").agg(F.sum("_c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most SLICES rows a group
+    placed = counts.withColumn("_before", before).join(cuts.select(F.col(by).alias(f"_{by}"), "n", "max"), same).drop(f"_{by}")
+    wanted = placed.select(by, "_s", "_before", F.explode(F.array(*(F.struct(F.lit(k).alias("what"), (v - F.col("_before")).alias("rank")) for k, v in ranks.items()))).alias("_w"), "_n").filter("_w.rank >= 0 and _w.rank < _n")
+    wanted = wanted.select(F.col(by).alias(f"_{by}"), F.col("_s").alias("_ws"), "_w.what", "_w.rank")
+    inside = sliced.withColumn("_hi", F.sum("_c").over(Window.partitionBy(by, "_s").orderBy(value)))
+    found = inside.join(wanted, same & (F.col("_s") == F.col("_ws"))).filter(F.col("_hi") > F.col("rank")).groupBy(by, "what").agg(F.min(value).alias("v"))
+    one = lambda k: F.max(F.when(F.col("what") == k, F.col("v")))
+    stats = found.groupBy(by).agg(((one("lo") + one("hi")) / 2).alias("p50"), one("p95").alias("p95"), one("p99").alias("p99"))
+    return stats.join(cuts.select(F.col(by).alias(f"_{by}"), "n", "max"), same).select(by, "n", "p50", "p95", "p99", "max")
+
+
+#: Groups whose cuts are broadcast.
+MAX_GROUPS = 10_000
 
 
 def shares(rows: DataFrame, key: str, min_count: int = 2, big: int = 20, min_share: float = 0.05) -> DataFrame:
@@ -74,3 +90,53 @@ def vocabulary(paths: DataFrame, path: str, limit: int = 25) -> DataFrame:
     parts = F.split(path, "/")
     names = paths.select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("name")).filter("name <> ''")
     return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(limit)
+
+
+def final_answers(texts: DataFrame) -> DataFrame:
+    """texts(id, text) -> (id, answer): the last fenced JSON block that is an object with ``answer``; null without one."""
+    blocks = F.regexp_extract_all("text", F.lit(r"(?s)```json\s*(.*?)```"), F.lit(1))
+    made = F.filter(F.transform(blocks, lambda b: F.when(F.get_json_object(b, "$.answer").isNotNull(), F.trim(b))), lambda b: b.isNotNull())
+    return texts.select("id", F.try_element_at(made, F.lit(-1)).alias("answer"))
+
+
+def usage(events: DataFrame) -> DataFrame:
+    """events(id, pos, line), a JSON object a line -> per run its last result, tokens by kind, tool calls in order.
+
+    Tokens are those the last result states by model, not a sum over messages, which repeat; lines that do not
+    parse say nothing.
+    """
+    kinds = {"input_tokens": "inputTokens", "output_tokens": "outputTokens", "cache_read_input_tokens": "cacheReadInputTokens", "cache_creation_input_tokens": "cacheCreationInputTokens"}
+    runs = events.select("id").distinct()
+    last = events.filter(F.get_json_object("line", "$.type") == "result").groupBy("id").agg(F.max_by("line", "pos").alias("result"))
+    models = F.from_json(F.get_json_object("result", "$.modelUsage"), "map<string, struct<" + ", ".join(f"{k}: long" for k in kinds.values()) + ">>")
+    tools = events.select("id", "pos", F.posexplode(F.from_json(F.get_json_object("line", "$.message.content"), "array<struct<type: string, name: string>>")).alias("at", "c")).filter("c.type = 'tool_use'")
+    called = tools.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at", "c.name"))), lambda x: x["name"]).alias("tools"))
+    total = lambda k: F.aggregate(F.coalesce(F.map_values("_m"), F.array()), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v[k], F.lit(0)))
+    return runs.join(last, "id", "left").join(called, "id", "left").withColumn("_m", models).select("id", "result", *(total(v).alias(k) for k, v in kinds.items()), F.coalesce("tools", F.array().cast("array<string>")).alias("tools"))
+
+
+class Steps:
+    """Wall time of the driver's named steps: ``with steps("scan"): ...``; ``totals`` sums by name, longest first."""
+
+    def __init__(self):
+        self.spent: dict[str, float] = {}
+
+    def __call__(self, name: str):
+        from contextlib import contextmanager
+
+        @contextmanager
+        def timed():
+            import time
+
+            began = time.perf_counter()
+            try:
+                yield
+            finally:
+                self.spent[name] = self.spent.get(name, 0.0) + time.perf_counter() - began
+
+        return timed()
+
+    def totals(self) -> list[tuple[str, float, float]]:
+        """(name, seconds, share of all)."""
+        whole = sum(self.spent.values()) or 1.0
+        return [(k, v, v / whole) for k, v in sorted(self.spent.items(), key=lambda x: (-x[1], x[0]))]

@@ -6,19 +6,24 @@ bindings(slug, key, value, host, port), declared(slug, pos, pattern, target), se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ADDRESS_KEY, LOCAL_HOSTS, LOOPBACK, THIRD_PARTY, distinct_sorted, path_pattern, pattern_matches, slug_tokens, slugish, strip_env_prefix
-from ..sources.staging import Staging
-
 
 def external_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
-    """Of distinct ``host`` values those that are dotted public names in which no service's slug occurs."""
+    """Of distinct ``host`` values those that are dotted public names in which no service's slug occurs.
+
+    A slug occurs in a name if it equals one of the name's substrings of its length, so names are cut to the
+    lengths that slugs have and met by equality; no name is tried against every slug.
+    """
     bare = F.regexp_replace(F.regexp_replace(F.lower("host"), "^.*@", ""), ":.*$", "")
     dotted = hosts.select("host", bare.alias("_h")).filter(F.col("_h").contains(".") & ~F.col("_h").isin(*LOCAL_HOSTS)).withColumn("_n", slugish("_h"))
     slugs = services.select(slugish("slug").alias("_s")).filter("_s <> ''").distinct()
-    return dotted.join(slugs, F.col("_n").contains(F.col("_s")), "left_anti").select("host")
+    lengths = F.broadcast(slugs.select(F.length("_s").alias("_l")).distinct())  # as many rows as a slug has characters at most
+    cut = dotted.join(lengths, F.col("_l") <= F.length("_n")).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.length("_n") - F.col("_l") + 1), lambda i: F.substr("_n", i, F.col("_l")))).alias("_s"))
+    known = cut.join(slugs, "_s", "left_semi").select("host").distinct()
+    return dotted.join(known, "host", "left_anti").select("host")
 
 
 def classify_calls(outbound: DataFrame, services: DataFrame) -> DataFrame:
@@ -33,27 +38,25 @@ def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame)
     """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
 
     Shapes (verb, path) meet patterns, not calls interfaces: the residual test runs once per distinct pair of
-    both, joined by method and number of segments; providers and calls follow by equality.
+    both, joined by method and number of segments. The providers of a shape are gathered once, as a sorted
+    array; calls take them by equality and drop their own, in one pass.
     """
-    staging = Staging(outbound.sparkSession, "match")  # calls are read several times below, their source once
-    calls = staging.save(classify_calls(outbound, services), "calls")
-    shapes = calls.filter("status = 'open'").select(F.upper(F.coalesce("verb", F.lit(""))).alias("verb_"), "path", "pattern").distinct().withColumn("n", F.size("pattern"))
+    calls = classify_calls(outbound, services).withColumn("verb_", F.upper(F.coalesce("verb", F.lit(""))))
+    verb, pattern = F.upper(F.coalesce("verb", F.lit(""))), path_pattern("path")
+    shapes = outbound.select(verb.alias("verb_"), "path", pattern.alias("pattern")).filter(F.exists("pattern", lambda s: s.isNotNull())).distinct().withColumn("n", F.size("pattern"))
     offered = (
         interfaces.filter(F.coalesce("type", F.lit("")) != "event")
         .select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), path_pattern("path").alias("offer")).distinct().withColumn("n", F.size("offer"))
     )
-    patterns = offered.select("verb_", "n", "offer").distinct()
-    fit = shapes.join(patterns, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer"))).select("verb_", "path", "offer")
-    met = fit.join(offered.select("verb_", "offer", F.col("slug").alias("provider")), ["verb_", "offer"]).select("verb_", "path", "provider").distinct()
-    opened = calls.filter("status = 'open'").withColumn("verb_", F.upper(F.coalesce("verb", F.lit(""))))
-    found = staging.save(opened.join(met, ["verb_", "path"]).filter("provider <> slug"), "found")
-    per_call = found.groupBy("slug", "pos").agg(F.count(F.lit(1)).alias("n_providers"))
-    hit = found.join(per_call, ["slug", "pos"]).withColumn("status", F.lit("resolved"))
-    missed = opened.join(per_call, ["slug", "pos"], "left_anti").withColumn("status", F.lit("unresolved"))
-    rest = calls.filter("status <> 'open'")
-    columns = ("slug", "pos", "verb", "path", "host", "status", "provider", "n_providers")
-    empty = {"provider": F.lit(None).cast("string"), "n_providers": F.lit(0).cast("long")}
-    return hit.select(*columns).unionByName(missed.withColumns(empty).select(*columns)).unionByName(rest.withColumns(empty).select(*columns))
+    patterns = offered.groupBy("verb_", "n", "offer").agg(F.collect_set("slug").alias("slugs"))
+    fit = shapes.join(patterns, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer")))
+    providers = fit.groupBy("verb_", "path").agg(F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
+    met = calls.join(providers, ["verb_", "path"], "left")
+    own = F.when(F.col("status") == "open", F.filter(F.coalesce("_providers", F.array().cast("array<string>")), lambda p: p != F.col("slug")))
+    n = F.coalesce(F.size(own), F.lit(0))
+    status = F.when(F.col("status") != "open", F.col("status")).when(n > 0, "resolved").otherwise("unresolved")
+    rows = met.withColumns({"_own": own, "_status": status, "n_providers": F.when(F.col("status") == "open", n).otherwise(0).cast("long")})
+    return rows.select("slug", "pos", "verb", "path", "host", F.col("_status").alias("status"), F.explode_outer("_own").alias("provider"), "n_providers")
 
 
 def call_edges(matched: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def resolve_counters(matched: DataFrame) -> DataFrame:
 
 def _slug_match(rows: DataFrame, services: DataFrame, tokens: Column, name: str) -> DataFrame:
     """Longest slug whose tokens lead ``tokens``: rows (``_id``, name). Joined on the first token, so no pair is tried in vain."""
-    at = rows.select("_id", tokens.alias("_t")).filter(F.size("_t") > 0).withColumn("_first", F.element_at("_t", 1))
-    slugs = services.select("slug", slug_tokens("slug").alias("_p"), F.length(slugish("slug")).alias("_len")).filter(F.size("_p") > 0).withColumn("_first", F.element_at("_p", 1))
+    at = rows.select("_id", tokens.alias("_t")).filter(F.size("_t") > 0).withColumn("_first", F.try_element_at("_t", F.lit(1)))
+    slugs = services.select("slug", slug_tokens("slug").alias("_p"), F.length(slugish("slug")).alias("_len")).filter(F.size("_p") > 0).withColumn("_first", F.try_element_at("_p", F.lit(1)))
     hit = at.join(slugs, "_first").filter(F.slice("_t", 1, F.size("_p")) == F.col("_p"))
     return hit.groupBy("_id").agg(F.min_by("slug", F.struct(-F.col("_len"), F.col("slug"))).alias(name))
 
@@ -88,29 +91,56 @@ def _glob(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("$"))
 
 
-def resolve_hosts(bindings: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
-    """bindings + ``target`` and ``rule`` (exact, glob, k8s, slug, port, key); unresolved and self targets are left out."""
-    rows = bindings.withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("host", F.coalesce("host", F.lit("")))
-    loop = F.col("host").isin(*LOOPBACK)
-    exact = rows.join(declared.select("slug", F.col("pattern").alias("host"), F.col("target").alias("t1")), ["slug", "host"]).groupBy("_id").agg(F.min("t1").alias("t1"))
+def _by_declaration(rows: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
+    return rows.join(declared.select("slug", F.col("pattern").alias("host"), F.col("target").alias("t")), ["slug", "host"]).groupBy("_id").agg(F.min("t").alias("t"))
+
+
+def _by_pattern(rows: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
     stars = declared.filter(F.col("pattern").contains("*")).select("slug", "pos", _glob(F.col("pattern")).alias("_g"), "target")
-    glob = rows.join(stars, "slug").filter(F.expr("host rlike _g")).groupBy("_id").agg(F.min_by("target", "pos").alias("t2"))
-    k8s = _slug_match(rows.filter(F.col("host").contains(".svc") | F.col("host").endswith(".cluster.local")), services, slug_tokens(F.element_at(F.split("host", r"\."), 1)), "t3")
-    slug = _slug_match(rows.filter(~F.col("host").rlike(THIRD_PARTY)), services, slug_tokens("host"), "t4")
-    ports = services.filter("port <> ''").groupBy("port").agg(F.min("slug").alias("t5"))
-    port = rows.filter(loop & (F.coalesce("port", F.lit("")) != "")).select("_id", "port").join(ports, "port").select("_id", "t5")
+    return rows.join(stars, "slug").filter(F.expr("host rlike _g")).groupBy("_id").agg(F.min_by("target", "pos").alias("t"))
+
+
+def _by_cluster_name(rows: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
+    inside = rows.filter(F.col("host").contains(".svc") | F.col("host").endswith(".cluster.local"))
+    return _slug_match(inside, services, slug_tokens(F.element_at(F.split("host", r"\."), 1)), "t")
+
+
+def _by_host_name(rows: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
+    return _slug_match(rows.filter(~F.col("host").rlike(THIRD_PARTY)), services, slug_tokens("host"), "t")
+
+
+def _by_port(rows: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
+    ports = services.filter("port <> ''").groupBy("port").agg(F.min("slug").alias("t"))
+    return rows.filter(F.col("host").isin(*LOOPBACK) & (F.col("port") != "")).select("_id", "port").join(ports, "port").select("_id", "t")
+
+
+def _by_key(rows: DataFrame, services: DataFrame, declared: DataFrame) -> DataFrame:
+    """The innermost segment of the key that names a service, by the name it gives itself or by its slug."""
     aliases = services.filter("name <> ''").groupBy(slugish("name").alias("_a")).agg(F.min("slug").alias("_by_alias"))
-    segments = rows.filter((F.col("host") == "") | loop).select("_id", F.posexplode(F.reverse(F.split("key", r"\."))).alias("_at", "_seg"))
+    segments = rows.filter((F.col("host") == "") | F.col("host").isin(*LOOPBACK)).select("_id", F.posexplode(F.reverse(F.split("key", r"\."))).alias("_at", "_seg"))
     segments = segments.withColumn("_token", F.regexp_replace("_seg", ADDRESS_KEY, "")).filter("_token <> ''").withColumn("_row", F.col("_id")).withColumn("_id", F.concat_ws(":", "_row", "_at"))
     by_key = segments.withColumn("_a", slugish("_token")).join(aliases, "_a", "left").join(_slug_match(segments, services, slug_tokens("_token"), "_by_slug"), "_id", "left")
-    key = by_key.withColumn("_t", F.coalesce("_by_alias", "_by_slug")).filter("_t is not null").groupBy(F.col("_row").alias("_id")).agg(F.min_by("_t", "_at").alias("t6"))
-    out = rows
-    for part in (exact, glob, k8s, slug, port, key):
-        out = out.join(part, "_id", "left")
-    rules = ("exact", "glob", "k8s", "slug", "port", "key")
-    rule = F.coalesce(*(F.when(F.col(f"t{i + 1}").isNotNull(), F.lit(r)) for i, r in enumerate(rules)))
-    return out.withColumn("target", F.coalesce(*(f"t{i}" for i in range(1, 7)))).withColumn("rule", rule).filter("target is not null and target <> slug").select(*bindings.columns, "target", "rule")
+    return by_key.withColumn("_t", F.coalesce("_by_alias", "_by_slug")).filter("_t is not null").groupBy(F.col("_row").alias("_id")).agg(F.min_by("_t", "_at").alias("t"))
+
+
+#: The chain of rules: name, and (rows with ``_id``, services, declared) -> (_id, t). A longer or other list may be passed.
+HOST_RULES = (("exact", _by_declaration), ("glob", _by_pattern), ("k8s", _by_cluster_name), ("slug", _by_host_name), ("port", _by_port), ("key", _by_key))
+
+
+def resolve_hosts(bindings: DataFrame, services: DataFrame, declared: DataFrame, rules: tuple = HOST_RULES) -> DataFrame:
+    """bindings + ``target`` and ``rule`` (the first of the chain that hits); unresolved and self targets are left out.
+
+    A rule sees distinct (slug, key, host, port), told apart by a hash of the four: equal bindings resolve alike,
+    and no branch depends on how another was planned.
+    """
+    parts = ["slug", "key", "host", "port"]
+    named = bindings.withColumn("_id", F.sha2(F.to_json(F.struct(*parts)), 256))
+    rows = named.select("_id", "slug", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("port", F.lit("")).alias("port")).distinct()
+    out = named
+    for k, (_, find) in enumerate(rules):
+        out = out.join(find(rows, services, declared).withColumnRenamed("t", f"t{k}"), "_id", "left")
+    rule = F.coalesce(*(F.when(F.col(f"t{k}").isNotNull(), F.lit(name)) for k, (name, _) in enumerate(rules)))
+    return out.withColumn("target", F.coalesce(*(f"t{k}" for k in range(len(rules))))).withColumn("rule", rule).filter("target is not null and target <> slug").select(*bindings.columns, "target", "rule")
 
 
 def declared_edges(resolved: DataFrame) -> DataFrame:
@@ -159,5 +189,6 @@ def valid_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    """The first row of each key in a stated order, by an aggregate that is combined before the exchange."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")

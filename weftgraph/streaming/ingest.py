@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalog import Catalog, upsert
@@ -16,9 +17,16 @@ def ingest(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str,
     """
     def load(batch: DataFrame, _: int) -> None:
         held = catalog.table("objects")
-        new = batch.dropDuplicates(["id"]).join(held.select("id", "payload"), ["id", "payload"], "left_anti").select(*held.columns)
+        whole = F.struct(*(F.col(f"`{c}`") for c in held.columns))
+        one = batch.groupBy("id").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+        new = one.join(held.select("id", "payload"), ["id", "payload"], "left_anti").select(*held.columns)
         if not new.isEmpty():
             catalog.commit(objects=upsert(held, new, ["id"]))
 
     rows = spark.readStream.schema(OBJECTS).option("maxFilesPerTrigger", files_per_batch).json(folder)
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """What a stream has done so far: batch, rows in, rows a second, milliseconds by step; the last batches Spark keeps."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "ms": dict(p["durationMs"])} for p in query.recentProgress]
