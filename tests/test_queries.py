@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 import verify
-from weftgraph.plans.catalogue import ORACLE, QUERIES
+from weftgraph.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

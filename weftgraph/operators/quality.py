@@ -95,7 +95,7 @@ def vocabulary(paths: DataFrame, path: str, limit: int = 25) -> DataFrame:
 def final_answers(texts: DataFrame) -> DataFrame:
     """texts(id, text) -> (id, answer): the last fenced JSON block that is an object with ``answer``; null without one."""
     blocks = F.regexp_extract_all("text", F.lit(r"(?s)```json\s*(.*?)```"), F.lit(1))
-    made = F.filter(F.transform(blocks, lambda b: F.when(F.get_json_object(b, "$.answer").isNotNull(), F.trim(b))), lambda b: b.isNotNull())
+    made = F.filter(F.transform(blocks, lambda b: F.when(F.get_json_object(b, "$.answer").isNotNull(), F.regexp_replace(b, r"^\s+|\s+$", ""))), lambda b: b.isNotNull())
     return texts.select("id", F.try_element_at(made, F.lit(-1)).alias("answer"))
 
 

@@ -19,6 +19,7 @@ from ..operators.lookup import unique_ids
 from . import files as files_
 from .python_code import SCHEMA, read_python
 from .script_code import read_scripts
+from .staging import Staging
 
 
 @dataclass(frozen=True)
@@ -80,8 +81,9 @@ def mounted(facts: DataFrame) -> DataFrame:
     # Names that packages pass on are followed to the module that declares the router.
     step = aliases.join(places.select("repo", F.col("name").alias("target"), "key"), ["repo", "target"]).filter("key <> name")
     chased = resolve_aliases(step.groupBy(_key("repo", "name").alias("name")).agg(F.min(_key("repo", "key")).alias("target")))
+    staging = Staging(facts.sparkSession, "mounted")
     named = references.distinct().join(places, ["repo", "name"], "left").withColumn("key", _key("repo", F.coalesce("key", "name")))
-    resolved = named.join(chased.select(F.col("name").alias("key"), "declared"), "key", "left").select("repo", "name", F.coalesce("declared", "key").alias("key"))
+    resolved = staging.save(named.join(chased.select(F.col("name").alias("key"), "declared"), "key", "left").select("repo", "name", F.coalesce("declared", "key").alias("key")), "resolved")
     child, parent = (resolved.select("repo", F.col("name").alias(c), F.col("key").alias(f"{c}_key")) for c in ("target", "owner"))
     edges = mounts.join(child, ["repo", "target"]).join(parent, ["repo", "owner"]).select(F.col("owner_key").alias("parent"), F.col("target_key").alias("child"), F.coalesce("path", F.lit("")).alias("prefix"))
     known = routers.select(_key("repo", "name").alias("key"), "own", "flask")
@@ -110,7 +112,9 @@ def interfaces(facts: DataFrame) -> DataFrame:
     The first reader in order of precedence owns a path; what the same reader says again adds its place to the
     evidence, another reader's word is silent. A Rails route also points at its controller action.
     """
-    flat = _flat(facts)
+    staging = Staging(facts.sparkSession, "interfaces")  # facts are parsed once, they and the routes are read several times below
+    facts = staging.save(facts, "facts")
+    flat = staging.save(_flat(facts), "flat")
     key = ["slug", "method", "path"]
     first = flat.groupBy(*key).agg(F.min_by(F.struct("type", "handler", "framework", "summary", "kind"), "order").alias("m"))
     own = flat.join(first.select(*key, F.col("m.kind").alias("kind")), [*key, "kind"]).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("order", "place"))).alias("e"))
@@ -125,7 +129,8 @@ def interfaces(facts: DataFrame) -> DataFrame:
 
 def duplicate_paths(facts: DataFrame) -> DataFrame:
     """Dead letters: routes of one reader that land on a path another of its routes has (slug, file, line, reason, method, expr, snippet)."""
-    flat = _flat(facts)
+    staging = Staging(facts.sparkSession, "duplicates")
+    flat = staging.save(_flat(staging.save(facts, "facts")), "flat")
     key = ["slug", "method", "path"]
     first = flat.groupBy(*key).agg(F.min(F.struct("order", "kind", "place")).alias("m"))
     again = flat.join(first, key).filter((F.col("kind") == F.col("m.kind")) & (F.col("order") > F.col("m.order")))
