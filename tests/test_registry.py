@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.sources import deps, guidance, manifest, python_code, registry, script_code
+from weftgraph.sources import deps, guidance, manifest, python_code, registry, script_code, symbol_code
 
 
 def tree(spark, made: dict, repo="svc"):
@@ -176,3 +176,26 @@ def test_what_a_repository_says_of_itself(spark):
     assert {r.root for r in manifest.guidance_roots(made).collect()} == {"rules", ""}
     for name, text, want in (("setup.py", "setup(name='x', description='A')", "A"), ("setup.cfg", "[metadata]\ndescription = B\n", "B"), ("pom.xml", "<project><description> C\n d</description></project>", "C d"), ("x.gemspec", "s.summary = \"E\"", "E"), ("pyproject.toml", "[", "")):
         assert manifest.description_of(name, text) == want
+
+
+SYMBOLS = {
+    "a.ts": ("export class Shop<T> {\n  @log()\n  async buy(x: number): Promise<void> {\n    if (x) { call(x) }\n  }\n  static get size() { return 1 }\n}\nexport const add = (a, b) => {\n  return a + b\n}\nconst one = x => x + 1;\nfunction* gen() { }\ninterface P { a: string }\n// function no() {}\n",
+             [("Shop", "class", 1, 7), ("Shop.buy", "method", 2, 5), ("Shop.size", "method", 6, 6), ("add", "function", 8, 10), ("one", "function", 11, 11), ("gen", "function", 12, 12), ("P", "interface", 13, 13)]),
+    "b.go": ("package b\ntype Shop struct {\n\tname string\n}\nfunc (s *Shop) Buy(x int) error {\n\treturn nil\n}\nfunc main() {\n}\n", [("Shop", "struct", 2, 4), ("Shop.Buy", "method", 5, 7), ("main", "function", 8, 9)]),
+    "C.java": ("public class C extends D {\n  private final int n;\n  public C(int n) { this.n = n; }\n  @Override\n  public List<String> all(int a) throws E {\n    for (int i = 0; i < a; i++) { use(i); }\n    return new Foo() { };\n  }\n}\n", [("C", "class", 1, 9), ("C.C", "method", 3, 3), ("C.all", "method", 4, 8)]),
+    "d.rs": ("pub struct P { x: i32 }\nimpl Show for P {\n    pub fn show(&self) -> i32 {\n        self.x\n    }\n}\nfn free() {}\n", [("P", "struct", 1, 1), ("P.show", "method", 3, 5), ("free", "function", 7, 7)]),
+    "e.php": ("<?php\nclass E {\n  public function go($x) {\n    return 1;\n  }\n}\nfunction f() { }\n", [("E", "class", 2, 6), ("E.go", "method", 3, 5), ("f", "function", 7, 7)]),
+    "f.kt": ("data class F(val a: Int)\nclass G {\n  fun run(x: Int): Int {\n    return x\n  }\n}\nfun top() { }\n", [("F", "class", 1, 1), ("G", "class", 2, 6), ("G.run", "method", 3, 5), ("top", "function", 7, 7)]),
+    "g.cs": ("namespace N {\n  public interface I { }\n  class G {\n    public async Task<int> RunAsync(string s) {\n      return 1;\n    }\n  }\n}\n", [("I", "interface", 2, 2), ("G", "class", 3, 7), ("G.RunAsync", "method", 4, 6)]),
+    "h.rb": ("module M\n  class A < B\n    def go(x)\n      if x\n        y = 1 if z\n      end\n      list.each do |i|\n      end\n    end\n    def self.one; 1; end\n    def two = 2\n  end\nend\n",
+             [("M", "module", 1, 13), ("M.A", "class", 2, 12), ("M.A.go", "method", 3, 9), ("M.A.one", "method", 10, 10), ("M.A.two", "method", 11, 11)]),
+}
+
+
+@pytest.mark.parametrize("path", SYMBOLS)
+def test_symbols_of_other_languages(spark, path):
+    text, want = SYMBOLS[path]
+    facts = symbol_code.read_symbols(tree(spark, {path: text})).orderBy("line", F.desc("line_end")).collect()
+    assert [(r.name, r.method, r.line, r.line_end) for r in facts] == want
+    spans = python_code.symbol_spans(registry.discover(tree(spark, {path: text}))).collect()
+    assert {r.id for r in spans} == {f"code_symbol:svc:{path}::{name}" for name, *_ in want}

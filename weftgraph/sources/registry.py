@@ -19,6 +19,7 @@ from ..operators.lookup import unique_ids
 from . import files as files_
 from .python_code import SCHEMA, read_python
 from .script_code import read_scripts
+from .symbol_code import read_symbols
 from .staging import Staging
 
 
@@ -31,7 +32,7 @@ class Adapter:
     applies: Callable[[DataFrame], DataFrame] = lambda files: files
 
 
-ADAPTERS = (Adapter("python", read_python), Adapter("script", read_scripts))
+ADAPTERS = (Adapter("python", read_python), Adapter("script", read_scripts), Adapter("symbols", read_symbols))
 #: Which kind of reader owns a path first: order of precedence.
 KINDS = ("web", "express", "rails", "messaging")
 
