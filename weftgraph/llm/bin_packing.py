@@ -22,8 +22,8 @@ from .work import Workspace, python_stage, free_shuffles, only, with_rank
 
 CAPACITY = 2048
 END_ID = 0
-#: Bytes of words and ids that a worker keeps, and of texts that it encodes together.
-CACHE_BYTES, GATHER_BYTES = 96 << 20, 16 << 20
+#: Bytes of words and ids that a worker keeps from task to task.
+CACHE_BYTES = 32 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -144,18 +144,6 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they have ``size`` bytes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= size:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Null text is empty: a piece of the end id alone."""
     python_stage(docs.sparkSession)
@@ -166,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = encoder_for(tokenizer), end_id.to_bytes(4, "little")
-        for batch in gathered(batches, GATHER_BYTES):
+        for batch in batches:
             out = []
             for doc, found in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
                 ids = found.tobytes() + end
@@ -174,6 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker stays, other stages share its memory
 
     return only(docs, id, text).mapInArrow(cut, PIECES)
 
