@@ -95,7 +95,8 @@ def decide(docs: DataFrame, text: str, id: str, digest: Callable[[Column], Colum
     # Large groups (at most 1000) find their texts by broadcast and shrink to two texts before anything moves.
     hits, large = state.filter("_n > 1"), hot_keys(state, "_n", n_rows)
     hot = F.broadcast(hits.filter(large).select(*group))
-    hit_texts = full.join(hot, group, "left_semi").unionByName(full.join(hot, group, "left_anti").join(hits.filter(~large).select(*group), group, "left_semi"))
+    hit_texts = full.join(hot, group, "left_semi").unionByName(
+        full.join(hot, group, "left_anti").join(hits.filter(~large).select(*group).hint("merge"), group, "left_semi"))  # the same plan at every size
     clash = space.save(
         hit_texts.groupBy(*group).agg(F.min("_body").alias("_least"), F.max("_body").alias("_most"))
         .filter("_least <> _most").select(*group), "clash",
