@@ -163,11 +163,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     nodes = space.save(one.select(F.monotonically_increasing_id().alias("node"), "hash", F.col("s.n").cast("int").alias("n"), F.col("s.least").alias("least"), F.col("s.prefix").alias("prefix"), "doc_id"), "nodes")
     slim_rows = space.save(rows.select("doc_id", "n", F.col("node").alias("hash")), "slim")
     space.drop("rows")
+    names = space.save(nodes.select("node", "hash"), "names")
     total = slim_rows.count()
     unique = slim_rows.select("doc_id").distinct().count() == total
     links = _links(slim, nodes, unique, space, size, percent)
     roots = components(links, space, "roots")
-    known = nodes.select("node", "hash").join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
+    known = names.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
     sizes = slim_rows.filter("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_least"))
     placed = sizes.join(known, "hash")
     whole = placed.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_size"))
@@ -189,7 +190,8 @@ def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, si
     enough = every.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("least").alias("least")).filter("k >= least").select("node")
     short = space.save(every.join(enough, "node", "left_semi").select("token", "c", "node", "n", "least", "at"), "short")
     involved = space.save(nodes.join(enough, "node", "left_semi").select("node", "hash", "doc_id"), "involved")
-    space.drop("entries")
+    for name in ("entries", "columns", "nodes"):  # their prefixes are in the short columns now
+        space.drop(name)
     if involved.count() <= MAX_BROADCAST:
         involved = F.broadcast(involved)
     chosen = slim.withColumnRenamed("doc_id", "_id").join(involved, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "hash", "text")
@@ -221,6 +223,8 @@ def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, si
     placed = space.save(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("part", "token").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("part", "token")
     open_ = space.save(placed.join(mixed, ["part", "token"]), "open")
+    for name in ("placed", "short", "long", "df"):
+        space.drop(name)
     a, b = (open_.select("part", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "m", "least", "at", "root"))) for s in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     pairs = a.join(b, ["part", "token"]).filter(
