@@ -34,10 +34,8 @@ from .work import Workspace, free_shuffles, only, python_stage
 LENGTH, K = 50, 16
 #: Bytes of a source shard, of a content shard (by input), and of one suffix array.
 SHARD_BYTES, BUCKET_BYTES, ARRAY_BYTES = 2 << 20, 8 << 20, 1 << 20
-#: Bytes of input per task of an exchange.
-PART_BYTES = 32 << 20
 #: Windows of a run at most, windows looked at together, and different runs from which on a minimizer is taken apart.
-RUN, CHUNK, HOT_RUNS = 64, 4 << 20, 20_000
+RUN, CHUNK, HOT_RUNS = 64, 1 << 20, 20_000
 #: Bits of a minimizer's hash; two that share it cost a comparison, nothing else.
 HASH_BITS = 48
 #: Sorts behind all documents: rows without an id remove nothing elsewhere.
@@ -142,7 +140,7 @@ class Runs:
             doc = np.concatenate([doc[~single], np.repeat(doc[single], count[single])])
             first, h = np.concatenate([first[~single], alone]), np.concatenate([h[~single], np.zeros(len(alone), np.uint64)])
             count = np.concatenate([count[~single], np.ones(len(alone), np.int64)])
-        power, inverse = _powers(max(len(mixed), min(CHUNK, 4 * SHARD_BYTES)) + 1)
+        power, inverse = _powers(max(len(mixed), CHUNK + LENGTH) + 1)
         sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed * power[: len(mixed)])))
         mark = (sums[first + count + LENGTH - 8] - sums[first]) * inverse[first]
         mark ^= mark >> np.uint64(32)
@@ -519,7 +517,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, text: str = "text",
     shards = space.save(_shards(only(docs, id, text)), "shards")
     total = shards.agg(F.sum("size")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
-    parts = max(1, -(-total // PART_BYTES))  # tasks grow in number with the input and not in size
+    parts = 1 << bits  # tasks grow in number with the input and not in size
     shared = space.save(_minimizers(shards, bits).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")
     free_shuffles(spark)
     shards = shards.repartition(parts, "shard")
