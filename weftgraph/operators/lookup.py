@@ -71,13 +71,13 @@ def round_robin(rows: DataFrame, group: str, name: str, order: list, limit: int)
 
 
 def merge_first(rows: DataFrame, keys: list[str], order: list, evidence: str, owner: str) -> DataFrame:
-    """First row per key; its evidence grows by that of later rows of the same owner, the others are dead letters."""
-    at = Window.partitionBy(*keys)
-    first = F.first(owner).over(at.orderBy(*order))
-    tagged = rows.withColumn("_rn", F.row_number().over(at.orderBy(*order))).withColumn("_owner", first)
-    own = tagged.filter(F.col(owner) == F.col("_owner")).groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence)))).alias(evidence), F.min_by(owner, "_rn").alias(owner))
-    return own
+    """First row per key; its evidence grows by that of later rows of the same owner, the others are dead letters.
+
+    Both steps are aggregates that are combined before the exchange; only the evidence that is returned is gathered.
+    """
+    first = rows.groupBy(*keys).agg(F.min_by(owner, F.struct(*order)).alias(owner))
+    said = rows.join(first, [*keys, owner]).select(*keys, owner, F.explode_outer(evidence).alias("_e"))
+    return said.groupBy(*keys, owner).agg(F.array_sort(F.collect_set("_e")).alias(evidence)).select(*keys, evidence, owner)
 
 
 def by_type(objects: DataFrame) -> DataFrame:
