@@ -37,26 +37,29 @@ def classify_calls(outbound: DataFrame, services: DataFrame) -> DataFrame:
 def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
     """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
 
-    Shapes (verb, path) meet patterns, not calls interfaces: the residual test runs once per distinct pair of
-    both, joined by method and number of segments. The providers of a shape are gathered once, as a sorted
-    array; calls take them by equality and drop their own, in one pass.
+    Shapes (verb, path) meet patterns, not calls interfaces: paths are taken apart and tested once per distinct
+    shape and pattern, joined by method and number of segments. The providers of a shape are gathered once, as
+    an array; calls take them by equality and drop their own, in one pass.
     """
-    calls = classify_calls(outbound, services).withColumn("verb_", F.upper(F.coalesce("verb", F.lit(""))))
-    verb, pattern = F.upper(F.coalesce("verb", F.lit(""))), path_pattern("path")
-    shapes = outbound.select(verb.alias("verb_"), "path", pattern.alias("pattern")).filter(F.exists("pattern", lambda s: s.isNotNull())).distinct().withColumn("n", F.size("pattern"))
+    verb = F.upper(F.coalesce("verb", F.lit("")))
+    calls = outbound.withColumn("verb_", verb)
+    shapes = calls.select("verb_", "path").distinct().withColumn("pattern", path_pattern("path")).withColumn("n", F.size("pattern")).withColumn("concrete", F.exists("pattern", lambda s: s.isNotNull()))
     offered = (
         interfaces.filter(F.coalesce("type", F.lit("")) != "event")
         .select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), path_pattern("path").alias("offer")).distinct().withColumn("n", F.size("offer"))
     )
     patterns = offered.groupBy("verb_", "n", "offer").agg(F.collect_set("slug").alias("slugs"))
-    fit = shapes.join(patterns, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer")))
+    fit = shapes.filter("concrete").join(patterns, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer")))
     providers = fit.groupBy("verb_", "path").agg(F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
-    met = calls.join(providers, ["verb_", "path"], "left")
-    own = F.when(F.col("status") == "open", F.filter(F.coalesce("_providers", F.array().cast("array<string>")), lambda p: p != F.col("slug")))
-    n = F.coalesce(F.size(own), F.lit(0))
-    status = F.when(F.col("status") != "open", F.col("status")).when(n > 0, "resolved").otherwise("unresolved")
-    rows = met.withColumns({"_own": own, "_status": status, "n_providers": F.when(F.col("status") == "open", n).otherwise(0).cast("long")})
-    return rows.select("slug", "pos", "verb", "path", "host", F.col("_status").alias("status"), F.explode_outer("_own").alias("provider"), "n_providers")
+    known = shapes.select("verb_", "path", "concrete").join(providers, ["verb_", "path"], "left")
+    foreign = external_hosts(outbound.select("host").filter("host <> ''").distinct(), services).withColumn("_x", F.lit(True))
+    met = calls.join(foreign, "host", "left").join(known, ["verb_", "path"], "left")
+    open_ = F.col("_x").isNull() & F.coalesce("concrete", F.lit(False))  # in this order: external, unspecific, else looked at
+    own = F.when(open_, F.filter(F.coalesce("_providers", F.array().cast("array<string>")), lambda p: p != F.col("slug")))
+    n = F.coalesce(F.size("_own"), F.lit(0))
+    status = F.when(F.col("_x"), "external").when(F.col("_own").isNull(), "unspecific").when(n > 0, "resolved").otherwise("unresolved")
+    rows = met.withColumn("_own", own).withColumns({"status": status, "n_providers": F.when(F.col("_own").isNotNull(), n).otherwise(0).cast("long")})
+    return rows.select("slug", "pos", "verb", "path", "host", "status", F.explode_outer("_own").alias("provider"), "n_providers")
 
 
 def call_edges(matched: DataFrame) -> DataFrame:
