@@ -10,10 +10,6 @@ def tree(spark, made: dict, repo="svc"):
     return spark.createDataFrame([(repo, p, t.encode()) for p, t in made.items()], "repo string, path string, content binary")
 
 
-def routes(spark, made: dict) -> set:
-    return {f"{r.method} {r.path}" for r in registry.interfaces(registry.discover(tree(spark, made))).filter("type = 'rest'").collect()}
-
-
 FAST = "from fastapi import APIRouter, FastAPI\n"
 CASES = {
     "routers of one name in two modules": ({
@@ -56,17 +52,30 @@ CASES = {
 }
 
 
+CIRCLE = {
+    "svc/a.py": "from sanic import Blueprint\nfrom .b import b\na = Blueprint.group(b, url_prefix='/a')\n",
+    "svc/b.py": "from sanic import Blueprint\nfrom .a import a\nb = Blueprint.group(a, url_prefix='/b')\n@b.route('/ping')\nasync def ping(request): ...\n",
+}
+
+
+@pytest.fixture(scope="module")
+def mounted(spark):
+    """Routes of all cases, each a repository of its own."""
+    every = {**{name: made for name, (made, _) in CASES.items()}, "circle": CIRCLE}
+    files = spark.createDataFrame([(name, p, t.encode()) for name, made in every.items() for p, t in made.items()], "repo string, path string, content binary")
+    out = {name: set() for name in every}
+    for r in registry.interfaces(registry.discover(files)).filter("type = 'rest'").collect():
+        out[r.slug].add(f"{r.method} {r.path}")
+    return out
+
+
 @pytest.mark.parametrize("name", CASES)
-def test_mounts(spark, name):
-    made, want = CASES[name]
-    assert routes(spark, made) == want
+def test_mounts(mounted, name):
+    assert mounted[name] == CASES[name][1]
 
 
-def test_a_circle_of_mounts_ends(spark):
-    found = routes(spark, {
-        "svc/a.py": "from sanic import Blueprint\nfrom .b import b\na = Blueprint.group(b, url_prefix='/a')\n",
-        "svc/b.py": "from sanic import Blueprint\nfrom .a import a\nb = Blueprint.group(a, url_prefix='/b')\n@b.route('/ping')\nasync def ping(request): ...\n"})
-    assert found and all(f.endswith("/ping") for f in found)
+def test_a_circle_of_mounts_ends(mounted):
+    assert mounted["circle"] and all(f.endswith("/ping") for f in mounted["circle"])
 
 
 def test_languages_meet_in_one_registry(spark):
@@ -197,5 +206,5 @@ def test_symbols_of_other_languages(spark, path):
     text, want = SYMBOLS[path]
     facts = symbol_code.read_symbols(tree(spark, {path: text})).orderBy("line", F.desc("line_end")).collect()
     assert [(r.name, r.method, r.line, r.line_end) for r in facts] == want
-    spans = python_code.symbol_spans(registry.discover(tree(spark, {path: text}))).collect()
+    spans = python_code.symbol_spans(symbol_code.read_symbols(tree(spark, {path: text}))).collect()
     assert {r.id for r in spans} == {f"code_symbol:svc:{path}::{name}" for name, *_ in want}
