@@ -171,8 +171,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     known = names.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
     sizes = slim_rows.filter("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_least"))
     placed = sizes.join(known, "hash")
-    whole = placed.groupBy("root").agg(F.min("_least").alias("component_id"), F.sum("_n").alias("_size"))
-    named = placed.select("hash", "root", "_n").join(whole.select("root", "component_id"), "root").select("hash", "_n", "component_id")
+    whole = placed.groupBy("root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_nodes"))
+    # the nodes of a large component find its name by broadcast
+    named = skew_safe_join(placed.select("hash", "root", "_n"), space.save(whole, "whole"), "root", "_nodes", total).select("hash", "_n", "component_id")
     linked = skew_safe_join(slim_rows.filter("hash is not null"), space.save(named, "named"), "hash", "_n", total)
     alone = slim_rows.filter("hash is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
