@@ -17,7 +17,8 @@ from .quality_rules import words_of
 from .work import Workspace, only
 
 WEIGHTS, MAX_REPEAT = (5.0, 2.0, 1.0), 3.0
-SHARDS, SEED = 64, 17
+#: Output shards at least, and words of a shard at most where their number is left open.
+SHARDS, SHARD_WORDS, SEED = 64, 16_000_000, 17
 #: Documents of a block, and blocks of a source at most (beyond that blocks grow).
 BLOCK_DOCS, MAX_BLOCKS = 256, 65_536
 HASH_BITS = 40
@@ -97,7 +98,7 @@ def _dimension(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(made) if len(rows) <= MAX_BROADCAST else made
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, shards: int = SHARDS, seed: int = SEED,
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, shards: int | None = SHARDS, seed: int = SEED,
         text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
     """Each document as struct ``_doc``, with size, source_size, target and ``draws`` (prefixed ``_mix_``): one struct (epoch, shard, place) per copy taken.
 
@@ -118,6 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float
     slim = space.save(added.select("_mix_known", "_mix_source", "_mix_size", "_mix_order"), "slim")
     key = ["_mix_known", "_mix_source"]
     sources = sorted(slim.groupBy(*key).agg(F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (not r[0], r[1]))
+    shards = shards or max(SHARDS, -(-sum(r["words"] for r in sources) // SHARD_WORDS))
     goal = targets([r["words"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], max_repeat)
     plan = []
     for r, t in zip(sources, goal, strict=True):
@@ -165,11 +167,12 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
                         (F.col("_mix_size") * F.size("_mix_draws")).cast("long").alias("taken"), F.col("_mix_draws").alias("draws"))
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
     """The mix itself: each document as often as it is drawn, with its own columns only.
 
-    Rows come by output shard, each whole in one partition, and within a shard by place. All columns stay,
+    Rows come by output shard, each whole in one partition, and within a shard by place; there are as many
+    shards as the words ask for, if not said. All columns stay,
     whatever their names. What holds for nulls, empty texts, repeated rows and an empty table is as in ``mix``.
     """
     drawn = mix(docs, shards=shards, **options).select("_doc", F.explode("_mix_draws").alias("_mix_draw"))
-    return drawn.repartition(shards, "_mix_draw.shard").sortWithinPartitions("_mix_draw.shard", "_mix_draw.place", "_mix_draw.epoch").select("_doc.*")
+    return drawn.repartition("_mix_draw.shard").sortWithinPartitions("_mix_draw.shard", "_mix_draw.place", "_mix_draw.epoch").select("_doc.*")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space of the word contracts, as the inside of a regex class.
 SPACE = r"\x20\x09-\x0D"
 #: Rows of one rank bin, so that a group of any size is numbered by many tasks.
@@ -18,13 +18,15 @@ BIN_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a private one if unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, a private one in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weft-")
         context.setCheckpointDir(found)
         found = context._jsc.sc().getCheckpointDir().get()
@@ -80,23 +82,6 @@ def free_shuffles(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once per application; they need no copy of the repository."""
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="weft-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(application)
-
-
 #: Most bytes of an Arrow batch. One bound for all stages, as a plan reads it when it runs, not when it is made.
 BATCH_BYTES = 8 << 20
 
