@@ -196,6 +196,8 @@ def suffix_chain(rows, per_shard, bits):
     shards = [texts[k : k + per_shard] for k in range(0, len(texts), per_shard)]
     packed = [pa.RecordBatch.from_pydict({"shard": [str(k)], "ids": [s.squeeze(np.array([i for i, _ in part]).tobytes())], "ends": [s.squeeze(np.cumsum([len(b) for _, b in part]).tobytes())], "data": [s.squeeze(b"".join(b for _, b in part))]}) for k, part in enumerate(shards)]
 
+    keys = np.arange(1 << bits)
+
     class Frame:  # what mapInArrow and applyInArrow need
         def __init__(self, batches):
             self.batches = batches
@@ -211,13 +213,20 @@ def suffix_chain(rows, per_shard, bits):
     def lists(batches):
         return {k: sorted(t.column("blob").to_pylist()) for k, t in by(batches, "shard").items()} if batches else {}
 
-    shared = lists(by(s._minimizers(Frame(packed), bits), "bucket", s._shared))
+    shared = lists(by(s._minimizers(Frame(packed), bits, keys), "bucket", s._shared))
     joined = [b.append_column("shared", pa.array([shared[k]], pa.list_(pa.binary()))) for b in packed if (k := b.column(0)[0].as_py()) in shared]
-    answers = lists(by(s._forms(Frame(joined), bits), "bucket", s._decided))
+    answers = lists(by(s._forms(Frame(joined), bits, keys), "bucket", s._decided))
     last = [b.append_column("shared", pa.array([shared.get(k, [])], pa.list_(pa.binary()))).append_column("decided", pa.array([answers.get(k, [])], pa.list_(pa.binary()))) for b in packed for k in [b.column(0)[0].as_py()]]
     return [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for b in s._cut(Frame(last), False) for r in b.to_pylist()]
 
 
+def test_content_shards_are_dealt_one_to_a_task(spark):
+    for n in (1, 2, 64):
+        keys = suffix_dedup.even_keys(spark, n)
+        made = spark.createDataFrame([(int(k),) for k in keys], "bucket long").repartition(n, "bucket").select(F.spark_partition_id().alias("p"))
+        assert len({r.p for r in made.collect()}) == n == len(set(keys.tolist()))
+
+
 @pytest.mark.parametrize("change", [{}, {"ARRAY_BYTES": 300}, {"HOT_RUNS": 2}, {"HOT_RUNS": 2, "ARRAY_BYTES": 200}, {"CHUNK": 97}, {"RUN": 3, "ARRAY_BYTES": 500}, {"HASH_BITS": 3, "ARRAY_BYTES": 250}])
 def test_substring_stages(rows, monkeypatch, change):
     """All branches: pieces of a minimizer merged by binary search, hot minimizers taken apart, texts looked at in chunks, colliding hashes."""

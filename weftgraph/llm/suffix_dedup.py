@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .work import Workspace, free_shuffles, only, python_stage
@@ -36,6 +36,8 @@ LENGTH, K = 50, 16
 SHARD_BYTES, BUCKET_BYTES, ARRAY_BYTES = 2 << 20, 8 << 20, 1 << 20
 #: Windows of a run at most, windows looked at together, and different runs from which on a minimizer is taken apart.
 RUN, CHUNK, HOT_RUNS = 64, 1 << 20, 20_000
+#: Content shards up to which each is dealt to a task of its own.
+MOST_KEYS = 1 << 16
 #: Bits of a minimizer's hash; two that share it cost a comparison, nothing else.
 HASH_BITS = 48
 #: Sorts behind all documents: rows without an id remove nothing elsewhere.
@@ -316,11 +318,25 @@ def _shard(batch: pa.RecordBatch, i: int) -> tuple[str, np.ndarray, np.ndarray,
     return (batch.column(0)[i].as_py(), np.frombuffer(expand(batch.column(1)[i].as_py()), np.int64), np.frombuffer(expand(batch.column(2)[i].as_py()), np.int64), expand(batch.column(3)[i].as_py()))
 
 
-def _by_bucket(hashes: np.ndarray, bits: int) -> list[tuple[int, slice]]:
-    """Slices of ascending hashes by their top bits."""
+def _by_bucket(hashes: np.ndarray, bits: int, keys: np.ndarray) -> list[tuple[int, slice]]:
+    """Keys and slices of ascending hashes by their top bits."""
     bucket = (hashes >> np.uint64(HASH_BITS - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     cut = np.flatnonzero(np.diff(bucket)) + 1
-    return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(np.append(0, cut), np.append(cut, len(bucket)), strict=True) if b > a]
+    return [(int(keys[bucket[a]]), slice(int(a), int(b))) for a, b in zip(np.append(0, cut), np.append(cut, len(bucket)), strict=True) if b > a]
+
+
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """A key for each of ``n`` content shards, so that hash partitioning deals one to each of ``n`` tasks.
+
+    Beyond ``MOST_KEYS`` shards the numbers themselves: so many fall evenly enough by their hash.
+    """
+    keys = np.arange(n, dtype=np.int64)
+    if 1 < n <= MOST_KEYS:
+        found = spark.range(n * (int(np.log(n)) + 8)).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id"))
+        keys = -1 - keys  # for what is not found
+        for r in found.collect():  # a row per task
+            keys[r["p"]] = r["id"]
+    return keys
 
 
 def _rows(rows: list[tuple], bucketed: bool) -> pa.RecordBatch:
@@ -329,7 +345,7 @@ def _rows(rows: list[tuple], bucketed: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _minimizers(shards: DataFrame, bits: int) -> DataFrame:
+def _minimizers(shards: DataFrame, bits: int, keys: np.ndarray) -> DataFrame:
     """Per source and content shard: the minimizers, each with its least document, whether it has more than one, and its different runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +362,7 @@ def _minimizers(shards: DataFrame, bits: int) -> DataFrame:
                 least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
                 forms = np.add.reduceat(np.append(True, key[1:] != key[:-1]).astype(np.uint32), start, dtype=np.uint32)
                 h = h[start]
-                yield _rows([(b, shard, squeeze(np.uint64(s.stop - s.start).tobytes() + planes(h[s]) + planes(least[s]) + planes(least[s] != most[s]) + planes(forms[s]))) for b, s in _by_bucket(h, bits)], True)
+                yield _rows([(b, shard, squeeze(np.uint64(s.stop - s.start).tobytes() + planes(h[s]) + planes(least[s]) + planes(least[s] != most[s]) + planes(forms[s]))) for b, s in _by_bucket(h, bits, keys)], True)
 
     return shards.mapInArrow(run, "bucket long, shard string, blob binary")
 
@@ -398,7 +414,7 @@ class Forms:
         self.least = np.minimum.reduceat(self.doc, start) if len(start) else self.doc
 
 
-def _forms(joined: DataFrame, bits: int) -> DataFrame:
+def _forms(joined: DataFrame, bits: int, keys: np.ndarray) -> DataFrame:
     """Per source and content shard: minimizers, marks, least documents, lengths and bytes of the different runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,7 +422,7 @@ def _forms(joined: DataFrame, bits: int) -> DataFrame:
                 shard, ids, ends, data = _shard(batch, k)
                 f = Forms(ids, ends, data, batch.column(4)[k].as_py() or [])
                 text = np.frombuffer(data, np.uint8)
-                for b, s in _by_bucket(f.hash, bits):
+                for b, s in _by_bucket(f.hash, bits, keys):
                     yield _rows([(b, shard, squeeze(np.array([s.stop - s.start, s.start], np.uint64).tobytes() + planes(f.hash[s]) + planes(f.least[s]) + f.mark[s].astype(np.uint16).tobytes() + f.size[s].astype(np.uint8).tobytes() + text[ranges(f.at[s], f.size[s])].tobytes()))], True)
 
     return joined.mapInArrow(run, "bucket long, shard string, blob binary")
@@ -518,12 +534,13 @@ def substring_dedup(docs: DataFrame, with_text: bool = True, text: str = "text",
     total = shards.agg(F.sum("size")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
     parts = 1 << bits  # tasks grow in number with the input and not in size
-    shared = space.save(_minimizers(shards, bits).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")
+    keys = even_keys(spark, parts)
+    shared = space.save(_minimizers(shards, bits, keys).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared, "shard string, bucket long, blob binary"), "shared")
     free_shuffles(spark)
     shards = shards.repartition(parts, "shard")
     lists = shared.repartition(parts, "shard").groupBy("shard").agg(F.sort_array(F.collect_list("blob")).alias("shared"))
     joined = shards.join(lists, "shard")
-    decided = space.save(_forms(joined.select("shard", "ids", "ends", "data", "shared"), bits).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_decided, "shard string, bucket long, blob binary"), "decided")
+    decided = space.save(_forms(joined.select("shard", "ids", "ends", "data", "shared"), bits, keys).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_decided, "shard string, bucket long, blob binary"), "decided")
     free_shuffles(spark)
     answers = decided.repartition(parts, "shard").groupBy("shard").agg(F.collect_list("blob").alias("decided"))
     last = shards.drop("size").join(lists, "shard", "left").join(answers, "shard", "left").select("shard", "ids", "ends", "data", F.coalesce("shared", F.array().cast("array<binary>")).alias("shared"), "decided")
