@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_packing, exact_dedup, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, suffix_dedup, toxicity
+from . import bin_packing, exact_dedup, filter_audit, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, spelling, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_table(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kd_sharding, op2_exact_dedup, op3_license_scan, op4_host_quality_rules, op5_language_id, op6_suffix_array_dedup, op7_best_fit_packing,
-    op8_source_mixing, op9_toxicity, op10_ngram_jaccard_join,
+    op8_source_mixing, op9_toxicity, op10_ngram_jaccard_join, op11_filter_audit, op12_spelling_variants, op13_url_filter,
 )}
 
 ORACLE_SQL = {
@@ -61,6 +73,7 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size,
           doc_id = max(doc_id) over t as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window t as (partition by coalesce(text, ''))""",
+    "op11_filter_audit": filter_audit.SQL,
     "op4_host_quality_rules": "with " + quality_rules.SQL.format(docs="documents") + """
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from q_judged""",
 }
