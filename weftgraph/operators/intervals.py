@@ -6,9 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_evidence
+from ..sources.staging import Staging
 
-#: Lines of a bucket in the interval join: a span is entered once per bucket it touches.
-BUCKET = 64
+
+#: Lines of a leaf of the tree are 2 ** LEAF: most spans are one or two tiles then.
+LEAF = 6
+
+
+def _shift(value, bits) -> Column:
+    return F.call_function("shiftright", value, bits)
+
+
+def cover(start: Column, end: Column) -> Column:
+    """The nodes (level, at) of a binary tree that tile leaves ``start`` to ``end``: at most two per level.
+
+    A node of level k holds 2 ** k leaves. At each level the tiles are the node left over on either side, which
+    the bounds of that level, rounded inwards, tell; an interval of n leaves has at most 2 log2 n tiles.
+    """
+    start, past = start.cast("long"), end.cast("long") + 1
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(past - start, F.lit(1)))) - 1)
+    low = lambda k: -_shift(-start, k)  # noqa: E731  rounded up
+    high = lambda k: _shift(past, k)
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+    node = lambda k, at: F.struct(k.cast("int").alias("level"), at.alias("at"))
+    some = lambda k: low(k) < high(k)
+    tiles = F.flatten(F.transform(levels, lambda k: F.array(F.when(some(k) & odd(low(k)), node(k, low(k))), F.when(some(k) & odd(high(k)), node(k, high(k) - 1)))))
+    return F.filter(tiles, lambda n: n.isNotNull())
+
+
+def stab(points: DataFrame, spans: DataFrame, line: str, start: str, end: str) -> DataFrame:
+    """points(path, line, ...) joined with every span(path, start, end, ...) around them: an equi-join, each pair once.
+
+    A span is entered under the tiles that cover its leaves, a point under its leaf's ancestors of those levels
+    that the spans of its path have. Exactly one ancestor of a point inside a span is a tile of it, so no pair
+    comes twice, and only those of a span's first and last leaf are tried in vain. Rows grow with the logarithm
+    of a span's lines.
+    """
+    tiles = spans.withColumn("_n", F.explode(cover(_shift(F.col(start), F.lit(LEAF)), _shift(F.col(end), F.lit(LEAF))))).select(*spans.columns, F.col("_n.level").alias("_level"), F.col("_n.at").alias("_at"))
+    levels = tiles.groupBy("path").agg(F.collect_set("_level").alias("_levels"))
+    up = points.join(levels, "path").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_at", _shift(F.col(line).cast("long"), F.col("_level") + LEAF))
+    return up.join(tiles, ["path", "_level", "_at"]).filter((F.col(start) <= F.col(line)) & (F.col(line) <= F.col(end))).drop("_level", "_at")
 
 
 #: Kinds of symbols that call, are called and handle requests.
@@ -23,12 +60,9 @@ def callable_spans(spans: DataFrame) -> DataFrame:
 def tightest_span(points: DataFrame, spans: DataFrame, tie: str = "latest") -> DataFrame:
     """points(path, line, ...) with ``id`` of the smallest span(path, start, end, id) around them (null: none).
 
-    Ties: ``latest`` start, then greatest id; or ``lowest`` id. The join is an equi-join on path and line
-    bucket, so a file of many spans is not tried pair by pair.
+    Ties: ``latest`` start, then greatest id; or ``lowest`` id.
     """
-    at = spans.select("path", "start", "end", "id", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))).alias("_b"))
-    distinct = points.select("path", "line").distinct().withColumn("_b", F.floor(F.col("line") / BUCKET))
-    met = distinct.join(at, ["path", "_b"]).filter("start <= line and line <= end")
+    met = stab(points.select("path", "line").distinct(), spans.select("path", "start", "end", "id"), "line", "start", "end")
     size = F.col("end") - F.col("start")
     best = F.min_by("id", F.struct(size, F.col("id"))) if tie == "lowest" else F.max_by("id", F.struct(-size, F.col("start"), F.col("id")))
     return points.join(met.groupBy("path", "line").agg(best.alias("id")), ["path", "line"], "left")
@@ -58,15 +92,16 @@ def handler_edges(interfaces: DataFrame, spans: DataFrame) -> DataFrame:
 def evidence_symbols(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     """evidence(ref, e) -> (ref, id) of every symbol it overlaps; a bare path overlaps all of its file.
 
-    Evidence with lines meets the spans by path and line bucket, so a file of many symbols is not tried pair by pair.
+    Two intervals overlap if the first line of either lies in the other: evidence that begins inside a span,
+    and spans that begin inside evidence behind its first line. Both are looked up by line, no pair comes twice.
     """
     at = evidence.withColumn("p", parse_evidence("e")).filter("p is not null").select("ref", F.col("p.path").alias("path"), F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi")).distinct()
-    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.least(lo, hi) / BUCKET), F.floor(F.greatest(lo, hi) / BUCKET))).alias("_b")
-    lines = at.filter("lo is not null").select("ref", "path", "lo", "hi", buckets(F.col("lo"), F.col("hi")))
-    entered = spans.select("path", "start", "end", "id", buckets(F.col("start"), F.col("end")))
-    met = lines.join(entered, ["path", "_b"]).filter("not (hi < start or lo > end)").select("ref", "id")
+    at = Staging(evidence.sparkSession, "evidence").save(at, "at")  # parsed once, read by each side of both lookups
+    lines, spans = at.filter("lo is not null"), spans.select("path", "start", "end", "id")
+    inside = stab(lines, spans, "lo", "start", "end").filter("start <= hi").select("ref", "id")
+    behind = stab(spans, lines.filter("lo < hi").withColumn("_lo", F.col("lo") + 1), "start", "_lo", "hi").select("ref", "id")
     whole = at.filter("lo is null").join(spans, "path").select("ref", "id")
-    return met.unionByName(whole).distinct()
+    return inside.unionByName(behind).unionByName(whole).distinct()
 
 
 def stale(refs: DataFrame, touched: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import match_keys
+from ..sources.staging import Staging
 
 
 def score_answers(answers: DataFrame, truth: DataFrame, questions: DataFrame, acceptable: DataFrame | None = None) -> DataFrame:
@@ -56,10 +57,12 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
 
     known = rows.filter(F.col(value).isNotNull()).select(by, value)
     cuts = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max"), F.array_distinct(F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 10_000)).alias("_cuts"))
+    staging = Staging(rows.sparkSession, "latency")
+    cuts = staging.save(cuts, "cuts")  # a row per group, read four times below
     last = F.col("n") - 1
     ranks = {"lo": F.floor(last / 2), "hi": F.ceil(last / 2), "p95": F.least(F.floor(F.col("n") * 0.95), last), "p99": F.least(F.floor(F.col("n") * 0.99), last)}
     same = F.col(by).eqNullSafe(F.col(f"_{by}"))
-    known = known.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    known = staging.save(known.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c")), "values")
     at = known.join(F.broadcast(cuts.select(F.col(by).alias(f"_{by}"), "_cuts")), same) if cuts.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS else known.join(cuts.select(F.col(by).alias(f"_{by}"), "_cuts"), same)
     sliced = at.select(by, value, "_c", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_s"))
     counts = sliced.groupBy(by, "_s").agg(F.sum("_c").alias("_n"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ADDRESS_KEY, LOCAL_HOSTS, LOOPBACK, THIRD_PARTY, distinct_sorted, path_pattern, pattern_matches, slug_tokens, slugish, strip_env_prefix
+from ..functions.scalar import ADDRESS_KEY, LOCAL_HOSTS, LOOPBACK, THIRD_PARTY, distinct_sorted, path_pattern, slug_tokens, slugish, strip_env_prefix
+from ..sources.staging import Staging
+
 
 def external_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
     """Of distinct ``host`` values those that are dotted public names in which no service's slug occurs.
@@ -34,24 +36,42 @@ def classify_calls(outbound: DataFrame, services: DataFrame) -> DataFrame:
         "status", F.when(F.col("_x"), "external").when(~concrete, "unspecific").otherwise("open")).drop("_x")
 
 
+#: Marks in the key of a pattern; no segment holds a slash, so they cannot be taken for one.
+WILD, TEMPLATED = "/*", "/?"
+
+
+def _masks(offered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns as (verb_, key, slugs) and, per (verb_, n), the masks that occur: which of the n segments are templates."""
+    mask = F.array_join(F.transform("offer", lambda s: F.when(s.isNull(), "*").otherwise("=")), "")
+    key = F.array_join(F.transform("offer", lambda s: F.coalesce(s, F.lit(WILD))), "/")
+    patterns = offered.withColumns({"mask": mask, "key": key}).groupBy("verb_", "mask", "key").agg(F.collect_set("slug").alias("slugs"))
+    return patterns, offered.groupBy("verb_", F.size("offer").alias("n")).agg(F.collect_set(mask).alias("masks"))
+
+
+def _masked_keys(pattern: Column, masks: Column) -> Column:
+    """The keys under which a call's segments can be offered: its literals where a mask has one, the mark elsewhere. A call's template meets templates only."""
+    return F.transform(masks, lambda m: F.array_join(F.transform(pattern, lambda s, i: F.when(F.substr(m, i + 1, F.lit(1)) == "*", F.lit(WILD)).otherwise(F.coalesce(s, F.lit(TEMPLATED)))), "/"))
+
+
 def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
     """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
 
-    Shapes (verb, path) meet patterns, not calls interfaces: paths are taken apart and tested once per distinct
-    shape and pattern, joined by method and number of segments. The providers of a shape are gathered once, as
-    an array; calls take them by equality and drop their own, in one pass.
+    Shapes (verb, path) meet patterns, not calls interfaces, and they meet by equality alone: a shape is entered
+    once per mask that patterns of its verb and length have, with the mask's literals as the key, so none is
+    tried against a pattern that it does not match. The providers of a shape are gathered once, as an array;
+    calls take them by equality and drop their own, in one pass.
     """
     verb = F.upper(F.coalesce("verb", F.lit("")))
     calls = outbound.withColumn("verb_", verb)
-    shapes = calls.select("verb_", "path").distinct().withColumn("pattern", path_pattern("path")).withColumn("n", F.size("pattern")).withColumn("concrete", F.exists("pattern", lambda s: s.isNotNull()))
+    shapes = calls.select("verb_", "path").distinct().withColumn("pattern", path_pattern("path")).withColumns({"n": F.size("pattern"), "concrete": F.exists("pattern", lambda s: s.isNotNull())})
     offered = (
         interfaces.filter(F.coalesce("type", F.lit("")) != "event")
-        .select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), path_pattern("path").alias("offer")).distinct().withColumn("n", F.size("offer"))
+        .select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), "path").distinct().select("slug", "verb_", path_pattern("path").alias("offer"))
     )
-    patterns = offered.groupBy("verb_", "n", "offer").agg(F.collect_set("slug").alias("slugs"))
-    fit = shapes.filter("concrete").join(patterns, ["verb_", "n"]).filter(pattern_matches(F.col("pattern"), F.col("offer")))
-    providers = fit.groupBy("verb_", "path").agg(F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
-    known = shapes.select("verb_", "path", "concrete").join(providers, ["verb_", "path"], "left")
+    patterns, masks = _masks(offered)
+    entered = shapes.join(masks, ["verb_", "n"], "left").select("verb_", "path", "concrete", F.explode_outer(F.when(F.col("concrete"), _masked_keys(F.col("pattern"), F.col("masks")))).alias("key"))
+    found = entered.join(patterns.select("verb_", "key", "slugs"), ["verb_", "key"], "left")
+    known = found.groupBy("verb_", "path").agg(F.first("concrete").alias("concrete"), F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
     foreign = external_hosts(outbound.select("host").filter("host <> ''").distinct(), services).withColumn("_x", F.lit(True))
     met = calls.join(foreign, "host", "left").join(known, ["verb_", "path"], "left")
     open_ = F.col("_x").isNull() & F.coalesce("concrete", F.lit(False))  # in this order: external, unspecific, else looked at
@@ -137,8 +157,11 @@ def resolve_hosts(bindings: DataFrame, services: DataFrame, declared: DataFrame,
     and no branch depends on how another was planned.
     """
     parts = ["slug", "key", "host", "port"]
+    staging = Staging(bindings.sparkSession, "hosts")  # six rules read the same rows: bindings are taken apart once
     named = bindings.withColumn("_id", F.sha2(F.to_json(F.struct(*parts)), 256))
-    rows = named.select("_id", "slug", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("port", F.lit("")).alias("port")).distinct()
+    named = staging.save(named, "named")
+    rows = named.select("_id", "slug", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("port", F.lit("")).alias("port")).dropDuplicates(["_id"])
+    rows = staging.save(rows, "rows")
     out = named
     for k, (_, find) in enumerate(rules):
         out = out.join(find(rows, services, declared).withColumnRenamed("t", f"t{k}"), "_id", "left")
@@ -167,12 +190,34 @@ def channel_ends(interfaces: DataFrame) -> DataFrame:
     return interfaces.filter("type = 'event'").select("slug", strip_env_prefix("path").alias("channel"), F.upper("method").alias("direction"), F.coalesce("framework", F.lit("")).alias("framework"))
 
 
+#: Ends per side of a channel from which its pairs are made in cells of so many by so many.
+CELL = 256
+
+
+def _cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``channel`` with ``_i`` and ``_j``: a light channel is one cell, a heavy one a grid.
+
+    The sides of a heavy channel are cut into slices by a hash of the service; every row of a slice is entered
+    once per slice of the other side, so a task makes the pairs of cells and never those of a whole channel.
+    The number of slices comes from the counted ends; rows entered are at most ends times slices.
+    """
+    count = lambda side, name: side.groupBy("channel").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
+    grid = count(left, "_rows").join(count(right, "_columns"), "channel")
+    slice_of = lambda n: F.pmod(F.xxhash64("slug"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(grid, "channel").withColumn("_i", slice_of("_rows")).withColumn("_j", every("_columns")).drop("_rows", "_columns")
+    b = right.join(grid, "channel").withColumn("_j", slice_of("_columns")).withColumn("_i", every("_rows")).drop("_rows", "_columns")
+    return a, b
+
+
 def publish_edges(ends: DataFrame) -> DataFrame:
     """Each publisher of a channel with each consumer or end of unknown direction; ends are made distinct first."""
     distinct = ends.groupBy("slug", "channel", "direction").agg(F.bool_or(F.col("framework") == "config").alias("config"))
-    pubs = distinct.filter("direction = 'PUBLISH'").select("channel", F.col("slug").alias("from_slug"), F.col("config").alias("_p"))
-    cons = distinct.filter("direction in ('CONSUME', 'USES')").select("channel", F.col("slug").alias("to_slug"), F.col("config").alias("_c"))
-    return pubs.join(cons, "channel").filter("from_slug <> to_slug").groupBy("from_slug", "to_slug").agg(
+    pubs = distinct.filter("direction = 'PUBLISH'").select("channel", "slug", F.col("config").alias("_p"))
+    cons = distinct.filter("direction in ('CONSUME', 'USES')").groupBy("channel", "slug").agg(F.bool_or("config").alias("_c"))
+    a, b = _cells(pubs, cons)
+    met = a.withColumnRenamed("slug", "from_slug").join(b.withColumnRenamed("slug", "to_slug"), ["channel", "_i", "_j"])
+    return met.filter("from_slug <> to_slug").groupBy("from_slug", "to_slug").agg(
         distinct_sorted(F.collect_set("channel"), 20).alias("channels"),
         F.when(F.bool_or(F.col("_p") | F.col("_c")), "config").otherwise("static").alias("confidence"))
 
@@ -181,8 +226,9 @@ def shared_edges(ends: DataFrame) -> DataFrame:
     """Unordered pairs that meet on a channel nobody is known to publish."""
     pubs = ends.filter("direction = 'PUBLISH'").select("channel").distinct()
     open_ = ends.filter("direction in ('CONSUME', 'USES')").select("channel", "slug").distinct().join(pubs, "channel", "left_anti")
-    a, b = open_.withColumnRenamed("slug", "from_slug"), open_.withColumnRenamed("slug", "to_slug")
-    return a.join(b, "channel").filter("from_slug < to_slug").groupBy("from_slug", "to_slug").agg(distinct_sorted(F.collect_set("channel"), 20).alias("channels")).withColumn("confidence", F.lit("direction-unknown"))
+    a, b = _cells(open_, open_)
+    met = a.withColumnRenamed("slug", "from_slug").join(b.withColumnRenamed("slug", "to_slug"), ["channel", "_i", "_j"])
+    return met.filter("from_slug < to_slug").groupBy("from_slug", "to_slug").agg(distinct_sorted(F.collect_set("channel"), 20).alias("channels")).withColumn("confidence", F.lit("direction-unknown"))
 
 
 def valid_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
