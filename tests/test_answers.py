@@ -21,7 +21,7 @@ def fleet(spark, tmp_path_factory):
     """A catalog of two repositories, one calling the other."""
     files = spark.createDataFrame([("orders", "app.py", ORDERS.encode()), ("billing", "web.py", BILLING.encode()), ("orders", "config.json", b'{"peers": {"BILLING_URL": "http://billing:80"}}')], "repo string, path string, content binary")
     catalog = Catalog(spark, str(tmp_path_factory.mktemp("fleet") / "c"))
-    assert index.index(catalog, files, {"orders": "1"}) == {"services": 2, "relinked": True}
+    assert index.index(catalog, files, {"orders": "1"}) == {"services": 2, "skipped": 0, "relinked": True}
     return catalog
 
 

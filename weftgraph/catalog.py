@@ -3,7 +3,8 @@
 A change writes the tables it touches below a new version directory and then adds one numbered entry to the
 log, by a rename that fails if the number is taken: readers take the highest entry and see a whole version,
 of two concurrent changes the second is refused. An entry says where each table of its version stands, so
-tables that did not change are not written again. Spark has neither MERGE on Parquet nor foreign keys: upserts are a union with the newest row per key,
+tables that did not change are not written again. Tables are written in the order of the key by which they are
+looked up, so that a point or a prefix reads few files, and with Bloom filters on it. Spark has neither MERGE on Parquet nor foreign keys: upserts are a union with the newest row per key,
 deletes and cascades are anti joins.
 """
 
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .schema import EDGES, ENRICHMENTS, META, OBJECTS
 
 TABLES = {"objects": (OBJECTS, "object_type"), "edges": (EDGES, "relationship"), "enrichments": (ENRICHMENTS, None), "meta": (META, None)}
+#: Lookup tables, made of the objects of one version and refused for any other: names in order, and the trigrams of ids.
+LOOKUPS = {"names": "object_type string, name string, id string, source string", "postings": "object_type string, gram string, id string", "grams": "object_type string, gram string, n long"}
+#: Per table the columns by which its files are ranged and sorted, the first of them with a Bloom filter.
+ORDER = {"objects": ("id",), "edges": ("from_id", "to_id"), "enrichments": ("object_id",), "names": ("name", "id"), "postings": ("gram", "id"), "grams": ("gram",)}
 EDGE_KEY = ["from_id", "relationship", "to_id", "source"]
 SCHEMA_VERSION = "1"
 
@@ -152,9 +157,12 @@ class Catalog:
         number, held = (log[-1] + 1, self._entry(log[-1])["tables"]) if log else (0, {})
         at = f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}"
         for name, df in tables.items():
-            partition = TABLES[name][1]
-            (df.write.partitionBy(partition) if partition else df.write).parquet(f"{self.root}/versions/{at}/{name}")
+            self._write(name, df, f"{self.root}/versions/{at}/{name}")
         entry = {"version": at, "tables": held | {name: f"versions/{at}/{name}" for name in tables}}
+        if set(tables) & set(LOOKUPS):
+            entry["of"] = held.get("objects")
+        elif log and "of" in self._entry(log[-1]):
+            entry["of"] = self._entry(log[-1])["of"]
         try:
             self._write_text(f"{self.root}/log/{number:010d}.json", json.dumps(entry, sort_keys=True), overwrite=False)
         except Exception as e:
@@ -163,6 +171,34 @@ class Catalog:
             raise
         return at
 
+    def _write(self, name: str, df: DataFrame, path: str) -> None:
+        """In the order of its key within its partition, so that the files and row groups that a lookup can skip are known by their bounds."""
+        partition, order = (TABLES[name][1] if name in TABLES else "object_type"), ORDER.get(name, ())
+        by = [c for c in (partition, *order) if c]
+        rows = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+        out = rows.write.option("parquet.block.size", 32 << 20)
+        for c in (*order[:1], *(("to_id",) if name == "edges" else ())):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        (out.partitionBy(partition) if partition else out).parquet(path)
+
+    def build_lookup(self) -> str:
+        """Names and trigrams of the current objects as tables of their own; any later change of the objects makes them stale."""
+        from .operators.lookup import gram_counts, names, postings
+
+        objects = self.table("objects")
+        grams = postings(objects)
+        return self.commit(names=names(objects), postings=grams, grams=gram_counts(grams))
+
+    def lookup(self) -> dict[str, DataFrame] | None:
+        """The lookup tables of this version; None if there are none or they were made of other objects."""
+        log = self._log()
+        version = self.version()
+        entry = next((e for n in reversed(log) if (e := self._entry(n))["version"] == version), {})
+        held = entry.get("tables", {})
+        if not entry.get("of") or entry["of"] != held.get("objects"):
+            return None
+        return {name: self.spark.read.schema(schema).parquet(f"{self.root}/{held[name]}") for name, schema in LOOKUPS.items()}
+
     def upsert_objects(self, new: DataFrame) -> str:
         return self.commit(objects=upsert(self.table("objects"), new, ["id"]))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STUB = "relationship_stub"
+#: Letters of the pieces under which ids are found.
+GRAM = 3
 
 
 def clamp(value, default: int, low: int, high: int) -> int:
@@ -48,6 +50,53 @@ def find_tiered(objects: DataFrame, query: str, object_type: str, limit: int = 2
     return rows.orderBy("tier", F.when(F.col("tier") == 2, F.col("name")), "id").limit(limit).select("tier", "id")
 
 
+# Lookup tables: what a catalog keeps so that a search reads few files.
+
+def names(objects: DataFrame) -> DataFrame:
+    return objects.select("object_type", "name", "id", "source")
+
+
+def postings(objects: DataFrame) -> DataFrame:
+    """object_type, gram, id: the distinct trigrams of every id, without regard to case."""
+    low = F.lower("id")
+    grams = F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda i: F.substr(low, i, F.lit(GRAM)))))
+    return objects.select("object_type", F.explode(grams).alias("gram"), "id")
+
+
+def gram_counts(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("object_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def find_indexed(held: dict[str, DataFrame], query: str, object_type: str, limit: int = 20) -> DataFrame:
+    """``find_tiered`` on lookup tables: the same rows, without a scan of the objects.
+
+    Names that equal or begin with the query are a range of the ordered names. For the rest the ids of the
+    query's rarest trigram are read and tested, which is exact, as every id that holds the query is among them;
+    of a query shorter than a trigram the ids of all trigrams that hold it, and the ids too short to have one.
+    """
+    q = (query or "").strip()
+    names_ = held["names"].filter(F.col("object_type") == object_type)
+    if not q:
+        return names_.limit(0).select(F.lit(1).alias("tier"), "id")
+    tier = F.when(F.col("name") == q, 1).otherwise(2)
+    by_name = names_.filter(F.col("name").startswith(q)).select("id", "name", tier.alias("tier")).orderBy("tier", F.when(F.col("tier") == 2, F.col("name")), "id").limit(limit)
+    low = q.lower()
+    of_type = held["postings"].filter(F.col("object_type") == object_type)
+    if len(low) >= GRAM:
+        own = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+        counted = {r["gram"]: r["n"] for r in held["grams"].filter((F.col("object_type") == object_type) & F.col("gram").isin(*own)).collect()}  # a row per trigram of the query
+        rarest = min(own, key=lambda g: (counted.get(g, 0), g))
+        ids = of_type.filter(F.col("gram") == rarest).select("id")
+    else:
+        short = names_.filter(F.length("id") < GRAM).select("id")
+        ids = of_type.filter(F.contains("gram", F.lit(low))).select("id").unionByName(short).distinct()
+    hits = ids.filter(F.contains(F.lower("id"), F.lit(low)))
+    # A hit that a name tier has stands there; there are at most ``limit`` better rows than any that is returned.
+    inside = hits.orderBy("id").limit(2 * limit).select("id", F.lit(None).cast("string").alias("name"), F.lit(3).alias("tier"))
+    best = by_name.unionByName(inside).groupBy("id").agg(F.min(F.struct("tier", "name")).alias("_t")).select("id", "_t.*")
+    return best.orderBy("tier", F.when(F.col("tier") == 2, F.col("name")), "id").limit(limit).select("tier", "id")
+
+
 def suggest(objects: DataFrame, given: str, object_type: str) -> DataFrame:
     """Five ids for an id that was not found: lookup of its last segment."""
     return find_tiered(objects, given.rsplit(":", 1)[-1], object_type, 5)

@@ -18,7 +18,7 @@ PAYLOADS = {
         "symbol_count int, interface_count int, outbound array<struct<verb:string,path:string,host:string,evidence:string>>, "
         "host_bindings array<struct<key:string,host:string,port:string,value:string,file:string>>, declared_hosts map<string,string>, "
         f"identity struct<port:string,name:string>, root string, skipped array<struct<file:string,line:int,reason:string,expr:string,names:array<string>,method:string>>, "
-        "dependencies array<string>, language string, languages array<string>"
+        "dependencies array<string>, language string, languages array<string>, purpose array<string>"
     ),
     "library": "symbol_count int, root string",
     "interface": "type string, method string, path string, handler string, framework string, evidence array<string>, confidence string, gap string",
