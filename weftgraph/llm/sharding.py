@@ -34,9 +34,28 @@ def _scaled(value: Column, low: float, high: float) -> Column:
     return F.coalesce(F.least(F.lit(top), F.floor((value - low) / max(high - low, 1e-9) * top)), F.lit(0)).cast("long")
 
 
-def _by_code(value: str) -> Column:
-    """The first three bytes of a text as a number, so that names which sort together lie together; null is the least."""
-    return F.when(F.col(value).isNotNull(), F.conv(F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, COORD_BITS // 8)), COORD_BITS // 4, "0"), 16, 10).cast("long")).otherwise(0)
+def _by_rank(rows: DataFrame, name: str, total: int, space: Workspace) -> DataFrame:
+    """``rows`` with the text column ``name`` replaced by its place among the distinct values in code-point order, spread over a coordinate's range; null is the least.
+
+    The distinct values are sorted and numbered in parallel, a range of the order per task; the driver sees
+    the number of values of each range. Values find their rows by broadcast up to a checked number of them,
+    beyond that by a join that splits hot ones.
+    """
+    counted = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_c"))
+    ranges = space.save(counted.orderBy(name).select(name, "_c", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_in")), f"order{name}")
+    sizes = sorted((r["_range"], r["n"]) for r in ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, n = [], 0
+    for k, size in sizes:
+        before.append((k, n))
+        n += size
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "_range int, _past long"))
+    place = F.floor((F.col("_past") + F.col("_in") + 1) * float((1 << COORD_BITS) - 1) / max(n, 1)).cast("long").alias("_place")
+    places = ranges.join(offsets, "_range").select(name, "_c", place)
+    if n <= MAX_BROADCAST:
+        placed = rows.join(F.broadcast(places.drop("_c")), name, "left")
+    else:
+        placed = skew_safe_join(rows.filter(F.col(name).isNotNull()), places, name, "_c", total).drop("_c").unionByName(rows.filter(F.col(name).isNull()).withColumn("_place", F.lit(None).cast("long")))
+    return placed.withColumn(name, F.coalesce("_place", F.lit(0))).drop("_place")
 
 
 def _per_node(rows: DataFrame, made: list[tuple], schema: str) -> DataFrame:
@@ -107,7 +126,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard; leaves of near equal bytes.
 
     ``target_bytes``: as many leaves as bring the mean of a leaf to it; or ``shards`` leaves. Size is the
-    UTF-8 bytes of the text (null: none) plus 8. Null metadata counts as the least coordinate. Rows of one
+    UTF-8 bytes of the text (null: none) plus 8. Language and source are coordinates by their rank among the
+    distinct values, whole names in code-point order. Null metadata counts as the least coordinate. Rows of one
     text share a shard unless they weigh more than ``WHOLE_GROUP`` of it; a larger group is split between
     rows, and rows that tie in text and id share a shard. One document larger than a shard makes its shard
     that large. An empty table gives an empty result. Other columns are not read; a text of any length is
@@ -118,13 +138,15 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     body = F.coalesce(F.col("text"), F.lit(""))
     base = only(docs, "doc_id", "text", "lang", "source").select(
         "doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(body).alias("_text"), *(_by_code(c).alias(f"_{c}") for c in ("lang", "source")),
+        F.xxhash64(body).alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"),
     )
     space = Workspace(docs.sparkSession, "sharding")
     slim = space.save(base, "slim")
     seen = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("size").alias("most")).first()
     total = float(seen["w"] or 0)
     leaves = shards or max(1, int(-(-total // target_bytes)))
+    for name in ("_lang", "_source"):
+        slim = _by_rank(slim, name, seen["n"], space)
     groups = space.save(slim.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc_id", "_lang", "_source")).alias("_of")), "groups")
     tie = F.shiftleft(F.col("_text").bitwiseAND((1 << TEXT_BITS) - 1), ROW_BITS) + F.xxhash64("doc_id", "text_crc32").bitwiseAND((1 << ROW_BITS) - 1)
     coordinates = (
