@@ -38,8 +38,14 @@ def _located(docs: DataFrame, space: Workspace) -> DataFrame:
 
 
 def _is_scan(docs: DataFrame) -> bool:
+    """Is every row a row of a file, and no file's row more than one? Only columns may be chosen and rows filtered above the scan: joins and explodes repeat a place."""
     if "_metadata" in docs.columns:
         return False
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    if node.nodeName() != "LogicalRelation":
+        return False
     try:
         docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
@@ -118,7 +124,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", digest:
     """One row per document: doc_id, keep_id, group_size, kept, digest.
 
     Texts are compared unchanged; null text counts as empty. Of equal texts the row with the largest ``id``
-    stays (a null id is the smallest); of rows that also share that id, the one with the greatest locator. An
+    stays (a null id is the smallest); of rows that also share that id, the one with the greatest locator (a
+    place in a file: what is no plain scan of files is written first). An
     empty table gives an empty result. Texts of any length are compared whole, on the executors. Other columns
     are not read, so their names cannot clash. The state of the stream serves one call and is deleted behind
     it; a later batch goes through with the documents before it. ``digest`` may be any function of the text: its collisions are resolved on the full bytes.
