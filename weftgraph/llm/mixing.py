@@ -19,8 +19,10 @@ from .work import Workspace, only
 WEIGHTS, MAX_REPEAT = (5.0, 2.0, 1.0), 3.0
 #: Output shards at least, and words of a shard at most where their number is left open.
 SHARDS, SHARD_WORDS, SEED = 64, 16_000_000, 17
-#: Documents of a block, and blocks of a source at most (beyond that blocks grow).
-BLOCK_DOCS, MAX_BLOCKS = 256, 65_536
+#: Documents and words of a block: a source has as many blocks as keep both, so that every shard finds enough of them.
+BLOCK_DOCS, BLOCK_WORDS = 256, 1_000_000
+#: Blocks whose words are summed as one before those of a single block are looked at.
+COARSE_BITS = 12
 HASH_BITS = 40
 #: Sources whose dimension rows are broadcast; with more they are joined by key.
 MAX_BROADCAST = 20_000
@@ -98,6 +100,13 @@ def _dimension(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(made) if len(rows) <= MAX_BROADCAST else made
 
 
+def _crossing(placed: DataFrame, key: list[str], at: str, past) -> DataFrame:
+    """Per source the ``at`` in which the running words, ``past`` included, reach ``_mix_rest``, and those done before it."""
+    before = Window.partitionBy(*key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*key, "_mix_rest", at, past.alias("past")).agg(F.sum("_mix_size").alias("w")).withColumn("done", F.coalesce(F.sum("w").over(before), F.lit(0)) + F.col("past"))
+    return sums.filter("done < _mix_rest and done + w >= _mix_rest").select(*key, at, "done")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, shards: int | None = SHARDS, seed: int = SEED,
         text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
     """Each document as struct ``_doc``, with size, source_size, target and ``draws`` (prefixed ``_mix_``): one struct (epoch, shard, place) per copy taken.
@@ -124,16 +133,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float
     plan = []
     for r, t in zip(sources, goal, strict=True):
         epochs = int(t // r["words"]) if r["words"] else 0
-        blocks = min(MAX_BLOCKS, max(1, -(-r["n"] // BLOCK_DOCS)))
+        blocks = max(1, -(-r["n"] // BLOCK_DOCS), -(-r["words"] // BLOCK_WORDS))
         plan.append((r[0], r[1], r["words"], float(t), epochs, round(t - epochs * r["words"]), blocks))
     dims = _dimension(docs, plan, "_mix_known boolean, _mix_source string, _mix_source_size long, _mix_target double, _mix_epochs int, _mix_rest long, _mix_blocks long")
     block = F.shiftright(F.col("_mix_order") * F.col("_mix_blocks"), HASH_BITS).alias("_mix_block")
 
-    # The block of each source in which the partial pass ends, and the last place in it that is still taken.
-    placed = slim.join(dims, key).select(*key, "_mix_size", "_mix_order", "_mix_rest", block)
-    before = Window.partitionBy(*key).orderBy("_mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*key, "_mix_rest", "_mix_block").agg(F.sum("_mix_size").alias("w")).withColumn("done", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    edge = sums.filter("done < _mix_rest and done + w >= _mix_rest").select(*key, "_mix_block", "done")
+    # The block of each source in which the partial pass ends: first among runs of blocks, then among the blocks of one run.
+    placed = slim.join(dims, key).select(*key, "_mix_size", "_mix_order", "_mix_rest", block).withColumn("_mix_run", F.shiftright("_mix_block", COARSE_BITS))
+    run = _crossing(placed, key, "_mix_run", F.lit(0)).withColumnRenamed("done", "_mix_past")
+    edge = _crossing(placed.join(run, [*key, "_mix_run"]), key, "_mix_block", F.col("_mix_past"))
     edge_docs: dict[tuple, list] = {}
     for r in placed.join(edge, [*key, "_mix_block"]).select(*key, "_mix_block", "done", "_mix_order", "_mix_size").collect():
         edge_docs.setdefault((r[0], r[1]), []).append(r)
