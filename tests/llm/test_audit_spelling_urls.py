@@ -217,3 +217,54 @@ def test_urls_stay_in_the_jvm(spark):
     pages = spark.createDataFrame([(1, "http://a.net/es/"), (2, "http://a.com/")], "page_id long, url string")
     plan = url_filter.url_verdicts(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# Row identity, coordinates and blocks of the earlier operators.
+
+def test_rows_that_a_plan_repeats_are_told_apart(spark, docs):
+    from weftgraph.llm import exact_dedup
+
+    texts = {r.text or "" for r in docs.select("text").collect()}
+    doubled = docs.crossJoin(spark.range(2).withColumnRenamed("id", "copy"))
+    exploded = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    for many in (doubled, exploded, docs.unionByName(docs)):
+        kept = exact_dedup.drop_exact_duplicates(many)
+        assert kept.count() == len(texts) and {r.text or "" for r in kept.select("text").collect()} == texts
+        marked = exact_dedup.exact_dedup(many).collect()
+        assert len(marked) == many.count() and sum(r.kept for r in marked) == len(texts)
+    assert exact_dedup._is_scan(docs.filter("doc_id > 1").select("doc_id", "text")) and not exact_dedup._is_scan(doubled) and not exact_dedup._is_scan(exploded)
+
+
+def test_sources_and_languages_are_coordinates(spark):
+    from weftgraph.llm import sharding
+
+    for name, other in (("source", "lang"), ("lang", "source")):
+        made = spark.range(512).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("text"),
+                                       F.concat(F.lit("https://www.site"), F.lpad((F.col("id") % 8).cast("string"), 3, "0")).alias(name), F.lit(None).cast("string").alias(other))
+        spread = {}
+        for r in sharding.kd_shards(made, 8).join(made.select(F.crc32(F.col("text").cast("binary")).alias("text_crc32"), name), "text_crc32").collect():
+            spread.setdefault(r[name], set()).add(r.shard)
+        assert len(spread) == 8 and all(len(v) == 1 for v in spread.values()) and len({next(iter(v)) for v in spread.values()}) == 8
+
+
+def test_many_values_find_their_rows_without_broadcast(spark, docs, monkeypatch, tmp_path):
+    from weftgraph.llm import sharding
+
+    rows = docs.select("doc_id", F.col("source").alias("_source"))
+    at = lambda: sorted((r["doc_id"] or -1, r["_source"]) for r in sharding._by_rank(rows, "_source", 30, Workspace(spark, "rank")).collect())
+    few = at()
+    monkeypatch.setattr(sharding, "MAX_BROADCAST", 0)
+    assert at() == few and len({v for _, v in few}) == 4 and min(v for _, v in few) == 0
+
+
+def test_the_edge_of_a_partial_pass_is_found_among_many_blocks(spark, monkeypatch):
+    from weftgraph.llm import mixing
+
+    made = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    taken = lambda: sorted((r.doc_id, r.taken) for r in mixing.mix_table(made).collect())
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    whole = taken()
+    monkeypatch.setattr(mixing, "COARSE_BITS", 3)
+    assert taken() == whole
+    rows = mixing.mix_table(made, shards=700).select("doc_id", F.explode("draws").alias("d")).collect()
+    assert len({r.d["shard"] for r in rows}) > 300
