@@ -115,12 +115,13 @@ def near_words(keyed: DataFrame) -> DataFrame:
     part = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("r")))
     groups = keyed.groupBy("k", "a", "b").agg(
         F.sort_array(part(WILDCARD)).alias("same"), F.sort_array(part(DELETION)).alias("longer"), F.max(F.when(F.col("role") == ITSELF, F.col("r"))).alias("itself"))
-    alike = groups.filter("size(same) > 1").select(F.explode("same").alias("r"), (F.size("same") - 1).alias("n"), F.col("same")[0].alias("first"), F.col("same")[1].alias("second"))
-    replaced = alike.select("r", "n", F.when(F.col("r") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("best"))
-    met = groups.filter("itself is not null and size(longer) > 0")
-    inserted = met.select(F.col("itself").alias("r"), F.size("longer").alias("n"), F.col("longer")[0].alias("best"))
-    removed = met.select(F.explode("longer").alias("r"), F.lit(1).alias("n"), F.col("itself").alias("best"))
-    return replaced.unionByName(inserted).unionByName(removed).groupBy("r").agg(F.sum("n").alias("n_near"), F.min("best").alias("best"))
+    said = lambda r, n, best: F.struct(r.alias("r"), n.cast("int").alias("n"), best.alias("best"))
+    none = F.array().cast("array<struct<r: long, n: int, best: long>>")
+    replaced = F.when(F.size("same") > 1, F.transform("same", lambda r: said(r, F.size("same") - 1, F.when(r == F.get("same", F.lit(0)), F.get("same", F.lit(1))).otherwise(F.get("same", F.lit(0))))))
+    indels = F.when(F.col("itself").isNotNull() & (F.size("longer") > 0), F.concat(
+        F.transform("longer", lambda r: said(r, F.lit(1), F.col("itself"))), F.array(said(F.col("itself"), F.size("longer"), F.get("longer", F.lit(0))))))
+    met = groups.select(F.explode(F.concat(F.coalesce(replaced, none), F.coalesce(indels, none))).alias("m")).select("m.*")
+    return met.groupBy("r").agg(F.sum("n").alias("n_near"), F.min("best").alias("best"))
 
 
 def roots(forms: DataFrame, space: Workspace) -> DataFrame:
