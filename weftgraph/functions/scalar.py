@@ -84,19 +84,35 @@ def bare_port(value: Column | str) -> Column:
     return F.regexp_extract(F.trim(F.coalesce(_c(value), F.lit(""))), r":([0-9]{2,5})(?=[/?#]|$)", 1)
 
 
-USERINFO, OPAQUE = r"(?i)([a-z][a-z0-9+.\-]*://)[^/@\s]*@", r"^[A-Za-z0-9+/_\-]{24,}={0,2}$"
+#: What an opaque token is made of, its least length, and the padding that may end it.
+TOKEN_LETTERS, TOKEN_LENGTH, TOKEN_PADDING = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 2
+
+
+def _without_users(text: Column) -> Column:
+    """Behind each ``scheme://`` what stands before an @, unless a slash or a blank comes first."""
+    def cut(piece: Column, i: Column) -> Column:
+        user = F.regexp_extract(piece, r"^[^/@\s]*", 0)
+        named = F.get(F.split(text, "://"), i - 1).rlike(r"[A-Za-z][A-Za-z0-9+.\-]*$")
+        return F.when((i > 0) & named & (F.substr(piece, F.length(user) + 1, F.lit(1)) == "@"), F.substr(piece, F.length(user) + 2)).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("://")) & F.contains(text, F.lit("@")), F.array_join(F.transform(F.split(text, "://"), cut), "://")).otherwise(text)
+
+
+def _opaque(token: Column) -> Column:
+    core = F.rtrim(token, F.lit("="))
+    return (F.length(core) >= TOKEN_LENGTH) & (F.length(token) - F.length(core) <= TOKEN_PADDING) & (F.translate(core, TOKEN_LETTERS, "") == "")
 
 
 def redact(value: Column | str) -> Column:
     """Without credentials; a value that is one opaque token is withheld."""
-    clean = F.regexp_replace(_c(value), USERINFO, "$1")
-    return F.when(F.trim(clean).rlike(OPAQUE), "[redacted]").otherwise(clean)
+    clean = _without_users(_c(value))
+    return F.when(_opaque(F.trim(clean)), "[redacted]").otherwise(clean)
 
 
 def redact_tokens(text: Column | str) -> Column:
     """The whole text without credentials and opaque tokens; tokens end at blanks and quotes, which stay."""
-    tokens = F.regexp_extract_all(F.regexp_replace(_c(text), USERINFO, "$1"), F.lit(r"[ \t\n\r\f\"'`]+|[^ \t\n\r\f\"'`]+"), F.lit(0))
-    return F.array_join(F.transform(tokens, lambda w: F.when(w.rlike(OPAQUE), "[redacted]").otherwise(w)), "")
+    tokens = F.regexp_extract_all(_without_users(_c(text)), F.lit(r"[ \t\n\r\f\"'`]+|[^ \t\n\r\f\"'`]+"), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda w: F.when(_opaque(w), "[redacted]").otherwise(w)), "")
 
 
 def url_to_path(url: Column | str) -> Column:
@@ -108,8 +124,11 @@ def url_to_path(url: Column | str) -> Column:
 
 
 def route_path(literal: Column | str) -> Column:
+    """With a leading slash; a dotted name, which points at code, is no path."""
     x = _c(literal)
-    return F.when(x.rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)+$"), F.lit(None)).when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x))
+    steps = F.split(x, r"\.")
+    dotted = (F.size(steps) > 1) & F.forall(steps, lambda s: s.rlike(r"^[A-Za-z_]\w*$"))
+    return F.when(~dotted, F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x)))
 
 
 def join_path(prefix: Column | str, path: Column | str) -> Column:
@@ -120,7 +139,10 @@ def join_path(prefix: Column | str, path: Column | str) -> Column:
 def reversion(prefix: Column | str, override: Column | str) -> Column:
     """A route's own version replaces the version segment its prefix starts with."""
     p, o = _c(prefix), _c(override)
-    return F.when(F.coalesce(o, F.lit("")) == "", p).when(p.rlike(r"^/v[\w.]+(/|$)"), F.concat(o, F.regexp_replace(p, r"^/v[\w.]+(?=/|$)", ""))).otherwise(F.concat(o, p))
+    first = F.when(p.startswith("/"), F.get(F.split(p, "/"), F.lit(1)))
+    versioned = first.startswith("v") & F.substr(first, F.lit(2)).rlike(r"^[\w.]+$")
+    rest = F.when(F.coalesce(versioned, F.lit(False)), F.substr(p, F.length(first) + 2)).otherwise(p)
+    return F.when(F.coalesce(o, F.lit("")) == "", p).otherwise(F.concat(o, rest))
 
 
 def parse_evidence(evidence: Column | str) -> Column:

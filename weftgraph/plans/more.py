@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import catalog
+from .. import catalog, index
 from ..functions import scalar as S
-from ..operators import answers, graph, intervals, lookup, quality, rules, source
+from ..operators import answers, graph, intervals, lookup, quality, resolve, rules, source
 from ..schema import OBJECTS
 from ..sources import deps, files, guidance, manifest, python_code, registry
 from ..sources.staging import Staging
@@ -343,3 +343,73 @@ def catalog_versions(spark, d):
 def near_ids(spark, d):
     """What is suggested for an id that is not there: its last segment among the names, then within the ids."""
     return lookup.suggest(load(spark, d, "objects"), "supplier:none:1", "supplier").select("id")
+
+
+# Channels that services share, and what a catalog keeps for lookups and of whole repositories.
+
+_BUSY = "with e as (select slug, substr(path, 6) as channel, method, framework from busy)"
+
+
+@query(_BUSY + """
+select p.slug as from_slug, c.slug as to_slug, array_to_string(list_sort(list_distinct(list(p.channel)))[1:20], ';') as channels,
+  case when bool_or(p.framework = 'config' or c.framework = 'config') then 'config' else 'static' end as confidence
+from e p join e c on p.channel = c.channel and p.method = 'PUBLISH' and c.method in ('CONSUME', 'USES') and p.slug <> c.slug group by 1, 2""", ("busy",))
+def channels_published(spark, d):
+    """Publishers and consumers of shared channels, under the prefix of any environment."""
+    return resolve.publish_edges(resolve.channel_ends(load(spark, d, "busy"))).select("from_slug", "to_slug", joined("channels"), "confidence")
+
+
+@query(_BUSY + """
+select a.slug as from_slug, b.slug as to_slug, array_to_string(list_sort(list_distinct(list(a.channel)))[1:20], ';') as channels, 'direction-unknown' as confidence
+from e a join e b on a.channel = b.channel and a.slug < b.slug where a.channel not in (select channel from e where method = 'PUBLISH') group by 1, 2""", ("busy",))
+def channels_unpublished(spark, d):
+    return resolve.shared_edges(resolve.channel_ends(load(spark, d, "busy"))).select("from_slug", "to_slug", joined("channels"), "confidence")
+
+
+@query("""
+with q as (select unnest(['red bolt', 'r:1', '#00', '9']) as q),
+t as (select q, id, name, case when name = q then 1 when starts_with(name, q) then 2 when contains(lower(id), q) then 3 end as tier from objects, q where object_type = 'supplier'),
+n as (select *, row_number() over (partition by q order by tier, case when tier = 2 then name end, id) as k from t where tier is not null)
+select q, cast(tier as bigint) as tier, id from n where k <= 20""", ("objects",))
+def find_by_trigrams(spark, d):
+    """Tiered lookups on the names and trigrams that a catalog keeps; the twentieth hit ends the answer, as in ``find_tiered``."""
+    held = catalog.Catalog(spark, f"{Staging(spark, 'lookup').root}/catalog")
+    held.commit(objects=_objects(spark, d))
+    held.build_lookup()
+    out = None
+    for q in ("red bolt", "r:1", "#00", "9"):
+        rows = lookup.find_indexed(held.lookup(), q, "supplier").select(F.lit(q).alias("q"), F.col("tier").cast("long").alias("tier"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""
+with n as (select n_nationkey as k, (n_nationkey * 7 + 3) % 25 as peer from nation)
+select 'calls' as relationship, concat('service:n', k) as from_id, concat('service:n', peer) as to_id, 'corroborated' as said from n where peer <> k and k % 3 <> 0
+union all select 'handled_by', concat('interface:n', k, ':get-items', k, '-id'), concat('code_symbol:n', k, ':app.py::item'), null from n
+union all select 'governed_by', concat('service:n', k), 'guidance:flask-first', 'flask' from n where k % 2 = 0
+union all select 'skipped', concat('service:n', k), 'app.py', 'non-literal-url' from n where k % 3 = 0
+union all select 'calls', concat('code_symbol:n', k, ':app.py::item'), concat('code_symbol:n', k, ':app.py::ask'), '1' from n where k % 5 = 0""")
+def indexed_fleet(spark, d):
+    """A repository per nation and one of rules, indexed into a catalog: its edges, and the sites that could not be read."""
+    nation = load(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("k"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("string").alias("peer"))
+    k = F.col("k").cast("string")
+    address = F.when(F.col("k") % 3 == 0, "address(id)").otherwise(F.concat(F.lit("f'http://n"), "peer", F.lit("/items"), "peer", F.lit("/{id}'")))
+    app = F.concat(F.lit("from flask import Flask\nimport requests\napp = Flask(__name__)\n\n@app.route('/items"), k, F.lit("/<id>')\ndef item(id):\n    return ask(id)\n\ndef ask(id):\n    return requests.get("), address, F.lit(")\n"))
+    byte = lambda n: F.unhex(F.lpad(F.hex(n), 2, "0"))  # noqa: E731  one field of a binary code index, shorter than 128 bytes
+    text = lambda tag, body: F.concat(F.lit(bytes([tag])), byte(F.length(body)), body)
+    site = lambda symbol, line, role: text(0x12, F.concat(text(0x0A, F.lit(bytes([line, 0, 1]))), text(0x12, F.lit(symbol.encode())), F.lit(bytes([0x18, role]))))
+    scip = text(0x12, F.concat(text(0x0A, F.lit(b"app.py")), site("item", 5, 1), site("ask", 6, 0), site("ask", 8, 1)))
+    file = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
+    made = nation.select(F.concat(F.lit("n"), k).alias("repo"), F.explode(F.array(
+        file(F.lit("app.py"), F.encode(app, "UTF-8")), file(F.lit("requirements.txt"), F.encode(F.when(F.col("k") % 2 == 0, "flask").otherwise("requests"), "UTF-8")),
+        file(F.when(F.col("k") % 5 == 0, "index.scip").otherwise("none.txt"), scip))).alias("f")).select("repo", "f.*")
+    rule = "---\nkind: guidance\nid: flask-first\ntitle: Flask first\nstatus: mandatory\napplies_to:\n  dependencies: [flask]\n---\nUse it.\n"
+    books = F.array(file(F.lit("weftgraph.yaml"), F.lit(b"guidance: [rules]\n")), file(F.lit("rules/a.md"), F.lit(rule.encode())))
+    book = load(spark, d, "region").filter("r_regionkey = 0").select(F.lit("book").alias("repo"), F.explode(books).alias("f")).select("repo", "f.*")
+    held = catalog.Catalog(spark, f"{Staging(spark, 'fleet').root}/catalog")
+    index.index(held, made.unionByName(book))
+    services = answers.payload(held.table("objects"), "service")
+    said = F.coalesce("confidence", F.array_join("matched", ","), F.col("weight").cast("string"))
+    return held.table("edges").select("relationship", "from_id", "to_id", said.alias("said")).unionByName(
+        services.select(F.lit("skipped").alias("relationship"), F.col("id").alias("from_id"), F.explode("skipped").alias("s")).select("relationship", "from_id", F.col("s.file").alias("to_id"), F.col("s.reason").alias("said")))

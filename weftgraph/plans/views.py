@@ -28,6 +28,12 @@ VIEWS = {
           concat(case when event_id % 2 = 0 then 'stag' else 'prod' end, '-', event_type, '-', cast(user_id as string)) as path,
           case when event_id % 5 = 0 then 'config' else 'messaging' end as framework
         from {events}""",
+    "busy": """
+        select concat('u', cast(user_id % 40 as string)) as slug, 'event' as type,
+          case when event_id % 12 < 4 then (case when event_id % 2 = 0 then 'USES' else 'CONSUME' end) when cast(floor(event_id / 12) as int) % 3 = 0 then 'PUBLISH' when cast(floor(event_id / 12) as int) % 3 = 1 then 'CONSUME' else 'USES' end as method,
+          concat(case when event_id % 5 = 0 then 'stag' else 'prod' end, '-', case when event_id % 7 = 0 then 'all' else event_type end, '-', cast(event_id % 12 as string)) as path,
+          case when event_id % 31 = 0 then 'config' else 'messaging' end as framework
+        from {events}""",
     "services": """
         select concat('service:', replace(lower(n_name), ' ', '-')) as id, replace(lower(n_name), ' ', '-') as slug, n_name as name, cast(9000 + n_nationkey as string) as port,
           n_nationkey % 4 as symbol_count, n_regionkey as interface_count

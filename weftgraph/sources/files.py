@@ -42,13 +42,19 @@ MARKER_SUFFIXES = (".py", ".ts", ".rb")
 MANIFESTS = ("weftgraph.yaml", "weftgraph.yml", "weftgraph.json")
 IGNORE_FILE = ".weftignore"
 #: Keys of a channel, words of its direction, keys under which a service names its own port and itself.
-CHANNEL_KEY = r"(?i)(^|_)(QUEUE(_NAME|_URL|_ARN)?|TOPIC(_NAME|_ARN)?|STREAM(_NAME)?|EXCHANGE|ROUTING_KEY)$"
+CHANNEL_WORDS = {"QUEUE": ("NAME", "URL", "ARN"), "TOPIC": ("NAME", "ARN"), "STREAM": ("NAME",), "EXCHANGE": (), "ROUTING_KEY": ()}
 CONSUME_WORDS = ("SUBSCRIBE", "SUBSCRIPTION", "CONSUME", "CONSUMER", "LISTEN", "RECEIVE", "INCOMING", "INBOUND", "WORKER")
 PUBLISH_WORDS = ("PUBLISH", "PRODUCE", "PRODUCER", "DISPATCH", "TRIGGER", "SEND", "EMIT", "OUTGOING", "OUTBOUND", "NOTIFY")
 PORT_KEYS = ("PORT", "SERVER_PORT", "HTTP_PORT", "APP_PORT", "LISTEN_PORT")
 NAME_KEYS = ("NAME", "APP_NAME", "SERVICE_NAME", "PROJECT_NAME")
 
 
+def _channel_key() -> str:
+    """A key that ends in a word of channels, alone or with one of its endings."""
+    ends = [w + (f"(?:_(?:{'|'.join(more)}))?" if more else "") for w, more in CHANNEL_WORDS.items()]
+    return f"(?i)(?:^|_)(?:{'|'.join(ends)})$"
+
+
 def excluded_by(patterns: list[str]) -> Callable[[str], bool]:
     """A test of relative paths: a glob hits the bare name, the whole path, or a directory the path lies in."""
     globs = [p for p in (line.strip() for line in patterns) if p and not p.startswith("#")]
@@ -271,7 +277,7 @@ def config_channels(values: DataFrame) -> DataFrame:
     last = F.regexp_extract(above, f"^.*({'|'.join((*CONSUME_WORDS, *PUBLISH_WORDS))})", 1)  # greedy: the word that starts last
     direction = F.when(last == "", "USES").when(last.isin(*CONSUME_WORDS), "CONSUME").otherwise("PUBLISH")
     value = F.trim("value")
-    rows = values.filter(F.col("text") & (value != "") & _leaf().rlike(CHANNEL_KEY) & ~(value.rlike("^https?://") & ~F.lower(_leaf()).contains("queue")))
+    rows = values.filter(F.col("text") & (value != "") & _leaf().rlike(_channel_key()) & ~(value.rlike("^https?://") & ~F.lower(_leaf()).contains("queue")))
     return rows.select(F.col("repo").alias("slug"), value.alias("channel"), direction.alias("direction"), "path", "key").distinct()
 
 
