@@ -149,8 +149,23 @@ class Catalog:
         at = self._tables().get(name)
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.root}/{at}")
 
-    def commit(self, **tables: DataFrame) -> str:
-        """Write the given tables as a new version; the others stay where they are."""
+    def place(self, name: str) -> str | None:
+        """Where a table of this version stands; two versions with one place have one table."""
+        return self._tables().get(name)
+
+    def linked(self) -> dict[str, DataFrame] | None:
+        """The objects that were linked last and the edges as they were then; None before the first linking."""
+        held = self._tables()
+        if not {"linked_objects", "linked_edges"} <= set(held):
+            return None
+        return {name: self.spark.read.schema(TABLES[name][0]).parquet(f"{self.root}/{held[f'linked_{name}']}") for name in ("objects", "edges")}
+
+    def commit(self, linked: str | None = None, **tables: DataFrame) -> str:
+        """Write the given tables as a new version; the others stay where they are.
+
+        ``linked`` is the place of the objects out of which the version's edges were linked: the log keeps it, and
+        with it the table, until the next linking.
+        """
         if self.pinned:
             raise NoSuchVersion("a pinned reader does not write")
         log = self._log()
@@ -159,6 +174,8 @@ class Catalog:
         for name, df in tables.items():
             self._write(name, df, f"{self.root}/versions/{at}/{name}")
         entry = {"version": at, "tables": held | {name: f"versions/{at}/{name}" for name in tables}}
+        if linked is not None:
+            entry["tables"] |= {"linked_objects": linked, "linked_edges": entry["tables"]["edges"]}
         if set(tables) & set(LOOKUPS):
             entry["of"] = held.get("objects")
         elif log and "of" in self._entry(log[-1]):

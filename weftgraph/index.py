@@ -13,17 +13,20 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import Catalog, stubs
-from .operators import intervals, resolve, rules
-from .schema import EDGES, OBJECTS
+from . import linking
+from .catalog import Catalog
+from .linking import LINKERS, relink, relink_changed  # noqa: F401  part of this module's surface
+from .linking import edge_rows as _edges
+from .operators import intervals, resolve
+from .schema import OBJECTS
 from .sources import deps, guidance, manifest, python_code, registry, scip
 from .sources import files as files_
 from .sources.staging import Staging
 
 #: Binary code indexes among the files of a repository.
 CODE_INDEX = r"\.scip$"
-#: What a repository's own objects are, and what a fleet's links are called by their makers.
-OWN, LINKERS = ("service", "interface", "code_symbol"), ("resolver", "guidance")
+#: What a repository's own objects are.
+OWN = ("service", "interface", "code_symbol")
 #: Groups that are extracted at once, and groups per worker.
 JOBS, GROUPS_PER_JOB = 4, 2
 
@@ -34,13 +37,6 @@ def _object(rows: DataFrame, kind: str, name, payload, summary=None) -> DataFram
         F.lit("static").alias("generation_strategy"), F.current_timestamp().alias("last_generated_at"), F.to_json(payload).alias("payload"))
 
 
-def _edges(rows: DataFrame, relationship: str, source: str) -> DataFrame:
-    """Rows with from_id and to_id, and whatever else of an edge they have."""
-    kinds = {f.split(" ")[0]: f.split(" ", 1)[1] for f in EDGES.split(", ")}
-    fixed = {"relationship": F.lit(relationship), "source": F.lit(source)}
-    return rows.select(*(fixed[c].alias(c) if c in fixed else F.col(c).cast(k).alias(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
-
-
 def _place(repo: str, path: str):
     """One path may stand in several repositories."""
     return F.concat_ws("#", repo, path)
@@ -145,16 +141,16 @@ def load(catalog: Catalog, found: dict[str, DataFrame]) -> int:
 
 
 def _linked(catalog: Catalog) -> dict:
-    """Link the fleet anew; if that fails, what is indexed stands with the old links, and the report says why."""
+    """Link what the change reaches; if that fails, what is indexed stands with the old links, and the report says why."""
     try:
-        relink(catalog)
+        linking.relink_changed(catalog)
         return {"relinked": True}
     except Exception as e:  # noqa: BLE001  best effort, reported
         return {"relinked": False, "link_error": f"{type(e).__name__}: {e}"[:500]}
 
 
 def index(catalog: Catalog, files: DataFrame, shas: dict[str, str | None] | None = None, adapters: tuple = registry.ADAPTERS) -> dict:
-    """Replace what the catalog holds of the repositories in ``files`` by what is in them now, link the fleet anew, stamp.
+    """Replace what the catalog holds of the repositories in ``files`` by what is in them now, link what that changes, stamp.
 
     The report has services, skipped (sites that could not be read) and relinked, with link_error if it failed.
     """
@@ -217,30 +213,3 @@ def governance(objects: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 
     links = edges.filter("relationship = 'governed_by'").select(F.col("from_id").alias("service"), F.col("to_id").alias("rule"), "matched")
     return links, payload(objects, "service").select("id", "dependencies", "languages", "language")
-
-
-def relink(catalog: Catalog) -> None:
-    """Resolve the calls, bindings and channels of all services again and match them with the rules, out of what the catalog holds."""
-    from .operators.answers import payload
-
-    objects = catalog.table("objects")
-    staging = Staging(catalog.spark, "relink")
-    held = staging.save(payload(objects, "service").select("slug", F.col("identity.port").alias("port"), F.col("identity.name").alias("name_"), "outbound", "host_bindings", "declared_hosts").withColumnRenamed("name_", "name"), "held")
-    offered = staging.save(payload(objects, "interface").select("slug", "type", "method", "path", "framework"), "offered")
-    calls = held.select("slug", F.posexplode("outbound").alias("pos", "c")).select("slug", "pos", "c.verb", "c.path", "c.host")
-    bindings = held.select("slug", F.explode("host_bindings").alias("b")).select("slug", "b.key", "b.value", "b.host", "b.port")
-    said = held.select("slug", F.posexplode(F.map_entries("declared_hosts")).alias("pos", "h")).select("slug", "pos", F.col("h.key").alias("pattern"), F.col("h.value").alias("target"))
-    observed = resolve.call_edges(resolve.match_calls(calls, offered, held.select("slug")))
-    declared = resolve.declared_edges(resolve.resolve_hosts(bindings, held.select("slug", F.coalesce("port", F.lit("")).alias("port"), F.coalesce("name", F.lit("")).alias("name")), said))
-    ends = resolve.channel_ends(offered)
-    ids = lambda rows: rows.withColumns({"from_id": F.concat(F.lit("service:"), "from_slug"), "to_id": F.concat(F.lit("service:"), "to_slug")})
-    new = _edges(ids(resolve.merge_declared(observed, declared)), "calls", "resolver")
-    for relationship, rows in (("publishes_to", resolve.publish_edges(ends)), ("shares_channel", resolve.shared_edges(ends))):
-        new = new.unionByName(_edges(ids(rows), relationship, "resolver"))
-    written = payload(objects, "guidance").select("id", "status", F.col("applies_to.dependencies").alias("dependencies"), F.col("applies_to.languages").alias("languages"))
-    governed = rules.governed_by(written, rules.matchable(payload(objects, "service").select("id", "dependencies", "languages", "language")))
-    new = new.unionByName(_edges(governed.join(written.select(F.col("id").alias("rule"), "status"), "rule").select(F.col("service").alias("from_id"), F.col("rule").alias("to_id"), "matched", "status"), "governed_by", "guidance"))
-    edges = catalog.table("edges")
-    every = staging.save(edges.filter(~F.col("source").isin(*LINKERS)).unionByName(new).select(*edges.columns), "edges")
-    ghosts = stubs(every.select(F.col("from_id").alias("id")).unionByName(every.select(F.col("to_id").alias("id"))), objects)
-    catalog.commit(edges=every, objects=staging.save(objects.unionByName(ghosts.select(*objects.columns)), "objects"))

@@ -13,19 +13,27 @@ from ..functions.scalar import ADDRESS_KEY, LOCAL_HOSTS, LOOPBACK, THIRD_PARTY,
 from ..sources.staging import Staging
 
 
-def external_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
-    """Of distinct ``host`` values those that are dotted public names in which no service's slug occurs.
+def _dotted(hosts: DataFrame) -> DataFrame:
+    """Of ``host`` values those that are dotted public names, with ``_n``, the name as slugs are written."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower("host"), "^.*@", ""), ":.*$", "")
+    return hosts.select("host", bare.alias("_h")).filter(F.col("_h").contains(".") & ~F.col("_h").isin(*LOCAL_HOSTS)).withColumn("_n", slugish("_h"))
+
+
+def hosts_naming(hosts: DataFrame, services: DataFrame) -> DataFrame:
+    """Of distinct ``host`` values the dotted public names in which a service's slug occurs.
 
     A slug occurs in a name if it equals one of the name's substrings of its length, so names are cut to the
     lengths that slugs have and met by equality; no name is tried against every slug.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.lower("host"), "^.*@", ""), ":.*$", "")
-    dotted = hosts.select("host", bare.alias("_h")).filter(F.col("_h").contains(".") & ~F.col("_h").isin(*LOCAL_HOSTS)).withColumn("_n", slugish("_h"))
     slugs = services.select(slugish("slug").alias("_s")).filter("_s <> ''").distinct()
     lengths = F.broadcast(slugs.select(F.length("_s").alias("_l")).distinct())  # as many rows as a slug has characters at most
-    cut = dotted.join(lengths, F.col("_l") <= F.length("_n")).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.length("_n") - F.col("_l") + 1), lambda i: F.substr("_n", i, F.col("_l")))).alias("_s"))
-    known = cut.join(slugs, "_s", "left_semi").select("host").distinct()
-    return dotted.join(known, "host", "left_anti").select("host")
+    cut = _dotted(hosts).join(lengths, F.col("_l") <= F.length("_n")).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.length("_n") - F.col("_l") + 1), lambda i: F.substr("_n", i, F.col("_l")))).alias("_s"))
+    return cut.join(slugs, "_s", "left_semi").select("host").distinct()
+
+
+def external_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
+    """Of distinct ``host`` values those that are dotted public names in which no service's slug occurs."""
+    return _dotted(hosts).join(hosts_naming(hosts, services), "host", "left_anti").select("host")
 
 
 def classify_calls(outbound: DataFrame, services: DataFrame) -> DataFrame:
@@ -53,16 +61,8 @@ def _masked_keys(pattern: Column, masks: Column) -> Column:
     return F.transform(masks, lambda m: F.array_join(F.transform(pattern, lambda s, i: F.when(F.substr(m, i + 1, F.lit(1)) == "*", F.lit(WILD)).otherwise(F.coalesce(s, F.lit(TEMPLATED)))), "/"))
 
 
-def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
-    """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
-
-    Shapes (verb, path) meet patterns, not calls interfaces, and they meet by equality alone: a shape is entered
-    once per mask that patterns of its verb and length have, with the mask's literals as the key, so none is
-    tried against a pattern that it does not match. The providers of a shape are gathered once, as an array;
-    calls take them by equality and drop their own, in one pass.
-    """
-    verb = F.upper(F.coalesce("verb", F.lit("")))
-    calls = outbound.withColumn("verb_", verb)
+def _providers(calls: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Per distinct shape (verb_, path) of the calls: whether it is ``concrete`` and the services that offer it."""
     shapes = calls.select("verb_", "path").distinct().withColumn("pattern", path_pattern("path")).withColumns({"n": F.size("pattern"), "concrete": F.exists("pattern", lambda s: s.isNotNull())})
     offered = (
         interfaces.filter(F.coalesce("type", F.lit("")) != "event")
@@ -71,7 +71,25 @@ def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame)
     patterns, masks = _masks(offered)
     entered = shapes.join(masks, ["verb_", "n"], "left").select("verb_", "path", "concrete", F.explode_outer(F.when(F.col("concrete"), _masked_keys(F.col("pattern"), F.col("masks")))).alias("key"))
     found = entered.join(patterns.select("verb_", "key", "slugs"), ["verb_", "key"], "left")
-    known = found.groupBy("verb_", "path").agg(F.first("concrete").alias("concrete"), F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
+    return found.groupBy("verb_", "path").agg(F.first("concrete").alias("concrete"), F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
+
+
+def callers_of(outbound: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Services (slug) with a call whose shape one of the interfaces offers, whatever its host."""
+    calls = outbound.select("slug", "path", F.upper(F.coalesce("verb", F.lit(""))).alias("verb_"))
+    return calls.join(_providers(calls, interfaces).filter(F.size("_providers") > 0), ["verb_", "path"], "left_semi").select("slug").distinct()
+
+
+def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
+    """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
+
+    Shapes (verb, path) meet patterns, not calls interfaces, and they meet by equality alone: a shape is entered
+    once per mask that patterns of its verb and length have, with the mask's literals as the key, so none is
+    tried against a pattern that it does not match. The providers of a shape are gathered once, as an array;
+    calls take them by equality and drop their own, in one pass.
+    """
+    calls = outbound.withColumn("verb_", F.upper(F.coalesce("verb", F.lit(""))))
+    known = _providers(calls, interfaces)
     foreign = external_hosts(outbound.select("host").filter("host <> ''").distinct(), services).withColumn("_x", F.lit(True))
     met = calls.join(foreign, "host", "left").join(known, ["verb_", "path"], "left")
     open_ = F.col("_x").isNull() & F.coalesce("concrete", F.lit(False))  # in this order: external, unspecific, else looked at
@@ -222,11 +240,11 @@ def publish_edges(ends: DataFrame) -> DataFrame:
         F.when(F.bool_or(F.col("_p") | F.col("_c")), "config").otherwise("static").alias("confidence"))
 
 
-def shared_edges(ends: DataFrame) -> DataFrame:
-    """Unordered pairs that meet on a channel nobody is known to publish."""
+def shared_edges(ends: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs that meet on a channel nobody is known to publish; only those that start at ``sources`` (slug) if given."""
     pubs = ends.filter("direction = 'PUBLISH'").select("channel").distinct()
     open_ = ends.filter("direction in ('CONSUME', 'USES')").select("channel", "slug").distinct().join(pubs, "channel", "left_anti")
-    a, b = _cells(open_, open_)
+    a, b = _cells(open_ if sources is None else open_.join(sources.select("slug"), "slug", "left_semi").select("channel", "slug"), open_)
     met = a.withColumnRenamed("slug", "from_slug").join(b.withColumnRenamed("slug", "to_slug"), ["channel", "_i", "_j"])
     return met.filter("from_slug < to_slug").groupBy("from_slug", "to_slug").agg(distinct_sorted(F.collect_set("channel"), 20).alias("channels")).withColumn("confidence", F.lit("direction-unknown"))
 
