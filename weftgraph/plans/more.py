@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import catalog, index
+from .. import catalog, index, linking
 from ..functions import scalar as S
 from ..operators import answers, graph, intervals, lookup, quality, resolve, rules, source
-from ..schema import OBJECTS
+from ..schema import EDGES, OBJECTS
 from ..sources import deps, files, guidance, manifest, python_code, registry
 from ..sources.staging import Staging
 from ..streaming.ingest import ingest
-from .catalogue import joined, query
+from .catalogue import _CALLS, joined, query
 from .views import load
 
 
@@ -413,3 +413,37 @@ def indexed_fleet(spark, d):
     said = F.coalesce("confidence", F.array_join("matched", ","), F.col("weight").cast("string"))
     return held.table("edges").select("relationship", "from_id", "to_id", said.alias("said")).unionByName(
         services.select(F.lit("skipped").alias("relationship"), F.col("id").alias("from_id"), F.explode("skipped").alias("s")).select("relationship", "from_id", F.col("s.file").alias("to_id"), F.col("s.reason").alias("said")))
+
+
+# Links of a fleet of which every third provider moves its interface and every seventh withdraws it.
+
+_MOVED = """(select concat('s', cast(s_suppkey as string)) as slug,
+    concat('/brand-', cast((s_suppkey + case when s_suppkey % 3 = 0 then 1 else 0 end) % 25 + 1 as string), '/size-', cast(s_suppkey % 50 + 1 as string), '/:id') as path from supplier where s_suppkey % 7 <> 1)"""
+
+
+@query(_CALLS.replace("from interfaces", f"from {_MOVED} moved").replace("from outbound", "from callers") + """
+select concat('service:', slug) as from_id, concat('service:', provider) as to_id,
+  case when bool_or(coalesce(contains(host, provider), false)) then 'corroborated' when arg_min(k, pos) = 1 then 'high' else 'ambiguous' end as confidence,
+  array_to_string(list_sort(list_distinct(list(path)))[1:10], ';') as via_paths
+from hits group by slug, provider""", ("callers",))
+def relinked_calls(spark, d):
+    """All customers call all suppliers; linked whole, then brought up to date by what the suppliers changed."""
+    def as_objects(rows: DataFrame, kind: str, payload) -> DataFrame:
+        fixed = {"id": F.concat_ws(":", F.lit(kind), "slug", *(["path"] if kind == "interface" else [])), "object_type": F.lit(kind), "slug": F.col("slug"), "source": F.lit("static"), "payload": F.to_json(payload)}
+        return rows.select(*(fixed.get(c, F.lit(None)).cast(t).alias(c) for c, t in (f.split(" ") for f in OBJECTS.split(", "))))
+
+    call = F.struct(F.col("pos"), F.col("verb"), F.col("path"), F.col("host"))
+    callers = load(spark, d, "callers").groupBy("slug").agg(F.array_sort(F.collect_list(call)).alias("outbound"))
+    providers = load(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"))
+    services = as_objects(callers, "service", F.struct("outbound")).unionByName(as_objects(providers, "service", F.struct(F.lit(1).alias("interface_count"))))
+    offer = lambda shift: F.concat(F.lit("/brand-"), ((F.col("s_suppkey") + shift) % 25 + 1).cast("string"), F.lit("/size-"), (F.col("s_suppkey") % 50 + 1).cast("string"), F.lit("/:id"))
+    interfaces = lambda rows: as_objects(rows, "interface", F.struct(F.lit("rest").alias("type"), F.lit("GET").alias("method"), "path"))
+    staging = Staging(spark, "relinked")
+    services = staging.save(services, "services")
+    held = catalog.Catalog(spark, f"{staging.root}/catalog")
+    held.commit(objects=services.unionByName(interfaces(providers.withColumn("path", offer(F.lit(0))))), edges=spark.createDataFrame([], EDGES))
+    linking.relink(held)
+    moved = providers.filter("s_suppkey % 7 <> 1").withColumn("path", offer(F.when(F.col("s_suppkey") % 3 == 0, 1).otherwise(0)))
+    held.commit(objects=services.unionByName(interfaces(moved)))
+    linking.relink_changed(held)
+    return held.table("edges").select("from_id", "to_id", "confidence", joined("via_paths"))

@@ -22,6 +22,13 @@ VIEWS = {
           case when l_discount = 0 then '/' else concat('/', replace(lower(p_brand), '#', '-'), '/size-', cast(p_size as string), '/', cast(p_partkey as string)) end as path,
           case when l_linenumber % 7 = 0 then 'cdn.vendor.example' when l_linenumber % 2 = 1 then concat('s', cast(l_suppkey as string)) end as host
         from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {part} on l_partkey = p_partkey""",
+    "callers": """
+        select concat('c', cast(c_custkey as string)) as slug,
+          row_number() over (partition by c_custkey order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as pos,
+          'get' as verb,
+          case when l_discount = 0 then '/' else concat('/', replace(lower(p_brand), '#', '-'), '/size-', cast(p_size as string), '/', cast(p_partkey as string)) end as path,
+          case when l_linenumber % 7 = 0 then 'cdn.vendor.example' when l_linenumber % 2 = 1 then concat('s', cast(l_suppkey as string)) end as host
+        from {lineitem} join {orders} on l_orderkey = o_orderkey join {customer} on o_custkey = c_custkey join {part} on l_partkey = p_partkey""",
     "ends": """
         select concat('u', cast(user_id % 40 as string)) as slug, 'event' as type,
           case when event_type = 'error' or event_id % 3 = 2 then 'USES' when event_id % 3 = 0 then 'PUBLISH' else 'CONSUME' end as method,
