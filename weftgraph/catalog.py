@@ -284,14 +284,53 @@ class Catalog:
         fs, p = self._fs(f"{self.root}/pins/{alias}.json")
         return bool(fs.delete(p, False))
 
+    # Leases: versions in use, for a while.
+
+    def lease(self, minutes: float = 60.0) -> str:
+        """Keep this reader's version from sweeps for some minutes; the lease's path, to renew or release it by."""
+        version = self.version()
+        path = f"{self.root}/leases/{version}.{uuid.uuid4().hex[:8]}.json"
+        self.renew(path, minutes)
+        if version not in {self._entry(n)["version"] for n in self._log()}:
+            self.release(path)
+            raise NoSuchVersion(str(version))
+        return path
+
+    def renew(self, lease: str, minutes: float = 60.0) -> None:
+        version = lease.rsplit("/", 1)[-1].split(".")[0]
+        self._write_text(lease, json.dumps({"version": version, "expires_at": time.time() + minutes * 60}))
+
+    def release(self, lease: str) -> bool:
+        return bool(self._fs(lease)[0].delete(self._fs(lease)[1], False))
+
+    def _leased(self) -> set[str]:
+        """Versions under a lease that has not run out; leases that have are removed, malformed ones passed over."""
+        fs, p = self._fs(f"{self.root}/leases")
+        out = set()
+        for status in fs.listStatus(p) if fs.exists(p) else []:
+            path = status.getPath().toString()
+            try:
+                record = json.loads(self._read_text(path) or "{}") if path.endswith(".json") else {}
+                if record["expires_at"] >= time.time():
+                    out.add(record["version"])
+                else:
+                    self.release(path)
+            except (ValueError, KeyError):
+                continue
+        return out
+
     def sweep(self, keep_hours: float = 1.0) -> list[str]:
-        """Drop expired pins, then versions that are neither newest, pinned nor younger than ``keep_hours``, and tables none of the rest uses."""
+        """Drop expired pins, then versions that are neither newest, pinned, leased nor younger than ``keep_hours``, and tables none of the rest uses.
+
+        Leases are read again between the log's entries and the tables: a reader that saw its version's entry after
+        it had taken its lease finds the tables.
+        """
         for record in self.pins():
             if datetime.fromisoformat(record["expires_at"]) < datetime.now(UTC):
                 self.unpin(record["alias"])
         log = self._log()
         entries = {n: self._entry(n) for n in log}
-        pinned = {r["version"] for r in self.pins()}
+        pinned = {r["version"] for r in self.pins()} | self._leased()
         old = time.time() - keep_hours * 3600
         fs, p = self._fs(f"{self.root}/versions")
         ages = {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}
@@ -300,6 +339,8 @@ class Catalog:
         for n in log:
             if n not in live:
                 fs.delete(self._fs(f"{self.root}/log/{n:010d}.json")[1], False)
+        leased = self._leased()
+        used |= {place.split("/")[1] for e in entries.values() if e["version"] in leased for place in e["tables"].values()}
         gone = sorted(name for name, age in ages.items() if name not in used and age < old)
         for name in gone:
             fs.delete(self._fs(f"{self.root}/versions/{name}")[1], True)
