@@ -405,6 +405,18 @@ def test_jaccard(docs, empty, rows, spark, monkeypatch, long):
     assert sorted(x.doc_id for x in kept.collect()) == sorted({g[2] for g in groups_of(made, 4, 85)})
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: [None, 7, i][i % 3]], ids=["null", "one", "mixed"])
+def test_jaccard_of_rows_without_ids_of_their_own(spark, monkeypatch, ids):
+    """Every text is made a set once, whatever ids its rows have."""
+    words = lambda k: " ".join(f"{k}-{i}" for i in range(40))
+    table = [(ids(i), None if i == 50 else "" if i == 51 else words(i // 3) + " x" * (i % 3), None, None) for i in range(120)]
+    sets, seen = jaccard_join._sets, []
+    monkeypatch.setattr(jaccard_join, "_sets", lambda docs, size: seen.append(docs.count()) or sets(docs, size))
+    docs = spark.createDataFrame([t[:2] for t in table], "doc_id long, text string")
+    assert by_rows(jaccard_join.jaccard_components(docs, 4, 85), "doc_id", "n_shingles", "component_id") == sorted(groups_of(table, 4, 85), key=repr)
+    assert sum(seen) <= len(table)
+
+
 def test_one_of_each_with_repeated_and_null_ids(spark):
     """Rows and not ids are dropped: exactly one of each component stays, and every clean row."""
     words = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))

@@ -151,22 +151,41 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     Sets of ``size``-word shingles link if their Jaccard similarity is at least ``percent`` %. Texts of fewer
-    words are one shingle; texts without words, and null, link with nothing. Ids need not be unique; rows
-    with a null id link others but name no component. Repeated rows and copies are one node, and of pairs
-    that tie none is left out. A text of any length is one set, held by one worker at a time. An empty table
-    gives an empty result. Other columns are not read.
+    words are one shingle; texts without words, and null, link with nothing. Ids need not be unique (rows are
+    numbered then, so that no text meets the nodes of another row with its id); rows with a null id link others
+    but name no component. Repeated rows and copies are one node, and of pairs that tie none is left out. A text
+    of any length is one set, held by one worker at a time. An empty table gives an empty result. Other columns
+    are not read.
     """
     space = Workspace(docs.sparkSession, "jaccard")
     slim = only(docs, id, text).toDF("doc_id", "text")
+    found = _components(slim, space, size, percent)
+    return _by_number(slim, space, size, percent) if found is None else found
+
+
+def _by_number(slim: DataFrame, space: Workspace, size: int, percent: int) -> DataFrame:
+    """The components of rows that are told apart by a number, named by the least id in them."""
+    numbered = space.save(slim.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("_id"), "text"), "numbered")
+    found = _components(numbered.select("doc_id", "text"), Workspace(slim.sparkSession, "jaccard-numbered"), size, percent)
+    named = space.save(numbered.select("doc_id", "_id").join(found, "doc_id").select("_id", "n_shingles", F.col("component_id").alias("_part")), "named-rows")
+    parts = space.save(named.groupBy("_part").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("_rows")), "parts")
+    return skew_safe_join(named, parts, "_part", "_rows", named.count()).select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _components(slim: DataFrame, space: Workspace, size: int, percent: int) -> DataFrame | None:
+    """doc_id, n_shingles, component_id of rows with ids of their own; None where an id is null or stands twice."""
     rows = space.save(_signed(slim, size, percent), "rows")
+    slim_rows = space.save(rows.select("doc_id", "n", F.col("node").alias("hash")), "slim")
+    total = slim_rows.count()
+    ids = slim_rows.agg(F.count("doc_id").alias("known"), F.count_distinct("doc_id").alias("unique")).first()
+    if not ids["known"] == ids["unique"] == total:
+        space.drop("rows")
+        return None
     one = rows.filter("node is not null").groupBy(F.col("node").alias("hash")).agg(F.min(F.struct("n", "least", "prefix")).alias("s"), F.min("doc_id").alias("doc_id"))
     nodes = space.save(one.select(F.monotonically_increasing_id().alias("node"), "hash", F.col("s.n").cast("int").alias("n"), F.col("s.least").alias("least"), F.col("s.prefix").alias("prefix"), "doc_id"), "nodes")
-    slim_rows = space.save(rows.select("doc_id", "n", F.col("node").alias("hash")), "slim")
     space.drop("rows")
     names = space.save(nodes.select("node", "hash"), "names")
-    total = slim_rows.count()
-    unique = slim_rows.select("doc_id").distinct().count() == total
-    links = _links(slim, nodes, unique, space, size, percent)
+    links = _links(slim, nodes, space, size, percent)
     roots = components(links, space, "roots")
     known = names.join(roots, "node", "left").select("hash", F.coalesce("root", "node").alias("root"))
     sizes = slim_rows.filter("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_least"))
@@ -179,8 +198,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between nodes that connect whatever links; ``unique``: no two rows share an id."""
+def _links(slim: DataFrame, nodes: DataFrame, space: Workspace, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes that connect whatever links; no two rows share an id."""
     spark = slim.sparkSession
     columns = space.save(nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "columns")
     free_shuffles(spark)
@@ -195,9 +214,8 @@ def _links(slim: DataFrame, nodes: DataFrame, unique: bool, space: Workspace, si
         space.drop(name)
     if involved.count() <= MAX_BROADCAST:
         involved = F.broadcast(involved)
-    chosen = slim.withColumnRenamed("doc_id", "_id").join(involved, F.col("_id").eqNullSafe(F.col("doc_id"))).select("node", "hash", "text")
-    found = _sets(chosen, size)
-    sets = space.save(found if unique else found.dropDuplicates(["node"]), "sets")
+    chosen = slim.withColumnRenamed("doc_id", "_id").join(involved, F.col("_id") == F.col("doc_id")).select("node", "hash", "text")
+    sets = space.save(_sets(chosen, size), "sets")
     free_shuffles(spark)
 
     # Nodes of long columns among themselves: rarest shingle first, those that share too little leave.
