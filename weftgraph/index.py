@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import linking
 from .catalog import Catalog
+from .fingerprints import FactStore
 from .linking import LINKERS, relink, relink_changed  # noqa: F401  part of this module's surface
 from .linking import edge_rows as _edges
 from .operators import intervals, resolve
@@ -61,15 +62,18 @@ def written_rules(files: DataFrame) -> DataFrame:
     return held.dropDuplicates(["repo", "file"])
 
 
-def extract(files: DataFrame, adapters: tuple = registry.ADAPTERS) -> dict[str, DataFrame]:
+def extract(files: DataFrame, adapters: tuple = registry.ADAPTERS, kept: FactStore | None = None) -> dict[str, DataFrame]:
     """files(repo, path, content) -> the tables of what is found, all written: facts are read once, and what fails fails here.
 
+    With ``kept`` facts only what changed since they were kept is parsed, by the readers of that store.
+
     interfaces, outbound, symbols, calls, bindings, identities, hosts, dependencies, languages, purpose, rules, shas and
     skipped (every site, file or rule that could not be read, with the reason).
     """
     staging = Staging(files.sparkSession, "extract")
     source = files.filter(~F.col("path").rlike(CODE_INDEX))
-    facts = staging.save(registry.with_channels(registry.discover(source, adapters), source), "facts")
+    read = registry.discover(source, adapters) if kept is None else kept.refresh(source)[0]
+    facts = staging.save(registry.with_channels(read, source), "facts")
     values = staging.save(files_.config_values(source.filter(registry._is_config(F.col("path")) & ~F.col("path").endswith(".py"))), "values")
     found = {"repos": files.select(F.col("repo").alias("slug")).distinct(), "symbols": staging.save(python_code.symbol_spans(facts), "symbols")}
     found |= {"interfaces": registry.interfaces(facts), "outbound": python_code.outbound_calls(facts), "bindings": files_.host_bindings(values), "identities": files_.identities(values)}
@@ -149,12 +153,12 @@ def _linked(catalog: Catalog) -> dict:
         return {"relinked": False, "link_error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def index(catalog: Catalog, files: DataFrame, shas: dict[str, str | None] | None = None, adapters: tuple = registry.ADAPTERS) -> dict:
+def index(catalog: Catalog, files: DataFrame, shas: dict[str, str | None] | None = None, adapters: tuple = registry.ADAPTERS, kept: FactStore | None = None) -> dict:
     """Replace what the catalog holds of the repositories in ``files`` by what is in them now, link what that changes, stamp.
 
-    The report has services, skipped (sites that could not be read) and relinked, with link_error if it failed.
+    ``kept``: see ``extract``. The report has services, skipped (sites that could not be read) and relinked, with link_error if it failed.
     """
-    found = extract(files, adapters)
+    found = extract(files, adapters, kept)
     report = {"services": load(catalog, found), "skipped": found["skipped"].count()} | _linked(catalog)
     if shas:
         catalog.stamp(shas)

@@ -101,6 +101,17 @@ class Tree:
         except OSError:
             return None
 
+    def stat(self, path: str) -> tuple[int, int] | None:
+        """Bytes and time of change in nanoseconds; None for a file that is not there."""
+        try:
+            if self.local:
+                found = os.stat(f"{self.root}/{path}", follow_symlinks=False)
+                return found.st_size, found.st_mtime_ns
+            found = self.fs.get_file_info(f"{self.root}/{path}")
+            return (found.size, found.mtime_ns or 0) if found.is_file else None
+        except OSError:
+            return None
+
     def walk(self, skip: tuple[str, ...] = (), excluded: Callable[[str], bool] = lambda path: False, max_parts: int = 0) -> Iterator[str]:
         """Paths of files in order, excluded directories not entered; with ``max_parts`` no deeper than so many segments."""
         todo = [""]
@@ -166,6 +177,18 @@ def listing(repos: DataFrame, suffixes: tuple[str, ...] = (), names: tuple[str,
     return repos.select("repo", "root").repartition("repo").mapInPandas(run, "repo string, root string, path string")
 
 
+def stamped(listed: DataFrame) -> DataFrame:
+    """(repo, root, path, size, mtime) of listed files, none of which is opened; one that is gone is left out."""
+    ship(listed.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(repo, root, path, *at) for repo, root, path in frame.itertuples(index=False) if (at := Tree(root).stat(path)) is not None]
+            yield pd.DataFrame(found, columns=["repo", "root", "path", "size", "mtime"]).astype({"size": "int64", "mtime": "int64"})
+
+    return listed.select("repo", "root", "path").repartition("repo", "path").mapInPandas(run, "repo string, root string, path string, size bigint, mtime bigint")
+
+
 def contents(listed: DataFrame) -> DataFrame:
     """(repo, path, content) of listed files; one that cannot be read is left out. Files are dealt out by path, not by repository."""
     ship(listed.sparkSession)

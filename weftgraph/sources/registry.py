@@ -18,21 +18,29 @@ from ..operators.graph import compose_prefixes, resolve_aliases
 from ..operators.lookup import unique_ids
 from . import files as files_
 from .python_code import SCHEMA, read_python
-from .script_code import read_scripts
+from .script_code import read_each_script, read_scripts, settle_scripts
 from .symbol_code import read_symbols
 from .staging import Staging
 
 
 @dataclass(frozen=True)
 class Adapter:
-    """A named reader of facts; ``applies`` narrows the files it is given."""
+    """A named reader of facts; ``applies`` narrows the files it is given.
+
+    ``each`` gives facts that depend on one file only, out of which ``settle`` makes those of ``read``: such a reader
+    reads changed files alone where facts are kept. One without ``each`` reads whole repositories then. Kept facts are
+    read anew when ``version`` changes.
+    """
 
     name: str
     read: Callable[[DataFrame], DataFrame]
     applies: Callable[[DataFrame], DataFrame] = lambda files: files
+    each: Callable[[DataFrame], DataFrame] | None = None
+    settle: Callable[[DataFrame], DataFrame] = lambda facts: facts
+    version: str = ""
 
 
-ADAPTERS = (Adapter("python", read_python), Adapter("script", read_scripts), Adapter("symbols", read_symbols))
+ADAPTERS = (Adapter("python", read_python, each=read_python), Adapter("script", read_scripts, each=read_each_script, settle=settle_scripts), Adapter("symbols", read_symbols, each=read_symbols))
 #: Which kind of reader owns a path first: order of precedence.
 KINDS = ("web", "express", "rails", "messaging")
 
