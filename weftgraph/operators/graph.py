@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import CONFIDENCE, join_path, ranked, reversion
 from ..sources.staging import Staging
+from .adjacency import Adjacency
 
 
 #: Visited ids that are broadcast to find their edges.
@@ -29,16 +30,21 @@ def edges_of(edges: DataFrame, id: str, direction: str = "both") -> DataFrame:
     return edges.filter(out if direction == "out" else into if direction == "in" else out | into)
 
 
-def walk(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 2, max_nodes: int = 300, relationship: str = "calls") -> tuple[DataFrame, DataFrame, bool]:
+def walk(edges: DataFrame | Adjacency, seeds: DataFrame, direction: str = "out", max_depth: int = 2, max_nodes: int = 300, relationship: str = "calls") -> tuple[DataFrame, DataFrame, bool]:
     """Edges seen, nodes reached (``id``, ``depth``; seeds excluded) and whether the cap cut the walk.
 
     Each level is one join of the frontier with the edges, of which only those found are made distinct. Every edge at a visited node is returned, back
     edges included. Nodes are admitted in (from, to) order of their first edge up to ``max_nodes`` visited,
     seeds counted. Levels are written tables, earlier ones are not written again; the driver holds counts only.
+    ``edges`` kept as an ``Adjacency`` are not exchanged by any level; ``relationship`` is that of its making then.
     """
     staging = Staging(edges.sparkSession, "walk")
     near, far = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")
-    usable = edges.filter(F.col("relationship") == relationship).select("from_id", "to_id")
+    if isinstance(edges, Adjacency):
+        touching = lambda frontier, n: edges.touching(frontier, near, n)
+    else:
+        usable = edges.filter(F.col("relationship") == relationship).select("from_id", "to_id")
+        touching = lambda frontier, n: _met(usable, frontier, near, "left_semi", n).distinct()
     reached = [staging.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reached-0")]
     n, truncated, seen = reached[0].count(), False, []
     for depth in range(1, max_depth + 1):
@@ -47,7 +53,7 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth:
             visited = visited.unionByName(more)
         # Two writes a level, the frontier's edges with whether their far end is known, and the nodes that are new.
         frontier, held = reached[-1].select(F.col("id").alias(near)), visited.select(F.col("id").alias(far), F.lit(True).alias("_held"))
-        level = staging.save(_met(_met(usable, frontier, near, "left_semi", n).distinct(), held, far, "left", n), f"level-{depth}")
+        level = staging.save(_met(touching(frontier, n), held, far, "left", n), f"level-{depth}")
         seen.append(level.select("from_id", "to_id"))
         fresh = level.filter("_held is null").groupBy(F.col(far).alias("id")).agg(F.min(F.struct("from_id", "to_id")).alias("_by")).withColumn("depth", F.lit(depth))
         fresh = staging.save(fresh, f"reached-{depth}")

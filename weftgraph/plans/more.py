@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import catalog, index, linking
+from .. import catalog, fingerprints, index, linking
 from ..functions import scalar as S
+from ..operators.adjacency import Adjacency
 from ..operators import answers, graph, intervals, lookup, quality, resolve, rules, source
 from ..schema import EDGES, OBJECTS
 from ..sources import deps, files, guidance, manifest, python_code, registry
 from ..sources.staging import Staging
 from ..streaming.ingest import ingest
-from .catalogue import _CALLS, joined, query
+from .catalogue import ORACLE, _CALLS, joined, query
 from .views import load
 
 
@@ -447,3 +448,46 @@ def relinked_calls(spark, d):
     held.commit(objects=services.unionByName(interfaces(moved)))
     linking.relink_changed(held)
     return held.table("edges").select("from_id", "to_id", "confidence", joined("via_paths"))
+
+
+# Kept edges and kept facts.
+
+@query(ORACLE["bfs_out"])
+def bfs_out_kept(spark, d):
+    """The walk of ``bfs_out`` over edges that are kept bucketed by their ends."""
+    staging = Staging(spark, "kept-edges")
+    kept = Adjacency.build(load(spark, d, "calls"), f"{staging.root}/edges")
+    found, _, _ = graph.walk(kept, spark.createDataFrame([("part:20",)], "id string"), "out", 5, 10**9)
+    return found.join(load(spark, d, "objects").select(F.col("id").alias("to_id"), "name"), "to_id", "left").select("from_id", "to_id", "name")
+
+
+@query("""
+with old as (select coalesce(source, '') as repo, concat('d', doc_id % 13, '/e', doc_id % 3, '/', doc_id, '.txt') as path, coalesce("text", '') as t from documents),
+new as (select coalesce(source, '') as repo, concat(case when doc_id % 11 = 4 then 'moved/' else '' end, 'd', doc_id % 13, '/e', doc_id % 3, '/', doc_id, '.txt') as path,
+  concat(coalesce("text", ''), case when doc_id % 5 = 0 then '.' else '' end) as t from documents where doc_id % 7 <> 3)
+select repo, path, case when old.t is null then 'added' when new.t is null then 'removed' else 'changed' end as change from old full join new using (repo, path) where old.t is distinct from new.t""")
+def changed_files(spark, d):
+    """Documents as files, the source as their repository: what was moved, changed and removed, by the trees of both states."""
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("repo"), F.coalesce("text", F.lit("")).alias("t"))
+    path = F.concat(F.lit("d"), F.col("doc_id") % 13, F.lit("/e"), F.col("doc_id") % 3, F.lit("/"), "doc_id", F.lit(".txt"))
+    old = docs.select("repo", path.alias("path"), F.encode("t", "UTF-8").alias("content"))
+    moved, more = F.when(F.col("doc_id") % 11 == 4, "moved/").otherwise(""), F.when(F.col("doc_id") % 5 == 0, ".").otherwise("")
+    new = docs.filter("doc_id % 7 <> 3").select("repo", F.concat(moved, path).alias("path"), F.encode(F.concat("t", more), "UTF-8").alias("content"))
+    staging = Staging(spark, "trees")
+    a, b = (staging.save(fingerprints.leaves(files), name) for files, name in ((old, "old"), (new, "new")))
+    return fingerprints.changes((a, fingerprints.nodes(a)), (b, fingerprints.nodes(b)))
+
+
+@query("""
+select concat('n', s_nationkey) as repo, concat('s', s_suppkey, '.py') as file, concat(case when s_suppkey % 3 = 0 then 'new' else 'old' end, s_suppkey) as name from supplier where s_suppkey % 7 <> 1
+union all select 'seen', 'read', cast(count(*) as varchar) from supplier where s_suppkey % 7 <> 1 and s_suppkey % 3 = 0""")
+def kept_facts(spark, d):
+    """A module per supplier, read once; then every third changes and every seventh goes: names after the refresh, and how many files that read."""
+    suppliers = load(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("n"), "s_nationkey").alias("repo"), F.concat(F.lit("s"), "s_suppkey", F.lit(".py")).alias("path"))
+    module = lambda word: F.encode(F.concat(F.lit("def "), word, "s_suppkey", F.lit("(): ...\n")), "UTF-8").alias("content")
+    store = fingerprints.FactStore(spark, f"{Staging(spark, 'kept').root}/facts")
+    store.refresh(suppliers.select("repo", "path", module(F.lit("old"))))
+    now = suppliers.filter("s_suppkey % 7 <> 1").select("repo", "path", module(F.when(F.col("s_suppkey") % 3 == 0, "new").otherwise("old")))
+    report = store.refresh(now)[1]
+    names = store.load(now).filter("fact = 'symbol'").select("repo", "file", "name")
+    return names.unionByName(spark.createDataFrame([("seen", "read", str(report["read"]))], "repo string, file string, name string"))
