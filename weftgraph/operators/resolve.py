@@ -6,7 +6,7 @@ bindings(slug, key, value, host, port), declared(slug, pos, pattern, target), se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ADDRESS_KEY, LOCAL_HOSTS, LOOPBACK, THIRD_PARTY, distinct_sorted, path_pattern, slug_tokens, slugish, strip_env_prefix
@@ -61,23 +61,147 @@ def _masked_keys(pattern: Column, masks: Column) -> Column:
     return F.transform(masks, lambda m: F.array_join(F.transform(pattern, lambda s, i: F.when(F.substr(m, i + 1, F.lit(1)) == "*", F.lit(WILD)).otherwise(F.coalesce(s, F.lit(TEMPLATED)))), "/"))
 
 
+def _offered(interfaces: DataFrame) -> DataFrame:
+    """Distinct (slug, verb_, offer): what each service answers, by segments."""
+    rows = interfaces.filter(F.coalesce("type", F.lit("")) != "event")
+    return rows.select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), "path").distinct().select("slug", "verb_", path_pattern("path").alias("offer"))
+
+
+def _shapes(calls: DataFrame) -> DataFrame:
+    """Distinct (verb_, path) of the calls with ``pattern``, its length ``n`` and whether any of it is ``concrete``."""
+    return calls.select("verb_", "path").distinct().withColumn("pattern", path_pattern("path")).withColumns({"n": F.size("pattern"), "concrete": _concrete(F.col("pattern"))})
+
+
+def _concrete(pattern: Column) -> Column:
+    return F.exists(pattern, lambda s: s.isNotNull())
+
+
 def _providers(calls: DataFrame, interfaces: DataFrame) -> DataFrame:
     """Per distinct shape (verb_, path) of the calls: whether it is ``concrete`` and the services that offer it."""
-    shapes = calls.select("verb_", "path").distinct().withColumn("pattern", path_pattern("path")).withColumns({"n": F.size("pattern"), "concrete": F.exists("pattern", lambda s: s.isNotNull())})
-    offered = (
-        interfaces.filter(F.coalesce("type", F.lit("")) != "event")
-        .select("slug", F.upper(F.coalesce("method", F.lit(""))).alias("verb_"), "path").distinct().select("slug", "verb_", path_pattern("path").alias("offer"))
-    )
-    patterns, masks = _masks(offered)
-    entered = shapes.join(masks, ["verb_", "n"], "left").select("verb_", "path", "concrete", F.explode_outer(F.when(F.col("concrete"), _masked_keys(F.col("pattern"), F.col("masks")))).alias("key"))
+    patterns, masks = _masks(_offered(interfaces))
+    entered = _shapes(calls).join(masks, ["verb_", "n"], "left").select("verb_", "path", "concrete", F.explode_outer(F.when(F.col("concrete"), _masked_keys(F.col("pattern"), F.col("masks")))).alias("key"))
     found = entered.join(patterns.select("verb_", "key", "slugs"), ["verb_", "key"], "left")
     return found.groupBy("verb_", "path").agg(F.first("concrete").alias("concrete"), F.array_distinct(F.flatten(F.collect_list("slugs"))).alias("_providers"))
 
 
+def _hash(value: Column) -> Column:
+    return F.sha2(F.to_json(value), 256)
+
+
+def _signed(calls: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Distinct shapes (verb_, path) that are offered, with the ``keys`` they are offered under and their hash ``sig``.
+
+    Shapes of one ``sig`` have the same providers, so what holds for a provider is worked out per ``sig``.
+    """
+    offered = _offered(interfaces)
+    _, masks = _masks(offered)
+    entered = _shapes(calls).filter("concrete").join(masks, ["verb_", "n"]).select("verb_", "path", F.explode(_masked_keys(F.col("pattern"), F.col("masks"))).alias("key"))
+    found = entered.join(_offers(offered).select("verb_", "key").distinct(), ["verb_", "key"]).groupBy("verb_", "path").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return found.withColumn("sig", _hash(F.struct("verb_", "keys")))
+
+
+def _offers(offered: DataFrame) -> DataFrame:
+    """(verb_, key, slug): who offers what, by the key that a call is entered under."""
+    return offered.select("verb_", F.array_join(F.transform("offer", lambda s: F.coalesce(s, F.lit(WILD))), "/").alias("key"), "slug").distinct()
+
+
 def callers_of(outbound: DataFrame, interfaces: DataFrame) -> DataFrame:
     """Services (slug) with a call whose shape one of the interfaces offers, whatever its host."""
     calls = outbound.select("slug", "path", F.upper(F.coalesce("verb", F.lit(""))).alias("verb_"))
-    return calls.join(_providers(calls, interfaces).filter(F.size("_providers") > 0), ["verb_", "path"], "left_semi").select("slug").distinct()
+    return calls.join(_signed(calls, interfaces).select("verb_", "path"), ["verb_", "path"], "left_semi").select("slug").distinct()
+
+
+#: External hosts, and providers, up to which they are broadcast to the calls.
+MAX_HOSTS, MAX_PROVIDERS = 20_000, 1_000_000
+
+
+def _open_calls(outbound: DataFrame, services: DataFrame, staging: Staging) -> DataFrame:
+    """The calls, written once, with ``verb_`` and ``state``: external, unspecific or open.
+
+    Only dotted hosts can be external; calls without one are never dealt out by their host.
+    """
+    calls = staging.save(outbound.select("slug", "pos", "path", "host", F.upper(F.coalesce("verb", F.lit(""))).alias("verb_")), "calls")
+    dotted = F.coalesce(F.contains("host", F.lit(".")), F.lit(False))
+    foreign = staging.save(external_hosts(calls.filter(dotted).select("host").distinct(), services), "foreign").withColumn("_x", F.lit(True))
+    if foreign.count() <= MAX_HOSTS:
+        rows = calls.join(F.broadcast(foreign), "host", "left")
+    else:
+        rows = calls.filter(dotted).join(foreign, "host", "left").unionByName(calls.filter(~dotted).withColumn("_x", F.lit(None).cast("boolean")))
+    return rows.withColumn("state", F.when(F.col("_x"), "external").when(~_concrete(path_pattern("path")), "unspecific").otherwise("open")).drop("_x")
+
+
+def _members(signed: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Distinct (sig, provider)."""
+    keys = signed.select("sig", "verb_", "keys").distinct().select("sig", "verb_", F.explode("keys").alias("key"))
+    return keys.join(_offers(_offered(interfaces)), ["verb_", "key"]).select("sig", F.col("slug").alias("provider")).distinct()
+
+
+def count_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
+    """status, calls: ``resolve_counters(match_calls(...))``, no call being entered once per provider.
+
+    A call is resolved if its shape has a provider other than its own service, which the least and the greatest
+    of them tell; ``pos`` is not read.
+    """
+    staging = Staging(outbound.sparkSession, "counted")
+    calls = _open_calls(outbound.withColumn("pos", F.lit(0)), services, staging).drop("pos", "host")
+    signed = staging.save(_signed(calls, interfaces), "signed")
+    ends = _members(signed, interfaces).groupBy("sig").agg(F.min("provider").alias("_least"), F.max("provider").alias("_most"))
+    shapes = signed.join(ends, "sig").select("verb_", "path", "_least", "_most")
+    other = (F.col("_least") != F.col("slug")) | (F.col("_most") != F.col("slug"))
+    closed = calls.filter("state <> 'open'").groupBy(F.col("state").alias("status")).agg(F.count(F.lit(1)).alias("calls"))
+    looked = calls.filter("state = 'open'").select("slug", "verb_", "path").join(shapes, ["verb_", "path"], "left")
+    return closed.unionByName(looked.groupBy(F.when(other, "resolved").otherwise("unresolved").alias("status")).agg(F.count(F.lit(1)).alias("calls")))
+
+
+#: Providers of a class that are entered as one row, and pairs of one task.
+CHUNK, PAIRS = 4096, 2_000_000
+
+
+def _naming(hosts: DataFrame, providers: DataFrame) -> DataFrame:
+    """(host, provider) where the host's name holds the provider's: names are cut to the lengths that providers have and met by equality."""
+    slugs = providers.select("provider", F.regexp_replace("provider", "_", "-").alias("_s"))
+    lengths = F.broadcast(slugs.select(F.length("_s").alias("_l")).distinct())
+    hint = hosts.select("host", F.regexp_replace("host", "_", "-").alias("_h")).filter("_h <> ''").join(lengths, F.col("_l") <= F.length("_h"))
+    cut = hint.select("host", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_h") - F.col("_l") + 1), lambda i: F.substr("_h", i, F.col("_l"))))).alias("_s"))
+    return cut.join(slugs, "_s").select("host", "provider")
+
+
+def linked_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
+    """from_slug, to_slug, confidence, via_paths: ``call_edges(match_calls(...))``, no call being entered once per provider.
+
+    Calls are aggregated per service and set of keys (``sig``) that offer their shape; providers that offer the same
+    sets are one class, so edges are worked out per service and class. A provider is of one class: the pairs come out
+    of the classes' members at the end and are neither dealt out nor aggregated. What a host adds holds for the few
+    providers that it names and is kept beside the class.
+    """
+    staging = Staging(outbound.sparkSession, "linked")
+    calls = _open_calls(outbound, services, staging).filter("state = 'open'")
+    signed = staging.save(_signed(calls, interfaces), "signed")
+    met = staging.save(calls.join(signed.select("verb_", "path", "sig"), ["verb_", "path"]).select("slug", "sig", "pos", "path", "host"), "met")
+    members = staging.save(_members(signed, interfaces), "members")
+    classes = staging.save(members.groupBy("provider").agg(_hash(F.array_sort(F.collect_set("sig"))).alias("cls")), "classes")
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"))
+    own = members.select("sig", F.col("provider").alias("slug"), F.lit(1).alias("_own"))
+    first = met.groupBy("slug", "sig").agg(F.min("pos").alias("pos")).join(sizes, "sig").join(own, ["sig", "slug"], "left")
+    first = first.withColumn("first", F.when(F.col("_n") - F.coalesce("_own", F.lit(0)) == 1, "high").otherwise("ambiguous"))
+    place = F.row_number().over(Window.partitionBy("slug", "sig").orderBy("path"))
+    paths = met.select("slug", "sig", "path").distinct().withColumn("_k", place).filter("_k <= 10").groupBy("slug", "sig").agg(F.collect_list("path").alias("paths"))
+    held = members.join(classes, "provider").select("sig", "cls").distinct()
+    edges = first.join(paths, ["slug", "sig"]).join(held, "sig").groupBy("slug", "cls").agg(F.min_by("first", "pos").alias("first"), distinct_sorted(F.flatten(F.collect_list("paths")), 10).alias("via_paths"))
+    said = met.filter("host <> ''").select("slug", "sig", "host").distinct()
+    named = said.join(_naming(said.select("host").distinct(), classes), "host").join(members, ["sig", "provider"], "left_semi").select("slug", "provider").distinct()
+    named = named.join(classes, "provider").groupBy("slug", "cls").agg(F.collect_list("provider").alias("named"))
+    edges = staging.save(edges.join(named, ["slug", "cls"], "left"), "edges")
+    count = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("_size"))
+    chunk = F.pmod(F.xxhash64("provider"), F.ceil(F.col("_size") / CHUNK))
+    chunks = staging.save(classes.join(count, "cls").groupBy("cls", chunk.alias("_chunk")).agg(F.collect_list("provider").alias("providers")), "chunks").drop("_chunk")
+    pairs = edges.join(count, "cls").agg(F.sum("_size")).first()[0] or 0
+    edges = edges.repartition(max(1, -(-pairs // PAIRS)), "slug", "cls")
+    met = edges.join(F.broadcast(chunks) if classes.count() <= MAX_PROVIDERS else chunks, "cls")
+    one = lambda confidence: lambda p: F.struct(p.alias("to_slug"), confidence.alias("confidence"))
+    raised = F.array_intersect("providers", "named")
+    ends = F.when(F.col("named").isNull(), F.transform("providers", one(F.col("first")))).otherwise(F.concat(F.transform(raised, one(F.lit("corroborated"))), F.transform(F.array_except("providers", "named"), one(F.col("first")))))
+    return met.select(F.col("slug").alias("from_slug"), F.explode(ends).alias("_e"), "via_paths").select("from_slug", "_e.to_slug", "_e.confidence", "via_paths").filter("to_slug <> from_slug")
 
 
 def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
