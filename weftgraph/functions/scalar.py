@@ -254,7 +254,10 @@ def build_id(ts: Column) -> Column:
 
 
 def days_left(expires: Column, now: Column) -> Column:
-    return F.greatest(F.ceil((F.unix_timestamp(expires) - F.unix_timestamp(now)) / 86400), F.lit(0)).cast("int")
+    """Days begun until ``expires``, by the microsecond; none if that is past."""
+    day = 86_400_000_000
+    left = F.unix_micros(expires) - F.unix_micros(now)
+    return F.greatest(F.call_function("div", left, F.lit(day)) + F.when(left % day > 0, 1).otherwise(0), F.lit(0)).cast("int")
 
 
 def valid_alias(alias: Column | str) -> Column:

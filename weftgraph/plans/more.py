@@ -297,7 +297,7 @@ def part_texts(spark, d):
 select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as build, cast(greatest(ceil((epoch(ts) - epoch(timestamp '2024-01-01 00:00:00')) / 86400), 0) as int) as days from events""")
 def build_stamps(spark, d):
     ts = F.col("ts").cast("timestamp")
-    return load(spark, d, "events").select("event_id", S.build_id(F.date_trunc("second", ts)).alias("build"), S.days_left(F.date_trunc("second", ts), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("days"))
+    return load(spark, d, "events").select("event_id", S.build_id(F.date_trunc("second", ts)).alias("build"), S.days_left(ts, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("days"))
 
 
 @query("""
