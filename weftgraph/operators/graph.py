@@ -145,17 +145,21 @@ def dependents(edges: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def resolve_aliases(aliases: DataFrame, max_hops: int = 24) -> DataFrame:
-    """alias(name, target) chains followed to their declaration; cycles and longer chains give null."""
+    """alias(name, target) chains followed to their declaration; cycles and longer chains give null.
+
+    Each round follows what the round before found, so chains of n aliases take log2 n joins; names that have arrived
+    enter no further one. The tables are as large as the aliases, so neither side is collected for a broadcast.
+    """
     staging = Staging(aliases.sparkSession, "alias")
-    step = aliases.select(F.col("name").alias("at"), F.col("target").alias("next"))
-    state = staging.save(aliases.select("name", F.col("target").alias("at")), "alias-0")
-    for hop in range(1, max_hops + 1):
-        moved = state.join(step, "at", "left").select("name", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("moved"))
-        state = staging.save(moved, f"alias-{hop}")
-        if state.filter("moved").isEmpty():
-            return state.select("name", F.col("at").alias("declared"))
-        state = state.drop("moved")
-    return state.join(step.select("at").withColumn("open", F.lit(True)), "at", "left").select("name", F.when(F.col("open").isNull(), F.col("at")).alias("declared"))
+    most = max_hops + 1
+    state = staging.save(aliases.select("name", F.col("target").alias("at"), F.lit(1).alias("hops"), F.lit(True).alias("open")), "alias-0")
+    for k in range(1, (most - 1).bit_length() + 2):  # the last round finds that nothing follows
+        step = state.select(F.col("name").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.lit(True).alias("open"))
+        moved = state.filter("open").drop("open").join(step.hint("merge"), "at", "left").select("name", F.when(F.col("open"), F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("open", F.lit(False)).alias("open"))
+        state = staging.save(moved.unionByName(state.filter("not open")), f"alias-{k}")
+        if state.filter("open").isEmpty():
+            break
+    return state.select("name", F.when(~F.col("open") & (F.col("hops") <= most), F.col("at")).alias("declared"))
 
 
 def compose_prefixes(routers: DataFrame, mounts: DataFrame, max_prefixes: int = 8, max_depth: int = 24) -> DataFrame:
