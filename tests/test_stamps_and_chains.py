@@ -28,3 +28,16 @@ def test_a_chain_of_many_aliases_takes_few_joins(spark, monkeypatch):
     monkeypatch.setattr(graph.Staging, "save", lambda self, df, name, f=graph.Staging.save: saved.append(df) or f(self, df, name))
     graph.resolve_aliases(spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(25)], "name string, target string"))
     assert len(saved) <= 7 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in saved)
+
+
+def test_texts_are_not_dealt_out_by_repository(spark, monkeypatch):
+    """No exchange of the texts by repository alone; many repositories, without the broadcast, find the same."""
+    texts = spark.createDataFrame([(f"r{i % 3}", f"say('v{i}') or \"w{i}\"") for i in range(30)], "slug string, text string")
+    asked = spark.createDataFrame([(f"r{r}", f"{w}{i}") for r in range(3) for i in range(30) for w in "vwx"], "slug string, value string")
+    wanted = sorted((f"r{i % 3}", f"{w}{i}") for i in range(30) for w in "vw")
+    found = semantic.grounded(asked, texts)
+    assert sorted(map(tuple, found.collect())) == wanted
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [slug" in plan
+    monkeypatch.setattr(semantic, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, semantic.grounded(asked, texts).collect())) == wanted
