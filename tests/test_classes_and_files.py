@@ -1,4 +1,4 @@
-"""Rules and services met by class."""
+"""Rules and services met by class, lines of a file taken together."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from weftgraph.operators import rules
+from weftgraph.operators import intervals, rules
 
 
 @pytest.mark.parametrize("chunk", [2, 1000])
@@ -29,3 +29,19 @@ def test_rules_by_class(spark, monkeypatch, chunk):
     assert sorted((x.service, x.rule, tuple(x.matched)) for x in links.collect()) == sorted(wanted)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("tie", ["latest", "lowest"])
+def test_lines_of_a_leaf_travel_as_one_row(spark, tie):
+    """As every pair says, null and negative lines included; no line is entered by itself under a level."""
+    points = spark.range(2000).selectExpr("concat('f', id % 7) as path", "cast(if(id % 50 = 3, null, id % 311 - 20) as int) as line", "id as k")
+    spans = spark.range(500).selectExpr("concat('f', id % 9) as path", "cast(id % 200 - 10 as int) as start", "cast(id % 200 + (id % 5) * 37 as int) as end", "concat('s', id) as id")
+    found = intervals.tightest_span(points, spans, tie)
+    held = [tuple(r) for r in spans.collect()]
+
+    def best(path, line):
+        around = [(b - a, a, i) for f, a, b, i in held if line is not None and f == path and a <= line <= b]
+        return (min((n, i) for n, _, i in around) if tie == "lowest" else max((-n, a, i) for n, a, i in around))[-1] if around else None
+
+    assert sorted(map(tuple, found.select("k", "id").collect())) == [(r.k, best(r.path, r.line)) for r in points.orderBy("k").collect()]
+    assert "collect_set(line" in found._jdf.queryExecution().optimizedPlan().toString()

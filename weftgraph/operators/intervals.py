@@ -34,6 +34,12 @@ def cover(start: Column, end: Column) -> Column:
     return F.filter(tiles, lambda n: n.isNotNull())
 
 
+def _tiles(spans: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """The spans under the nodes (_level, _at) that tile their leaves, and the levels that occur, by path."""
+    tiles = spans.withColumn("_n", F.explode(cover(_shift(F.col(start), F.lit(LEAF)), _shift(F.col(end), F.lit(LEAF))))).select(*spans.columns, F.col("_n.level").alias("_level"), F.col("_n.at").alias("_at"))
+    return tiles, tiles.groupBy("path").agg(F.collect_set("_level").alias("_levels"))
+
+
 def stab(points: DataFrame, spans: DataFrame, line: str, start: str, end: str) -> DataFrame:
     """points(path, line, ...) joined with every span(path, start, end, ...) around them: an equi-join, each pair once.
 
@@ -42,8 +48,7 @@ def stab(points: DataFrame, spans: DataFrame, line: str, start: str, end: str) -
     comes twice, and only those of a span's first and last leaf are tried in vain. Rows grow with the logarithm
     of a span's lines.
     """
-    tiles = spans.withColumn("_n", F.explode(cover(_shift(F.col(start), F.lit(LEAF)), _shift(F.col(end), F.lit(LEAF))))).select(*spans.columns, F.col("_n.level").alias("_level"), F.col("_n.at").alias("_at"))
-    levels = tiles.groupBy("path").agg(F.collect_set("_level").alias("_levels"))
+    tiles, levels = _tiles(spans, start, end)
     up = points.join(levels, "path").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_at", _shift(F.col(line).cast("long"), F.col("_level") + LEAF))
     return up.join(tiles, ["path", "_level", "_at"]).filter((F.col(start) <= F.col(line)) & (F.col(line) <= F.col(end))).drop("_level", "_at")
 
@@ -60,12 +65,18 @@ def callable_spans(spans: DataFrame) -> DataFrame:
 def tightest_span(points: DataFrame, spans: DataFrame, tie: str = "latest") -> DataFrame:
     """points(path, line, ...) with ``id`` of the smallest span(path, start, end, id) around them (null: none).
 
-    Ties: ``latest`` start, then greatest id; or ``lowest`` id.
+    Ties: ``latest`` start, then greatest id; or ``lowest`` id. The distinct lines of a leaf travel as one row, as in
+    ``stab``, and part only where a span is met.
     """
-    met = stab(points.select("path", "line").distinct(), spans.select("path", "start", "end", "id"), "line", "start", "end")
+    leaf = _shift(F.col("line").cast("long"), F.lit(LEAF)).alias("_leaf")
+    lines = points.select("path", "line", leaf).filter("line is not null").groupBy("path", "_leaf").agg(F.collect_set("line").alias("_lines"))
+    tiles, levels = _tiles(spans.select("path", "start", "end", "id"), "start", "end")
+    up = lines.join(levels, "path").withColumn("_level", F.explode("_levels")).withColumn("_at", _shift(F.col("_leaf"), F.col("_level"))).select("path", "_lines", "_level", "_at")
     size = F.col("end") - F.col("start")
-    best = F.min_by("id", F.struct(size, F.col("id"))) if tie == "lowest" else F.max_by("id", F.struct(-size, F.col("start"), F.col("id")))
-    return points.join(met.groupBy("path", "line").agg(best.alias("id")), ["path", "line"], "left")
+    inside = F.filter("_lines", lambda n: (F.col("start") <= n) & (n <= F.col("end")))
+    met = up.join(tiles, ["path", "_level", "_at"]).select("path", F.explode(inside).alias("line"), "start", "end", "id")
+    best = F.min(F.struct(size.alias("size"), "id")) if tie == "lowest" else F.max(F.struct((-size).alias("size"), "start", "id"))
+    return points.join(met.groupBy("path", "line").agg(best.alias("_best")).select("path", "line", F.col("_best.id").alias("id")), ["path", "line"], "left")
 
 
 def call_graph(references: DataFrame, definitions: DataFrame, spans: DataFrame) -> DataFrame:
