@@ -149,7 +149,7 @@ def walk_capped(spark, d):
 with tight as (select p.path, p.line, s.id, row_number() over (partition by p.path, p.line order by s."end" - s.start, s.start desc, s.id desc) as k from (select distinct path, line from points) p join spans s on p.path = s.path and p.line between s.start and s."end")
 select distinct concat('i-', p.symbol) as from_id, t.id as to_id from points p join tight t on p.path = t.path and p.line = t.line and k = 1""", ("points", "spans"))
 def handlers(spark, d):
-    ends = load(spark, d, "points").groupBy(F.concat(F.lit("i-"), "symbol").alias("id")).agg(F.collect_set(F.concat_ws(":", "path", "line")).alias("evidence"))
+    ends = load(spark, d, "points").select(F.concat(F.lit("i-"), "symbol").alias("id"), F.array(F.concat_ws(":", "path", "line")).alias("evidence"))
     return intervals.handler_edges(ends, load(spark, d, "spans"))
 
 
