@@ -70,7 +70,7 @@ def links(known: dict[str, DataFrame], sources: DataFrame | None = None, kinds:
     ended = lambda rows: rows.withColumns({"from_id": _id("from_slug"), "to_id": _id("to_slug")})
     new = edge_rows(known["services"].limit(0).select(F.col("id").alias("from_id"), F.col("id").alias("to_id")), "calls", "resolver")
     if "calls" in kinds:
-        observed = resolve.call_edges(resolve.match_calls(of("calls", "calls"), known["interfaces"], known["services"]))
+        observed = resolve.linked_calls(of("calls", "calls"), known["interfaces"], known["services"])
         declared = resolve.declared_edges(resolve.resolve_hosts(of("bindings", "calls"), known["services"], of("declared", "calls")))
         new = new.unionByName(edge_rows(ended(resolve.merge_declared(observed, declared)), "calls", "resolver"))
     if "channels" in kinds:
@@ -141,7 +141,7 @@ def affected(before: dict[str, DataFrame], after: dict[str, DataFrame], known: d
 
 def _commit(catalog: Catalog, staging: Staging, objects: DataFrame, kept: DataFrame, new: DataFrame, place: str | None) -> None:
     """Kept and new edges, with a placeholder for each end that is no object; objects are written only if there is one."""
-    every = staging.save(kept.select(*new.columns).unionByName(new), "edges")
+    every = kept.select(*new.columns).unionByName(new)  # both lie in tables: not written once more before the commit
     ghosts = staging.save(stubs(new.select(F.col("from_id").alias("id")).unionByName(new.select(F.col("to_id").alias("id"))), objects), "stubs")
     tables = {"edges": every}
     if not ghosts.isEmpty():
@@ -189,6 +189,6 @@ def relink_changed(catalog: Catalog) -> int:
     sources = reached.filter(F.startswith("from_id", F.lit("service:"))).select(F.expr("substring(from_id, 9)").alias("slug"), "kind")
     new = staging.save(links(known, sources, tuple(counts)), "links")
     tagged = edges.withColumn("kind", F.when(F.col("source").isin(*LINKERS), _kind()))
-    kept = tagged.join(reached, ["from_id", "kind"], "left_anti")
+    kept = staging.save(tagged.join(reached, ["from_id", "kind"], "left_anti").select(*edges.columns), "kept")
     _commit(catalog, staging, objects, kept, new, place)
     return sum(counts.values())

@@ -316,9 +316,23 @@ def declared_edges(resolved: DataFrame) -> DataFrame:
         distinct_sorted(F.collect_set("key"), 10).alias("via_config_keys"), distinct_sorted(F.collect_set("host"), 5).alias("via_hosts"))
 
 
+#: Declared edges that are broadcast to the observed ones.
+MAX_DECLARED = 20_000
+
+
 def merge_declared(observed: DataFrame, declared: DataFrame) -> DataFrame:
-    """Observed edges, raised where configuration says the same; declared edges that nothing showed."""
-    both = observed.join(declared, ["from_slug", "to_slug"], "full_outer")
+    """Observed edges, raised where configuration says the same; declared edges that nothing showed.
+
+    Up to ``MAX_DECLARED`` declared edges are broadcast: the observed ones, which may be as many as pairs, stay where they are.
+    """
+    keys, columns = ["from_slug", "to_slug"], ("via_config_keys", "via_hosts")
+    declared = Staging(declared.sparkSession, "declared").save(declared.select(*keys, *columns), "edges")
+    if declared.count() <= MAX_DECLARED:
+        met = observed.select(*keys).join(F.broadcast(declared.select(*keys)), keys, "left_semi").distinct()
+        new = declared.join(met, keys, "left_anti").select(*keys, *(F.lit(None).cast(observed.schema[c].dataType).alias(c) for c in ("confidence", "via_paths")), *columns)
+        both = observed.join(F.broadcast(declared), keys, "left").select(*keys, "confidence", "via_paths", *columns).unionByName(new)
+    else:
+        both = observed.join(declared, keys, "full_outer")
     seen, said = F.col("confidence").isNotNull(), F.col("via_config_keys").isNotNull()
     raised = seen & said & F.col("confidence").isin("high", "ambiguous")
     return both.select(
