@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from .schema import EDGES, ENRICHMENTS, META, OBJECTS
 
+#: Edges that are products, kept as their factors: each group's ``from_id`` has an edge to each member of its class but itself and those ``apart``, which stand among the other edges.
+FACTORS = {"groups": "from_id string, relationship string, source string, confidence string, via_paths array<string>, apart array<string>, cls string, pairs long", "members": "cls string, to_id string"}
+#: Pairs that one task makes of groups.
+PAIRS = 4_000_000
 TABLES = {"objects": (OBJECTS, "object_type"), "edges": (EDGES, "relationship"), "enrichments": (ENRICHMENTS, None), "meta": (META, None)}
 #: Lookup tables, made of the objects of one version and refused for any other: names in order, and the trigrams of ids.
 LOOKUPS = {"names": "object_type string, name string, id string, source string", "postings": "object_type string, gram string, id string", "grams": "object_type string, gram string, n long"}
 #: Per table the columns by which its files are ranged and sorted, the first of them with a Bloom filter.
-ORDER = {"objects": ("id",), "edges": ("from_id", "to_id"), "enrichments": ("object_id",), "names": ("name", "id"), "postings": ("gram", "id"), "grams": ("gram",)}
+ORDER = {"objects": ("id",), "edges": ("from_id", "to_id"), "groups": ("from_id", "cls"), "members": ("to_id", "cls"), "enrichments": ("object_id",), "names": ("name", "id"), "postings": ("gram", "id"), "grams": ("gram",)}
 EDGE_KEY = ["from_id", "relationship", "to_id", "source"]
 SCHEMA_VERSION = "1"
 
@@ -73,6 +77,14 @@ def stubs(ids: DataFrame, objects: DataFrame, reason: str = "referenced") -> Dat
         F.lit(None).cast("timestamp").alias("last_generated_at"), F.to_json(F.struct(F.lit(True).alias("stub"), F.lit(reason).alias("reason"))).alias("payload"))
 
 
+def factored(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """The edges that groups stand for, made by as many tasks as the groups have files."""
+    met = groups.repartition(max(1, len(groups.inputFiles())), "from_id", "cls").join(members, "cls")
+    own = (F.col("to_id") != F.col("from_id")) & (F.col("apart").isNull() | ~F.array_contains("apart", F.col("to_id")))
+    kinds = (f.split(" ", 1) for f in EDGES.split(", "))
+    return met.filter(own).select(*(F.col(c) if c in met.columns else F.lit(None).cast(k).alias(c) for c, k in kinds))
+
+
 def merge_shas(old: dict[str, str], new: dict[str, str | None]) -> dict[str, str]:
     """Commits by repository; a missing commit removes that repository's entry."""
     return {k: v for k, v in (old | new).items() if v}
@@ -145,10 +157,23 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         """A table of the version, empty where that never had one; a version that does not exist is an error."""
-        schema, _ = TABLES[name]
-        at = self._tables().get(name)
+        held = self._tables()
+        rows = self._stored(held.get(name), TABLES[name][0])
+        factors = self._factors(held) if name == "edges" else None
+        return rows if factors is None else rows.unionByName(factored(*factors))
+
+    def _stored(self, at: str | None, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.root}/{at}")
 
+    def _factors(self, held: dict[str, str], prefix: str = "") -> tuple[DataFrame, DataFrame] | None:
+        """Groups and members; None if all edges stand by themselves."""
+        return tuple(self._stored(held[prefix + name], schema) for name, schema in FACTORS.items()) if f"{prefix}groups" in held else None
+
+    def edge_parts(self) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+        """The edges of this version that no group stands for, and its groups and members if it has any."""
+        held = self._tables()
+        return self._stored(held.get("edges"), EDGES), self._factors(held)
+
     def place(self, name: str) -> str | None:
         """Where a table of this version stands; two versions with one place have one table."""
         return self._tables().get(name)
@@ -158,10 +183,12 @@ class Catalog:
         held = self._tables()
         if not {"linked_objects", "linked_edges"} <= set(held):
             return None
-        return {name: self.spark.read.schema(TABLES[name][0]).parquet(f"{self.root}/{held[f'linked_{name}']}") for name in ("objects", "edges")}
+        rows = {name: self._stored(held[f"linked_{name}"], TABLES[name][0]) for name in ("objects", "edges")}
+        factors = self._factors(held, "linked_")
+        return rows if factors is None else rows | {"edges": rows["edges"].unionByName(factored(*factors))}
 
     def commit(self, linked: str | None = None, **tables: DataFrame) -> str:
-        """Write the given tables as a new version; the others stay where they are.
+        """Write the given tables as a new version; the others stay where they are, but ``edges`` takes the place of groups too unless new ones (``groups``, ``members``) come with it.
 
         ``linked`` is the place of the objects out of which the version's edges were linked: the log keeps it, and
         with it the table, until the next linking.
@@ -173,9 +200,10 @@ class Catalog:
         at = f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}"
         for name, df in tables.items():
             self._write(name, df, f"{self.root}/versions/{at}/{name}")
+        held = {name: place for name, place in held.items() if not ("edges" in tables and name in FACTORS or linked is not None and name.startswith("linked_"))}
         entry = {"version": at, "tables": held | {name: f"versions/{at}/{name}" for name in tables}}
         if linked is not None:
-            entry["tables"] |= {"linked_objects": linked, "linked_edges": entry["tables"]["edges"]}
+            entry["tables"] |= {"linked_objects": linked} | {f"linked_{name}": place for name, place in entry["tables"].items() if name in ("edges", *FACTORS)}
         if set(tables) & set(LOOKUPS):
             entry["of"] = held.get("objects")
         elif log and "of" in self._entry(log[-1]):
@@ -190,9 +218,10 @@ class Catalog:
 
     def _write(self, name: str, df: DataFrame, path: str) -> None:
         """In the order of its key within its partition, so that the files and row groups that a lookup can skip are known by their bounds."""
-        partition, order = (TABLES[name][1] if name in TABLES else "object_type"), ORDER.get(name, ())
+        partition, order = (TABLES[name][1] if name in TABLES else None if name in FACTORS else "object_type"), ORDER.get(name, ())
         by = [c for c in (partition, *order) if c]
-        rows = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+        tasks = [-(-(df.agg(F.sum("pairs")).first()[0] or 1) // PAIRS)] if name == "groups" else []
+        rows = df.repartitionByRange(*tasks, *by).sortWithinPartitions(*by) if by else df
         out = rows.write.option("parquet.block.size", 32 << 20)
         for c in (*order[:1], *(("to_id",) if name == "edges" else ())):
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")

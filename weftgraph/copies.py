@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import LOOKUPS, TABLES, Catalog, NoSuchVersion
+from .catalog import FACTORS, LOOKUPS, TABLES, Catalog, NoSuchVersion
 
 
 class TornCopy(RuntimeError):
@@ -28,7 +28,7 @@ def content(rows: DataFrame) -> list:
 
 
 def _read(catalog: Catalog, name: str, place: str) -> DataFrame:
-    return catalog.spark.read.schema(TABLES[name][0] if name in TABLES else LOOKUPS[name]).parquet(f"{catalog.root}/{place}")
+    return catalog.spark.read.schema(TABLES[name][0] if name in TABLES else (FACTORS | LOOKUPS)[name]).parquet(f"{catalog.root}/{place}")
 
 
 def _files(catalog: Catalog, place: str) -> dict[str, int]:

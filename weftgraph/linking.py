@@ -7,10 +7,12 @@ side that meet one are those whose links may differ. Only these are resolved aga
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import Catalog, stubs
+from .catalog import FACTORS, Catalog, stubs
 from .operators import resolve, rules
 from .operators.lookup import without_stubs
 from .schema import EDGES, PAYLOADS
@@ -22,6 +24,8 @@ LINKERS = ("resolver", "guidance")
 FACTS = ("service", "interface", "guidance")
 #: The kinds of links that are resolved apart, and the relationships that they make.
 KINDS = {"calls": ("calls",), "channels": ("publishes_to", "shares_channel"), "rules": ("governed_by",)}
+#: Call edges up to which each is written; beyond, they are kept as groups of callers and members.
+MAX_SINGLE = 100_000
 
 
 def edge_rows(rows: DataFrame, relationship: str, source: str) -> DataFrame:
@@ -57,8 +61,30 @@ def facts(objects: DataFrame, staging: Staging, name: str) -> dict[str, DataFram
     }
 
 
-def links(known: dict[str, DataFrame], sources: DataFrame | None = None, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """The edges of some kinds out of the facts, or those of them that start at the given services (``slug``, ``kind``)."""
+def _call_links(outbound: DataFrame, known: dict[str, DataFrame], declared: DataFrame, staging: Staging) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Call edges (from_slug, to_slug, ...) that stand by themselves, and groups and members for the rest if they are many.
+
+    Beside groups those stand by themselves of which a host or the configuration says something; the groups leave them out.
+    """
+    groups, classes = resolve.call_groups(outbound, known["interfaces"], known["services"])
+    sizes = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("pairs"))
+    if (groups.join(sizes, "cls").agg(F.sum("pairs")).first()[0] or 0) <= MAX_SINGLE:
+        return resolve.merge_declared(resolve.group_edges(groups, classes), declared), None
+    declared = staging.save(declared, "declared")
+    apart = staging.save(resolve.edges_apart(groups, classes, declared), "apart")
+    lists = apart.groupBy(F.col("from_slug").alias("slug"), "cls").agg(F.collect_list(_id("to_slug")).alias("apart"))
+    made = F.concat(F.lit(staging.root.rsplit("-", 1)[-1] + ":"), F.substring("cls", 1, 32)).alias("cls")  # classes of other linkings may stand beside
+    rows = groups.join(lists, ["slug", "cls"], "left").join(sizes, "cls").select(
+        _id("slug").alias("from_id"), F.lit("calls").alias("relationship"), F.lit("resolver").alias("source"), F.col("first").alias("confidence"), "via_paths", "apart", made, "pairs")
+    members = classes.join(groups.select("cls").distinct(), "cls", "left_semi").select(made, _id("provider").alias("to_id"))
+    return resolve.merge_declared(apart.drop("cls"), declared), (staging.save(rows, "groups"), staging.save(members, "members"))
+
+
+def links(known: dict[str, DataFrame], staging: Staging, sources: DataFrame | None = None, kinds: tuple[str, ...] = tuple(KINDS)) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """The edges of some kinds out of the facts, or those of them that start at the given services (``slug``, ``kind``).
+
+    Many call edges come as groups and members (``FACTORS``) beside the others.
+    """
     def of(table: str, kind: str, keep: Column | None = None) -> DataFrame:
         """The facts of the services in question, and those rows that ``keep`` names whosesoever they are."""
         if sources is None:
@@ -69,10 +95,11 @@ def links(known: dict[str, DataFrame], sources: DataFrame | None = None, kinds:
 
     ended = lambda rows: rows.withColumns({"from_id": _id("from_slug"), "to_id": _id("to_slug")})
     new = edge_rows(known["services"].limit(0).select(F.col("id").alias("from_id"), F.col("id").alias("to_id")), "calls", "resolver")
+    factors = None
     if "calls" in kinds:
-        observed = resolve.linked_calls(of("calls", "calls"), known["interfaces"], known["services"])
         declared = resolve.declared_edges(resolve.resolve_hosts(of("bindings", "calls"), known["services"], of("declared", "calls")))
-        new = new.unionByName(edge_rows(ended(resolve.merge_declared(observed, declared)), "calls", "resolver"))
+        called, factors = _call_links(of("calls", "calls"), known, declared, staging)
+        new = new.unionByName(edge_rows(ended(called), "calls", "resolver"))
     if "channels" in kinds:
         published = resolve.publish_edges(of("ends", "channels", F.coalesce(F.col("direction") != "PUBLISH", F.lit(True))))
         shared = resolve.shared_edges(known["ends"], None if sources is None else sources.filter("kind = 'channels'"))
@@ -80,7 +107,7 @@ def links(known: dict[str, DataFrame], sources: DataFrame | None = None, kinds:
     if "rules" in kinds:
         governed = rules.governed_by(known["rules"], rules.matchable(of("services", "rules"))).join(known["rules"].select(F.col("id").alias("rule"), "status"), "rule")
         new = new.unionByName(edge_rows(governed.select(F.col("service").alias("from_id"), F.col("rule").alias("to_id"), "matched", "status"), "governed_by", "guidance"))
-    return new
+    return staging.save(new, "links"), factors
 
 
 def _differing(old: DataFrame, new: DataFrame, keys: list[str], content: list) -> DataFrame:
@@ -139,11 +166,16 @@ def affected(before: dict[str, DataFrame], after: dict[str, DataFrame], known: d
     return rows.distinct()
 
 
-def _commit(catalog: Catalog, staging: Staging, objects: DataFrame, kept: DataFrame, new: DataFrame, place: str | None) -> None:
-    """Kept and new edges, with a placeholder for each end that is no object; objects are written only if there is one."""
-    every = kept.select(*new.columns).unionByName(new)  # both lie in tables: not written once more before the commit
-    ghosts = staging.save(stubs(new.select(F.col("from_id").alias("id")).unionByName(new.select(F.col("to_id").alias("id"))), objects), "stubs")
-    tables = {"edges": every}
+def _commit(catalog: Catalog, staging: Staging, objects: DataFrame, kept: DataFrame, new: DataFrame, place: str | None, old: tuple | None = None, factors: tuple | None = None) -> None:
+    """Kept and new edges and groups, with a placeholder for each end that is no object; objects are written only if there is one."""
+    ends = [new.select(F.col("from_id").alias("id")), new.select(F.col("to_id").alias("id"))]
+    tables = {"edges": kept.select(*new.columns).unionByName(new)}  # both lie in tables: not written once more before the commit
+    if factors is not None:
+        ends += [factors[0].select(F.col("from_id").alias("id")), factors[1].select(F.col("to_id").alias("id"))]
+    for name, *parts in zip(FACTORS, old or (None, None), factors or (None, None), strict=True):
+        if held := [p for p in parts if p is not None]:
+            tables[name] = held[0] if len(held) == 1 else held[0].unionByName(held[1])
+    ghosts = staging.save(stubs(reduce(DataFrame.unionByName, ends), objects), "stubs")
     if not ghosts.isEmpty():
         tables["objects"] = staging.save(objects.unionByName(ghosts.select(*objects.columns)), "objects")
     catalog.commit(linked=place, **tables)
@@ -151,10 +183,20 @@ def _commit(catalog: Catalog, staging: Staging, objects: DataFrame, kept: DataFr
 
 def relink(catalog: Catalog) -> None:
     """Resolve the calls, bindings and channels of all services again and match them with the rules, out of what the catalog holds."""
-    objects, edges, place = catalog.table("objects"), catalog.table("edges"), catalog.place("objects")
+    objects, (edges, _), place = catalog.table("objects"), catalog.edge_parts(), catalog.place("objects")
     staging = Staging(catalog.spark, "relink")
-    new = staging.save(links(facts(objects, staging, "all")), "links")
-    _commit(catalog, staging, objects, edges.filter(~F.col("source").isin(*LINKERS)), new, place)
+    new, factors = links(facts(objects, staging, "all"), staging)
+    _commit(catalog, staging, objects, edges.filter(~F.col("source").isin(*LINKERS)), new, place, None, factors)
+
+
+def _kept_factors(factors: tuple[DataFrame, DataFrame] | None, reached: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame] | None:
+    """Groups whose callers are not reached, with the members of their classes; None if there are none."""
+    if factors is None:
+        return None
+    groups = staging.save(factors[0].join(reached.filter("kind = 'calls'"), "from_id", "left_anti").select(*factors[0].columns), "kept-groups")
+    if groups.isEmpty():
+        return None
+    return groups, staging.save(factors[1].join(groups.select("cls").distinct(), "cls", "left_semi").select(*factors[1].columns), "kept-members")
 
 
 def relink_changed(catalog: Catalog) -> int:
@@ -187,8 +229,9 @@ def relink_changed(catalog: Catalog) -> int:
         catalog.commit(linked=place)
         return 0
     sources = reached.filter(F.startswith("from_id", F.lit("service:"))).select(F.expr("substring(from_id, 9)").alias("slug"), "kind")
-    new = staging.save(links(known, sources, tuple(counts)), "links")
-    tagged = edges.withColumn("kind", F.when(F.col("source").isin(*LINKERS), _kind()))
+    new, factors = links(known, staging, sources, tuple(counts))
+    single, old = catalog.edge_parts()
+    tagged = single.withColumn("kind", F.when(F.col("source").isin(*LINKERS), _kind()))
     kept = staging.save(tagged.join(reached, ["from_id", "kind"], "left_anti").select(*edges.columns), "kept")
-    _commit(catalog, staging, objects, kept, new, place)
+    _commit(catalog, staging, objects, kept, new, place, _kept_factors(old, reached, staging), factors)
     return sum(counts.values())

@@ -166,13 +166,12 @@ def _naming(hosts: DataFrame, providers: DataFrame) -> DataFrame:
     return cut.join(slugs, "_s").select("host", "provider")
 
 
-def linked_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
-    """from_slug, to_slug, confidence, via_paths: ``call_edges(match_calls(...))``, no call being entered once per provider.
+def call_groups(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges by class: groups (slug, cls, first, via_paths, named) and classes (provider, cls), both written.
 
     Calls are aggregated per service and set of keys (``sig``) that offer their shape; providers that offer the same
-    sets are one class, so edges are worked out per service and class. A provider is of one class: the pairs come out
-    of the classes' members at the end and are neither dealt out nor aggregated. What a host adds holds for the few
-    providers that it names and is kept beside the class.
+    sets are one class, so edges are worked out per service and class, and a provider is of one class. What a host
+    adds holds for the few providers that it names and is kept beside the class.
     """
     staging = Staging(outbound.sparkSession, "linked")
     calls = _open_calls(outbound, services, staging).filter("state = 'open'")
@@ -192,11 +191,17 @@ def linked_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame
     named = said.join(_naming(said.select("host").distinct(), classes), "host").join(members, ["sig", "provider"], "left_semi").select("slug", "provider").distinct()
     named = named.join(classes, "provider").groupBy("slug", "cls").agg(F.collect_list("provider").alias("named"))
     edges = staging.save(edges.join(named, ["slug", "cls"], "left"), "edges")
+    return edges, classes
+
+
+def group_edges(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """from_slug, to_slug, confidence, via_paths of all pairs: they come out of the classes' members at the end and are neither dealt out nor aggregated."""
+    staging = Staging(groups.sparkSession, "paired")
     count = classes.groupBy("cls").agg(F.count(F.lit(1)).alias("_size"))
     chunk = F.pmod(F.xxhash64("provider"), F.ceil(F.col("_size") / CHUNK))
     chunks = staging.save(classes.join(count, "cls").groupBy("cls", chunk.alias("_chunk")).agg(F.collect_list("provider").alias("providers")), "chunks").drop("_chunk")
-    pairs = edges.join(count, "cls").agg(F.sum("_size")).first()[0] or 0
-    edges = edges.repartition(max(1, -(-pairs // PAIRS)), "slug", "cls")
+    pairs = groups.join(count, "cls").agg(F.sum("_size")).first()[0] or 0
+    edges = groups.repartition(max(1, -(-pairs // PAIRS)), "slug", "cls")
     met = edges.join(F.broadcast(chunks) if classes.count() <= MAX_PROVIDERS else chunks, "cls")
     one = lambda confidence: lambda p: F.struct(p.alias("to_slug"), confidence.alias("confidence"))
     raised = F.array_intersect("providers", "named")
@@ -204,6 +209,21 @@ def linked_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame
     return met.select(F.col("slug").alias("from_slug"), F.explode(ends).alias("_e"), "via_paths").select("from_slug", "_e.to_slug", "_e.confidence", "via_paths").filter("to_slug <> from_slug")
 
 
+def linked_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
+    """from_slug, to_slug, confidence, via_paths: ``call_edges(match_calls(...))``, no call being entered once per provider."""
+    return group_edges(*call_groups(outbound, interfaces, services))
+
+
+def edges_apart(groups: DataFrame, classes: DataFrame, declared: DataFrame) -> DataFrame:
+    """from_slug, to_slug, confidence, via_paths and cls of those pairs of the groups that say something of their own: a host names the provider, or configuration declares the pair."""
+    named = groups.filter("named is not null").select("slug", "cls", "via_paths", F.explode("named").alias("provider"), F.lit("corroborated").alias("confidence"))
+    pairs = declared.select(F.col("from_slug").alias("slug"), F.col("to_slug").alias("provider")).distinct()
+    confidence = F.when(F.coalesce(F.array_contains("named", F.col("provider")), F.lit(False)), "corroborated").otherwise(F.col("first"))
+    said = pairs.join(classes, "provider").join(groups, ["slug", "cls"]).select("slug", "cls", "via_paths", "provider", confidence.alias("confidence"))
+    rows = named.unionByName(said).filter("slug <> provider").dropDuplicates(["slug", "provider"])
+    return rows.select(F.col("slug").alias("from_slug"), F.col("provider").alias("to_slug"), "confidence", "via_paths", "cls")
+
+
 def match_calls(outbound: DataFrame, interfaces: DataFrame, services: DataFrame) -> DataFrame:
     """Calls with ``provider`` (null: unresolved) and ``n_providers``; external and unspecific calls keep their status.
 
