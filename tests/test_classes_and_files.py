@@ -7,6 +7,7 @@ import random
 import pytest
 
 from weftgraph.operators import intervals, rules
+from weftgraph.plans.catalogue import QUERIES
 
 
 @pytest.mark.parametrize("chunk", [2, 1000])
@@ -31,6 +32,16 @@ def test_rules_by_class(spark, monkeypatch, chunk):
     assert "Aggregate" not in plan and "Join" not in plan
 
 
+def test_pairs_of_rules_are_handed_on_by_rule(spark):
+    """What was matched is told before the pairs come out, and the pairs of two groups never lie in one task at once."""
+    found = QUERIES["rules_overlap"](spark, "/root/testdata/sf0.001")
+    steps = [line.split("[")[0].strip(" +-:").split(" ")[0] for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    steps = [s for s in steps if s in ("Generate", "Repartition")]
+    assert steps == ["Generate", "Repartition", "Generate", "Repartition"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_join") > plan.rindex("Generate")
+
+
 @pytest.mark.parametrize("tie", ["latest", "lowest"])
 def test_lines_of_a_leaf_travel_as_one_row(spark, tie):
     """As every pair says, null and negative lines included; no line is entered by itself under a level."""
